@@ -191,10 +191,13 @@ def all_oracles() -> dict[str, str]:
     sql["totals_all"] = _with(_totals_union(DEFAULT_TOTAL_TYPES))
     sql["totals_all_23"] = _with(_totals_union(list(TOTAL_TYPES)))
     sql["totals_rolled_up"] = _with(
-        _totals_union(["PROTO", "PROTO_SERVICE", "PROTO_SERVICE_RESP_H"])
+        _totals_union(q.ROLLED_UP)
     )
     sql["totals_stored"] = _with(
-        _totals_union(DEFAULT_TOTAL_TYPES, "late"), late=_SINCE_CONN
+        _totals_union(
+            ["PROTO_SERVICE_RESP_H_P", "ORIG_H_RESP_H", *q.ROLLED_UP], "late"
+        ),
+        late=_SINCE_CONN,
     )
     sql["results_upsert"] = _with(
         "SELECT * EXCLUDE (place) FROM (SELECT *, ROW_NUMBER() OVER "

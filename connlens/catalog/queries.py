@@ -12,7 +12,7 @@ from .. import fixtures as fx
 from ..operators import clusters, dns, enrich, exports, features, pivots, ranking
 from ..operators.totals import roll_up, tag_run, totals, totals_all
 from ..plans.detection import DDOS_SERVICES, SCAN_PROTOS
-from ..plans.totals import run_totals
+from ..plans.totals import add_totals, run_totals
 from ..schemas import (
     CONN_SCHEMA,
     DEFAULT_TOTAL_TYPES,
@@ -39,6 +39,7 @@ BETWEEN_RUNS = "2024-02-15 00:00:00"
 LATE_RUN = datetime(2024, 3, 1)
 TODAY = "2024-01-02 00:00:00"
 LOOKUPS = 20
+ROLLED_UP = ["PROTO", "PROTO_SERVICE", "PROTO_SERVICE_RESP_H"]
 
 _QUERIES: dict[str, Query] = {}
 
@@ -185,14 +186,15 @@ def _totals_all_23(spark, sf):
 @query("totals_rolled_up")
 def _totals_rolled_up(spark, sf):
     fine = totals_all(_conn(spark, sf), ["PROTO_SERVICE_RESP_H_P"])
-    return roll_up(fine, ["PROTO", "PROTO_SERVICE", "PROTO_SERVICE_RESP_H"])
+    return roll_up(fine, ROLLED_UP)
 
 
 @query("totals_stored")
 def _totals_stored(spark, sf):
-    """The totals job: fine types from the log, the rest from their stored rows."""
-    table = scratch_folder(spark)
-    run_totals(fx.raw_log(spark, sf), SINCE, LATE_RUN, table)
+    """The totals jobs: fine types from the log, the rest from their stored rows."""
+    table, finest = scratch_folder(spark), "PROTO_SERVICE_RESP_H_P"
+    run_totals(fx.raw_log(spark, sf), SINCE, LATE_RUN, table, [finest, "ORIG_H_RESP_H"])
+    add_totals(spark, SINCE, LATE_RUN, table, finest, ROLLED_UP)
     stored = read_results(spark, table, run_ts=LATE_RUN)
     return stored.drop("TS_FILTRO", "TS_CODE", "ROW_ID")
 

@@ -44,9 +44,9 @@ SELECT 'CONN' AS TIPO, {_COMMON},
   CASE WHEN event_type = 'error' THEN NULL
        ELSE CAST(event_id % 1000 AS DOUBLE) / 8 END AS DURATION,
   CASE WHEN event_type = 'error' THEN NULL
-       ELSE CAST(ROUND(value * 100) AS BIGINT) END AS ORIG_BYTES,
+       ELSE CAST(FLOOR(value * 100 + 0.5) AS BIGINT) END AS ORIG_BYTES,
   CASE WHEN event_type = 'error' THEN NULL
-       ELSE CAST(ROUND(value * 300) AS BIGINT) END AS RESP_BYTES,
+       ELSE CAST(FLOOR(value * 300 + 0.5) AS BIGINT) END AS RESP_BYTES,
   CASE WHEN event_type = 'error' THEN 'REJ' WHEN event_id % 10 = 0 THEN 'S0'
        ELSE 'SF' END AS CONN_STATE,
   TRUE AS LOCAL_ORIG, user_id % 2 = 0 AS LOCAL_RESP,
@@ -54,9 +54,9 @@ SELECT 'CONN' AS TIPO, {_COMMON},
   CASE WHEN event_type = 'error' THEN NULL WHEN event_id % 10 = 0 THEN 'S'
        ELSE 'ShADadFf' END AS HISTORY,
   CAST(1 + event_id % 9 AS BIGINT) AS ORIG_PKTS,
-  CAST(ROUND(value * 100) AS BIGINT) + 40 AS ORIG_IP_BYTES,
+  CAST(FLOOR(value * 100 + 0.5) AS BIGINT) + 40 AS ORIG_IP_BYTES,
   CAST(1 + event_id % 5 AS BIGINT) AS RESP_PKTS,
-  CAST(ROUND(value * 300) AS BIGINT) + 40 AS RESP_IP_BYTES
+  CAST(FLOOR(value * 300 + 0.5) AS BIGINT) + 40 AS RESP_IP_BYTES
 FROM ({_BASE}) b
 """
 
@@ -77,7 +77,7 @@ HTTP_SQL = f"""
 SELECT 'HTTP' AS TIPO, {_COMMON},
   1 AS TRANS_DEPTH, '1.1' AS VERSION,
   CAST(event_id % 100 AS BIGINT) AS REQUEST_BODY_LEN,
-  CAST(ROUND(value * 300) AS BIGINT) AS RESPONSE_BODY_LEN,
+  CAST(FLOOR(value * 300 + 0.5) AS BIGINT) AS RESPONSE_BODY_LEN,
   CASE WHEN user_id % 5 = 0 THEN 404 ELSE 200 END AS STATUS_CODE,
   CASE WHEN user_id % 5 = 0 THEN 'Not Found' ELSE 'OK' END AS STATUS_MSG
 FROM ({_BASE}) b WHERE event_type = 'click'

@@ -11,13 +11,13 @@ from ..schemas import ENDPOINTS
 def dns_www(dns: DataFrame) -> DataFrame:
     """Lookups of names with ``www.`` in them, sorted by name.
 
-    UID breaks ties, so one very frequent name is spread over several sort
-    partitions.
+    The other columns break ties, so one very frequent name is spread over
+    several sort partitions.
     """
     return (
         dns.select("UID", *ENDPOINTS, "QUERY")
         .where(F.col("QUERY").like("%www.%"))
-        .orderBy("QUERY", "UID")
+        .orderBy("QUERY", "UID", *ENDPOINTS)
     )
 
 
@@ -42,8 +42,12 @@ def conn_by_dns_query(conn: DataFrame, lookups: DataFrame) -> DataFrame:
 
 
 def by_orig_bytes(rows: DataFrame) -> DataFrame:
-    """Sort by ORIG_BYTES, largest first; UID breaks ties."""
-    return rows.orderBy(F.desc("ORIG_BYTES"), "UID")
+    """Sort by ORIG_BYTES, largest first; the other columns break ties.
+
+    Ties are many, as failed connections have no bytes at all.
+    """
+    others = [c for c in rows.columns if c not in ("ORIG_BYTES", "UID")]
+    return rows.orderBy(F.desc("ORIG_BYTES"), "UID", *others)
 
 
 def conn_www_sum(conn_www: DataFrame) -> DataFrame:

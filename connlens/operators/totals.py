@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +31,8 @@ def totals(conn: DataFrame, tipo: str) -> DataFrame:
 def totals_all(conn: DataFrame, tipos: Sequence[str] = DEFAULT_TOTAL_TYPES) -> DataFrame:
     """Totals of several types in one pass over the connections.
 
+    Rows combine on the map side here as well: a coarse type adds next to
+    nothing to the shuffle, and a hot group is one row per map task.
     The result has every grouping column; those a type does not group by are
     null. TIPO tells such a null from a missing value of the log.
     """
@@ -39,39 +41,13 @@ def totals_all(conn: DataFrame, tipos: Sequence[str] = DEFAULT_TOTAL_TYPES) -> D
 
 
 def roll_up(fine: DataFrame, tipos: Sequence[str]) -> DataFrame:
-    """Totals of coarser types out of the totals of one finer type.
+    """Totals of coarser types out of the stored totals of one finer type.
 
-    Counts and sums add up, so nothing but the finer table is read.
+    Counts and sums add up, so the log itself is not read again.
     """
     return _grouping_sets(fine, tipos, sum_counts())
 
 
-def rollup_sources(tipos: Iterable[str]) -> dict[str, str | None]:
-    """For each type, the type of the same run to roll it up from.
-
-    None marks the types no other one contains; these need the connections.
-    Of several candidates the one with the fewest columns is taken.
-    """
-    sources: dict[str, str | None] = {}
-    wanted = list(tipos)
-    for tipo in wanted:
-        keys = set(TOTAL_TYPES[tipo])
-        finer = [t for t in wanted if keys < set(TOTAL_TYPES[t])]
-        base = [
-            t
-            for t in finer
-            if not any(set(TOTAL_TYPES[t]) < set(TOTAL_TYPES[o]) for o in wanted)
-        ]
-        sources[tipo] = min(base, key=_width, default=None)
-    return sources
-
-
-def _width(tipo: str) -> tuple[int, int]:
-    # Ports take few values and hosts many: prefer RESP_P, ORIG_P, then hosts.
-    size = ["PROTO", "SERVICE", "ID_RESP_P", "ID_ORIG_P", "ID_RESP_H", "ID_ORIG_H"]
-    return len(TOTAL_TYPES[tipo]), sum(2 ** size.index(c) for c in TOTAL_TYPES[tipo])
-
-
 def _grouping_sets(rows: DataFrame, tipos: Sequence[str], count: Column) -> DataFrame:
     unknown = [t for t in tipos if t not in TOTAL_TYPES]
     if unknown or not tipos:
@@ -102,7 +78,7 @@ def _tipo_of_set(tipos: Sequence[str], used: Sequence[str]) -> Column:
 
 
 def tag_run(
-    rows: DataFrame, since: str | datetime, run_ts: str | datetime
+    rows: DataFrame, since: str | datetime | None, run_ts: str | datetime
 ) -> DataFrame:
     """Add the run's selection start (TS_FILTRO) and its own time (TS_CODE)."""
     return rows.withColumns(

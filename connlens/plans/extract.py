@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from ..operators.dns import by_orig_bytes, conn_by_dns_query, conn_www_sum, dns_www
-from ..session import configure
+from ..session import configure, materialize
 from ..sinks import preview, write_csv
 from ..sources.records import conn_records, dns_records, http_records
 from ..sources.tables import select_recent
@@ -30,12 +29,9 @@ def extract(
     write_csv(dns, f"{out}/DNS-ALL")
     write_csv(http_records(recent, limit=limit), f"{out}/HTTP-ALL")
 
-    joined = conn_by_dns_query(conn, dns_www(dns)).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        write_csv(by_orig_bytes(joined), f"{out}/CONN-WWW")
-        write_csv(conn_www_sum(joined), f"{out}/CONN-WWW-SUM")
-    finally:
-        joined.unpersist()
+    joined = materialize(conn_by_dns_query(conn, dns_www(dns)))
+    write_csv(by_orig_bytes(joined), f"{out}/CONN-WWW")
+    write_csv(conn_www_sum(joined), f"{out}/CONN-WWW-SUM")
 
 
 def inspect(raw: DataFrame, since: str | datetime, title: str = "NEW") -> None:

@@ -124,7 +124,7 @@ def write_pivot(long: DataFrame, column: str, path: str, grain: str) -> None:
     long = long.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         most = int(long.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-        if long.select(column).distinct().offset(most).isEmpty():
+        if long.select(column).distinct().count() <= most:
             table = spread(long, column)
         else:
             table = long.orderBy("TS", column)

@@ -1,15 +1,15 @@
-"""The totals job."""
+"""The totals jobs."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.totals import roll_up, rollup_sources, tag_run, totals_all
-from ..schemas import DEFAULT_TOTAL_TYPES, TOTALS_SCHEMA
+from ..operators.totals import roll_up, tag_run, totals_all
+from ..schemas import DEFAULT_TOTAL_TYPES, TOTAL_TYPES, TOTALS_SCHEMA
 from ..session import configure
 from ..sinks import read_results, write_results
 from ..sources.tables import select_conn
@@ -17,31 +17,42 @@ from ..sources.tables import select_conn
 
 def run_totals(
     raw: DataFrame,
-    since: str | datetime,
+    since: str | datetime | None,
     run_ts: datetime,
     table: str,
     tipos: Sequence[str] = DEFAULT_TOTAL_TYPES,
 ) -> None:
     """Compute the totals of the connections after ``since`` and store them.
 
-    The log is read once, for the types no other one contains. The rest is
-    rolled up from their stored rows. Of the 23 types only three read the log.
+    The log is read once for all types.
     """
-    spark = configure(raw.sparkSession)
-    sources = rollup_sources(tipos)
-    fine = [tipo for tipo in tipos if sources[tipo] is None]
-    _store(totals_all(select_conn(raw, since), fine), since, run_ts, table)
+    configure(raw.sparkSession)
+    _store(totals_all(select_conn(raw, since), tipos), since, run_ts, table)
 
+
+def add_totals(
+    spark: SparkSession,
+    since: str | datetime | None,
+    run_ts: datetime,
+    table: str,
+    source: str,
+    tipos: Sequence[str],
+) -> None:
+    """Add further types to a stored run, rolled up from one of its types.
+
+    ``source`` must group by every column the new types group by.
+    """
+    configure(spark)
     stored = read_results(spark, table, run_ts=run_ts)
-    for source in fine:
-        coarse = [tipo for tipo in tipos if sources[tipo] == source]
-        if coarse:
-            rows = stored.where(F.col("TIPO") == source)
-            _store(roll_up(rows, coarse), since, run_ts, table)
+    fine = stored.where(F.col("TIPO") == source)
+    for tipo in tipos:
+        if not set(TOTAL_TYPES[tipo]) < set(TOTAL_TYPES[source]):
+            raise ValueError(f"{tipo} cannot be rolled up from {source}")
+    _store(roll_up(fine, tipos), since, run_ts, table)
 
 
 def _store(
-    rows: DataFrame, since: str | datetime, run_ts: datetime, table: str
+    rows: DataFrame, since: str | datetime | None, run_ts: datetime, table: str
 ) -> None:
     tagged = tag_run(rows, since, run_ts)
     columns = [c for c in TOTALS_SCHEMA.names if c != "ROW_ID"]

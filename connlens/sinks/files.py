@@ -24,9 +24,9 @@ def _one_task(df: DataFrame, single_file: bool) -> DataFrame:
     """One output file on request, for results small enough for one task."""
     if not single_file:
         return df
-    if df.offset(SINGLE_FILE_ROWS).isEmpty():
-        return df.coalesce(1)
-    raise ValueError(f"more than {SINGLE_FILE_ROWS} rows: write several files instead")
+    if df.count() > SINGLE_FILE_ROWS:
+        raise ValueError(f"over {SINGLE_FILE_ROWS} rows: write several files instead")
+    return df.coalesce(1)
 
 
 def preview(df: DataFrame, title: str, rows: int = 5) -> None:
