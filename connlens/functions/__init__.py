@@ -2,6 +2,7 @@
 
 from .buckets import BUCKET_FORMATS, bucket, bucket_text
 from .choice import case
+from .lookup import lookup_join, measured_bytes
 from .measures import count_rows, sum_counts, sum_measures
 
 __all__ = [
@@ -10,6 +11,8 @@ __all__ = [
     "bucket_text",
     "case",
     "count_rows",
+    "lookup_join",
+    "measured_bytes",
     "sum_counts",
     "sum_measures",
 ]

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import case
+from ..functions import case, lookup_join
 
 MULTI_FEATURES = ["DURATION", "ORIG_PKTS", "ORIG_BYTES"]
 
@@ -155,7 +155,11 @@ def _hosts(scored: DataFrame, kind_column: str, host: str) -> DataFrame:
     return attack.select(kind_column, host).distinct()
 
 
-def victim_history(scored: DataFrame, kind_column: str) -> DataFrame:
-    """All scored rows whose target is a victim of the same kind."""
+def victim_history(scored: DataFrame, kind_column: str, **join: int) -> DataFrame:
+    """All scored rows whose target is a victim of the same kind.
+
+    ``join`` goes to :func:`lookup_join`.
+    """
     hosts = victims(scored, kind_column)
-    return scored.join(hosts, [kind_column, "ID_RESP_H"], "left_semi")
+    on = [kind_column, "ID_RESP_H"]
+    return lookup_join(scored, hosts, on, "left_semi", **join)

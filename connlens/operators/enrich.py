@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import lookup_join
 from ..schemas import IP_INFO_SCHEMA
 
 # One address in; a mapping with any of the IP_INFO columns out, or None.
@@ -47,7 +48,7 @@ def ipinfo_known(info: DataFrame, data: DataFrame, field: str) -> DataFrame:
 
 def ipinfo_missing(info: DataFrame, data: DataFrame, field: str) -> DataFrame:
     """The distinct addresses nothing is known about."""
-    known = info.select(F.col("IP").alias(field))
+    known = info.select(F.col("IP").alias(field)).distinct()
     return distinct_ips(data, field).join(known, field, "left_anti")
 
 
@@ -68,7 +69,7 @@ def lookup_candidates(
     Busy means the sum of COUNT, or the number of rows where there is none.
     """
     weight = F.sum("COUNT") if "COUNT" in data.columns else F.count(F.lit(1))
-    known = info.select(F.col("IP").alias(field))
+    known = info.select(F.col("IP").alias(field)).distinct()
     return (
         data.where(F.col(field).isNotNull())
         .groupBy(field)
@@ -127,12 +128,10 @@ def ipinfo_union(known: DataFrame, looked_up: DataFrame) -> DataFrame:
     return known.unionByName(looked_up, allowMissingColumns=True)
 
 
-def enrich(data: DataFrame, info: DataFrame, field: str) -> DataFrame:
+def enrich(data: DataFrame, info: DataFrame, field: str, **join: int) -> DataFrame:
     """Data rows with what is known about the address in a column.
 
-    Every data row is kept once. The join carries no broadcast hint: Spark
-    broadcasts the address table where its size is below the session's limit
-    and otherwise sorts and merges, splitting the rows of a hot address.
+    Every data row is kept once. ``join`` goes to :func:`lookup_join`.
     """
-    columns = newest_info(info).drop("TS_CODE")
-    return data.join(columns, data[field] == columns["IP"], "left").drop("IP")
+    columns = newest_info(info).drop("TS_CODE").withColumnRenamed("IP", field)
+    return lookup_join(data, columns, [field], "left", **join)

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bucket, sum_counts
+from ..functions import bucket, lookup_join, sum_counts
 from .clusters import victims
 
 
@@ -58,4 +58,5 @@ def victim_counts(
     per time and host and not all rows of a hot host.
     """
     hosts = victims(scored, kind_column).select("ID_RESP_H").distinct()
-    return history(scored, "ID_RESP_H", grain).join(hosts, "ID_RESP_H", "left_semi")
+    long = history(scored, "ID_RESP_H", grain)
+    return lookup_join(long, hosts, ["ID_RESP_H"], "left_semi")

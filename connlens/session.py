@@ -33,12 +33,13 @@ def scratch_folder(spark: SparkSession) -> str:
     Executors on other machines must see the folder, so only a local session
     may fall back to a temporary folder of this machine.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="connlens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="connlens-"))
+        root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/connlens-{uuid.uuid4().hex}"
 
 

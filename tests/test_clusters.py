@@ -143,8 +143,10 @@ def test_victims_and_their_whole_history(spark):
     )
     assert as_set(clusters.attackers(rows, "SERVICE")) == [("http", "a")]
     assert as_set(clusters.victims(rows, "SERVICE")) == [("http", "v")]
-    history = clusters.victim_history(rows, "SERVICE")
-    assert as_set(history, "ID_ORIG_H", "COUNT") == [("a", 50), ("b", 1)]
+    for limit in (0, 1000):
+        history = clusters.victim_history(rows, "SERVICE", broadcast_bytes=limit)
+        assert history.columns == rows.columns
+        assert as_set(history, "ID_ORIG_H", "COUNT") == [("a", 50), ("b", 1)]
 
 
 def test_three_features_against_brute_force(spark):
