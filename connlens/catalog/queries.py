@@ -155,8 +155,7 @@ def _conn_www_sum(spark, sf):
 # Totals
 
 
-def _conn(spark, sf):
-    return tables.select_conn(fx.raw_log(spark, sf))
+_conn = fx.conn_log
 
 
 for _tipo in TOTAL_TYPES:

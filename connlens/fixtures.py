@@ -7,7 +7,6 @@ the same rows. FIXTURES.md describes the content. ``{...}`` names the tables.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .schemas import CONN_SCHEMA, DNS_SCHEMA, HTTP_SCHEMA, RAW_SCHEMA
 
@@ -111,36 +110,52 @@ FROM (
 """
 
 
+# Given as a schema, so that no job has to look the columns up first.
+_COLUMNS = {
+    "events": "event_id bigint, user_id bigint, event_type string, value double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "customer": "c_custkey bigint, c_nationkey int",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _from_events(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def _log(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, events=_table(spark, sf_dir, "events"))
 
 
 def conn_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _from_events(spark, sf_dir, CONN_SQL).select(*CONN_SCHEMA.names)
+    return _log(spark, sf_dir, CONN_SQL).select(*CONN_SCHEMA.names)
 
 
 def dns_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _from_events(spark, sf_dir, DNS_SQL).select(*DNS_SCHEMA.names)
+    return _log(spark, sf_dir, DNS_SQL).select(*DNS_SCHEMA.names)
 
 
 def http_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _from_events(spark, sf_dir, HTTP_SQL).select(*HTTP_SCHEMA.names)
+    return _log(spark, sf_dir, HTTP_SQL).select(*HTTP_SCHEMA.names)
 
 
 def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wide raw table; a filter on TIPO leaves one scan of it."""
-    kinds = conn_log(spark, sf_dir)
-    for kind in (dns_log(spark, sf_dir), http_log(spark, sf_dir)):
-        kinds = kinds.unionByName(kind, allowMissingColumns=True)
-    absent = {
-        f.name: f.dataType for f in RAW_SCHEMA.fields if f.name not in kinds.columns
-    }
-    kinds = kinds.withColumns({n: F.lit(None).cast(t) for n, t in absent.items()})
-    return kinds.select(*RAW_SCHEMA.names)
+    logs = [build(spark, sf_dir) for build in (conn_log, dns_log, http_log)]
+    wide = [_widened(log) for log in logs]
+    return wide[0].union(wide[1]).union(wide[2])
+
+
+def _widened(log: DataFrame) -> DataFrame:
+    have = set(log.columns)
+    return log.selectExpr(
+        *[
+            f.name
+            if f.name in have
+            else f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}"
+            for f in RAW_SCHEMA
+        ]
+    )
 
 
 def ip_info(spark: SparkSession, sf_dir: str) -> DataFrame:
