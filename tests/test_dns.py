@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 from connlens import fixtures as fx
 from connlens.operators.dns import by_orig_bytes, conn_by_dns_query, conn_www_sum, dns_www
 from connlens.schemas import DNS_SCHEMA
+from connlens.sources.records import conn_records, dns_records
+from connlens.sources.tables import read_table
 from logs import as_set, conn_rows
 
 
@@ -82,6 +84,24 @@ def test_hot_uid_is_split_and_nothing_is_lost(spark):
     assert "skew=true" in plan
 
 
+def test_log_bucketed_by_uid_is_joined_without_an_exchange(spark, small, tmp_path):
+    log = fx.raw_log(spark, small)
+    writer = log.write.bucketBy(4, "UID").option("path", str(tmp_path / "LOG"))
+    writer.saveAsTable("bucketed_log")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        raw = read_table(spark, "bucketed_log", "table")
+        joined = conn_by_dns_query(conn_records(raw), dns_www(dns_records(raw)))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        expected = conn_by_dns_query(conn_records(log), dns_www(dns_records(log)))
+        assert as_set(joined) == as_set(expected)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql("DROP TABLE bucketed_log")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_each_lookup_finds_its_connection(spark, small):
     lookups = dns_www(fx.dns_log(spark, small))
     joined = conn_by_dns_query(fx.conn_log(spark, small), lookups)
