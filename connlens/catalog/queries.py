@@ -15,7 +15,6 @@ from ..plans.detection import DDOS_SERVICES, SCAN_PROTOS
 from ..plans.totals import add_totals, run_totals
 from ..schemas import (
     CONN_SCHEMA,
-    DEFAULT_TOTAL_TYPES,
     DNS_SCHEMA,
     TOTAL_TYPES,
 )
@@ -296,14 +295,14 @@ def _ipinfo_union(spark, sf):
 def _enrich_resp_h(spark, sf):
     rows = ranking.responder_totals(totals(_conn(spark, sf), "PROTO_SERVICE_RESP_H"))
     known = enrich.enrich(rows, fx.ip_info(spark, sf), "ID_RESP_H")
-    return known.orderBy(F.desc("COUNT"), "TS", "ID_RESP_H")
+    return exports.busiest_first(known, "PROTO_SERVICE_RESP_H")
 
 
 @query("enrich_orig_h")
 def _enrich_orig_h(spark, sf):
     rows = ranking.inbound_to_prefix(totals(_conn(spark, sf), "ORIG_H_RESP_H"), PREFIX)
     known = enrich.enrich(rows, fx.ip_info(spark, sf), "ID_ORIG_H")
-    return known.orderBy(F.desc("COUNT"), "TS", "ID_ORIG_H")
+    return exports.busiest_first(known, "ORIG_H_RESP_H")
 
 
 @query("ranked_resp_h_enriched")
@@ -421,7 +420,7 @@ for _attack, _kinds in _KINDS.items():
         @query(f"pivot_{_attack}_victims_{_name}", _attack, _kinds[0], _grain)
         def _pivot_victims(spark, sf, attack, kind, grain):
             scored = _scored(spark, sf, attack, [kind])
-            long = pivots.victim_counts(scored, _KIND[attack], grain)
+            long = materialize(pivots.victim_counts(scored, _KIND[attack], grain))
             return pivots.spread(long, "ID_RESP_H", plain_names=True)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,15 @@ BUCKET_FORMATS = {
 }
 
 
+def moment(value: str | datetime | None) -> Column:
+    """A point in time as a literal, read in the session's time zone.
+
+    A datetime goes through its text: as a literal of its own it would be read
+    in the time zone of the machine that runs the driver.
+    """
+    return F.lit(None if value is None else str(value)).cast("timestamp")
+
+
 def bucket(grain: str, ts: str | Column = "TS") -> Column:
     """Start of the minute, hour or day of ``ts``, as a timestamp.
 
@@ -27,3 +38,9 @@ def bucket(grain: str, ts: str | Column = "TS") -> Column:
 def bucket_text(grain: str, ts: str | Column = "TS") -> Column:
     """The bucket as export text; to be used after sorting, never before."""
     return F.date_format(ts, BUCKET_FORMATS[grain])
+
+
+def bucket_from_text(grain: str, text: str | Column = "TS") -> Column:
+    """The bucket of an export text; null where it is not of that form."""
+    column = F.col(text) if isinstance(text, str) else text
+    return F.try_to_timestamp(column, F.lit(BUCKET_FORMATS[grain]))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import lookup_join
+from ..functions import lookup_join, moment
 from ..schemas import IP_INFO_SCHEMA
 
 # One address in; a mapping with any of the IP_INFO columns out, or None.
@@ -56,7 +56,7 @@ def lookup_quota(
     info: DataFrame, today: str | datetime, per_day: int = 1000
 ) -> DataFrame:
     """How many lookups are left of the day's allowance, as one row."""
-    used = info.where(F.col("TS_CODE") > F.lit(today).cast("timestamp"))
+    used = info.where(F.col("TS_CODE") > moment(today))
     left = F.lit(per_day).cast("bigint") - F.count(F.lit(1))
     return used.agg(F.greatest(F.lit(0).cast("bigint"), left).alias("QUOTA"))
 
@@ -116,7 +116,7 @@ def look_up(
         candidates.select(field)
         .repartition(tasks)
         .mapInPandas(ask, ", ".join(f"{c} string" for c in texts))
-        .withColumn("TS_CODE", F.lit(run_ts).cast("timestamp"))
+        .withColumn("TS_CODE", moment(run_ts))
     )
     return answers.select(
         *[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in IP_INFO_SCHEMA]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bucket, lookup_join, sum_counts
+from ..session import materialize
 from .clusters import victims
 
 
@@ -26,10 +27,11 @@ def spread(
 ) -> DataFrame:
     """A history with one column per value, sorted by time.
 
-    Without ``values`` Spark finds them first, and refuses more than
-    ``spark.sql.pivotMaxValues``; :func:`history` has the same numbers for any
-    number of values. ``plain_names`` writes the dots of an address as
-    underscores, for readers that take a dot for a field access.
+    ``values`` chooses the columns. Without it every value is one: Spark finds
+    them first, in a job of its own over ``long``, and refuses more than
+    ``spark.sql.pivotMaxValues``; ``long`` has the same numbers for any number
+    of values. ``plain_names`` writes the dots of an address as underscores,
+    for readers that take a dot for a field access.
     """
     if plain_names:
         long = long.withColumn(column, F.translate(column, ".", "_"))
@@ -45,8 +47,15 @@ def pivot(
     values: Sequence[Any] | None = None,
     plain_names: bool = False,
 ) -> DataFrame:
-    """COUNT by time (rows) and the values of one column (columns)."""
-    return spread(history(rows, column, grain), column, values, plain_names)
+    """COUNT by time (rows) and the values of one column (columns).
+
+    Without ``values`` the short history is written to the scratch folder
+    first, so that finding them does not read the rows a second time.
+    """
+    long = history(rows, column, grain)
+    if values is None:
+        long = materialize(long)
+    return spread(long, column, values, plain_names)
 
 
 def victim_counts(

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bucket, case, count_rows, sum_counts, sum_measures
+from ..functions import bucket, case, count_rows, moment, sum_counts, sum_measures
 from ..schemas import DEFAULT_TOTAL_TYPES, GROUP_COLUMNS, MEASURES, TOTAL_TYPES
 
 TOTAL_COLUMNS = ["TIPO", "TS"] + GROUP_COLUMNS + ["COUNT"] + MEASURES
@@ -83,8 +83,8 @@ def tag_run(
     """Add the run's selection start (TS_FILTRO) and its own time (TS_CODE)."""
     return rows.withColumns(
         {
-            "TS_FILTRO": F.lit(since).cast("timestamp"),
-            "TS_CODE": F.lit(run_ts).cast("timestamp"),
+            "TS_FILTRO": moment(since),
+            "TS_CODE": moment(run_ts),
         }
     )
 

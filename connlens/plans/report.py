@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..operators.clusters import attackers
 from ..operators.enrich import Provider
-from ..operators.exports import totals_export, with_text_time
+from ..operators.exports import busiest_first, totals_export, with_text_time
 from ..operators.pivots import history, spread, victim_counts
 from ..operators.ranking import (
+    RANKED,
     inbound_to_prefix,
     orig_h_ranking,
     resp_h_ranking,
@@ -26,7 +27,6 @@ from ..sources.tables import select_scores, select_totals
 from .detection import DDOS_SERVICES, SCAN_PROTOS
 from .enrichment import process_ips
 
-RANKED = 10_000
 LOOKUPS = 1000
 
 # Total type -> column of its pivots.
@@ -53,7 +53,7 @@ def report_sources(
     ranking = orig_h_ranking(recent, prefix, RANKED)
     ranked = _ranked(ranking, info, "ID_ORIG_H", run_ts, provider, store)
     rows = process_ips(inbound_to_prefix(recent, prefix), info, "ID_ORIG_H", run_ts)
-    write_csv(_busiest_first(rows, "ID_ORIG_H"), f"{out}/ORIG_H_RESP_H_INFO_WEB")
+    write_csv(busiest_first(rows, "ORIG_H_RESP_H"), f"{out}/ORIG_H_RESP_H_INFO_WEB")
     return ranked
 
 
@@ -75,7 +75,7 @@ def report_responders(
     ranking = resp_h_ranking(recent, RANKED)
     ranked = _ranked(ranking, info, "ID_RESP_H", run_ts, provider, store)
     rows = process_ips(responder_totals(recent), info, "ID_RESP_H", run_ts)
-    write_csv(_busiest_first(rows, "ID_RESP_H"), f"{out}/PROTO_SERVICE_RESP_H_INFO_WEB")
+    write_csv(busiest_first(rows, "PROTO_SERVICE_RESP_H"), f"{out}/PROTO_SERVICE_RESP_H_INFO_WEB")
     return ranked
 
 
@@ -91,11 +91,6 @@ def _ranked(
     return process_ips(ranking, info, field, run_ts, limit, provider, store)
 
 
-def _busiest_first(rows: DataFrame, host: str) -> DataFrame:
-    # The hour and host split ties, of which small counts have very many.
-    return rows.orderBy(F.desc("COUNT"), "TS", host)
-
-
 def report_totals(
     totals: DataFrame,
     since: str | datetime,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import moment
 from ..schemas import CONN
 
 
@@ -33,8 +34,8 @@ def read_table(
 
 
 def later_than(column: str, since: str | datetime) -> Column:
-    """``column > since`` on timestamps; text is cast once, as a literal."""
-    return F.col(column) > F.lit(since).cast("timestamp")
+    """``column > since`` on timestamps."""
+    return F.col(column) > moment(since)
 
 
 def select_recent(raw: DataFrame, since: str | datetime) -> DataFrame:

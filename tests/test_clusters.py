@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from connlens import fixtures as fx
 from connlens.operators import clusters
+from connlens.operators.exports import with_text_centres
 from connlens.operators.features import ddos_features, scan_features
 from connlens.sinks import has_model, load_model, save_model
 from logs import as_set, conn_rows
@@ -79,6 +80,11 @@ def test_scoring_equals_the_model_itself(spark):
     assert sorted(map(tuple, found)) == expected
 
 
+def test_centres_as_text(spark):
+    scored = with_text_centres(clusters.score(counts(spark, 1), [1.5, 30.0]))
+    assert scored.first()["CENTROID"] == ["1.5", "30.0"]
+
+
 def test_more_than_two_centres(spark):
     scored = clusters.score(counts(spark, 1, 6, 11, 99), [1.0, 10.0, 100.0])
     assert as_set(scored, "COUNT", "PREDICTION") == [(1, 0), (11, 1), (6, 1), (99, 2)]

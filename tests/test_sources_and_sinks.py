@@ -148,6 +148,16 @@ def test_a_run_written_again_replaces_itself_only(spark, tmp_path):
     assert as_set(newest, "PROTO", "COUNT") == [("tcp", 1), ("udp", 1)]
 
 
+def test_versions_of_a_key_are_thinned_out_before_the_shuffle(spark, tmp_path):
+    path = str(tmp_path / "T")
+    rows = totals(conn_rows(spark, {}), "PROTO")
+    write_results(tag_run(rows, None, R1), path, R1, ["TIPO"])
+    newest = read_results(spark, path, ["TIPO", "TS", "PROTO"])
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange hashpartitioning")[1]
+    assert "WindowGroupLimit" in below and "Partial" in below
+
+
 def test_null_keys_are_one_key(spark, tmp_path):
     path = str(tmp_path / "T")
     for run in (R1, R2):

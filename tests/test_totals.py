@@ -1,3 +1,4 @@
+import time
 from datetime import datetime
 
 import pytest
@@ -6,7 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from connlens import fixtures as fx
-from connlens.operators.exports import EXPORTED, totals_export, with_text_time
+from connlens.functions import BUCKET_FORMATS, bucket, bucket_from_text, bucket_text
+from connlens.operators.exports import EXPORTED, busiest_first, totals_export, with_text_time
 from connlens.operators.totals import (
     TOTAL_COLUMNS,
     roll_up,
@@ -104,6 +106,25 @@ def test_run_tags_are_timestamps(spark):
     assert row["ROW_ID"] == 0
 
 
+def test_run_time_does_not_depend_on_the_drivers_clock_zone(spark, monkeypatch):
+    monkeypatch.setenv("TZ", "America/Sao_Paulo")
+    time.tzset()
+    try:
+        rows = totals(conn_rows(spark, {}), "PROTO")
+        tagged = tag_run(rows, "2024-01-01", datetime(2024, 2, 1, 12))
+        row = tagged.selectExpr("string(TS_FILTRO)", "string(TS_CODE)").first()
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+    assert tuple(row) == ("2024-01-01 00:00:00", "2024-02-01 12:00:00")
+
+
+def test_ties_of_the_busiest_are_in_order(spark):
+    log = conn_rows(spark, *[{"ID_RESP_H": host} for host in "bacc"])
+    rows = busiest_first(totals(log, "ORIG_H_RESP_H"), "ORIG_H_RESP_H").collect()
+    assert [(r["ID_RESP_H"], r["COUNT"]) for r in rows] == [("c", 2), ("a", 1), ("b", 1)]
+
+
 def test_clock_change_keeps_both_hours_apart(spark):
     """Formatting and parsing again would merge the two hours 23:xx of that night."""
     # 2019-02-17 00:00 went back to 23:00 in this zone: 01:30Z and 02:30Z are 23:30.
@@ -130,6 +151,18 @@ def test_exports_sort_by_time_and_not_by_its_text(spark):
     assert [r["TS"] for r in export.collect()] == ["31.01.2024", "01.02.2024"]
 
 
+def test_export_text_is_read_back(spark):
+    log = conn_rows(spark, {"TS": datetime(2024, 1, 31, 9, 41, 7)})
+    for grain in BUCKET_FORMATS:
+        rows = log.select(bucket(grain).alias("TS"), bucket_text(grain).alias("text"))
+        row = rows.withColumn("back", bucket_from_text(grain, "text")).first()
+        assert row["back"] == row["TS"], grain
+    bad = log.select(bucket_from_text("hour", F.lit("31/01/2024 9h")).alias("ts"))
+    assert bad.first()["ts"] is None
+    with pytest.raises(ValueError, match="week"):
+        bucket("week")
+
+
 def test_twenty_types_have_an_export():
     assert len(TOTAL_TYPES) == 23
     assert len(EXPORTED) == 20
