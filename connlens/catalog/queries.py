@@ -335,8 +335,7 @@ def _scan_features(spark, sf):
 def _trained(spark, sf, attack, kinds):
     """Feature rows, written once, and the centres fitted on each kind."""
     rows = materialize(_FEATURES[attack](_conn(spark, sf), kinds))
-    column = F.col(_KIND[attack])
-    models = {kind: clusters.train(rows.where(column == kind)) for kind in kinds}
+    models = clusters.train_kinds(rows, _KIND[attack], kinds)
     return rows, {kind: clusters.centres_of(model) for kind, model in models.items()}
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..functions import case, lookup_join
 
@@ -30,6 +32,26 @@ def train(features: DataFrame, k: int = 2, seed: int = 1) -> KMeansModel:
     return KMeans(k=k, seed=seed, weightCol="weight").fit(with_vector(points, ["COUNT"]))
 
 
+def train_kinds(
+    features: DataFrame, kind_column: str, kinds: Sequence[str], seed: int = 1
+) -> dict[str, KMeansModel]:
+    """One model for each service or protocol that has rows.
+
+    A fit is a row of small jobs, so the fits run side by side.
+    """
+    wanted = features.where(F.col(kind_column).isin(*kinds))
+    present = [row[0] for row in wanted.select(kind_column).distinct().collect()]
+    if not present:
+        return {}
+
+    def fit(kind: str) -> KMeansModel:
+        return train(features.where(F.col(kind_column) == kind), seed=seed)
+
+    in_session = inheritable_thread_target(features.sparkSession)
+    with ThreadPool(len(present)) as pool:
+        return dict(zip(present, pool.map(in_session(fit), present)))
+
+
 def centres_of(model: KMeansModel) -> list[float]:
     """Centres of a one-feature model in ascending order.
 

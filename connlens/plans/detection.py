@@ -6,9 +6,8 @@ from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..operators.clusters import centres_of, score_kinds, train
+from ..operators.clusters import centres_of, score_kinds, train_kinds
 from ..operators.features import ddos_features, scan_features
 from ..operators.totals import tag_run
 from ..session import configure, materialize
@@ -77,14 +76,13 @@ def _detect(
     ]
     if untrained:
         features = materialize(features)
-    centres = {}
-    for kind in kinds:
-        if kind in untrained:
-            rows = features.where(F.col(kind_column) == kind)
-            if rows.isEmpty():
-                continue
-            save_model(train(rows), f"{models}/{kind}")
-        centres[kind] = centres_of(load_model(f"{models}/{kind}"))
+        for kind, model in train_kinds(features, kind_column, untrained).items():
+            save_model(model, f"{models}/{kind}")
+    centres = {
+        kind: centres_of(load_model(f"{models}/{kind}"))
+        for kind in kinds
+        if has_model(spark, f"{models}/{kind}")
+    }
     if centres:
         scored = score_kinds(features, kind_column, centres, min_count)
         tagged = tag_run(scored, since, run_ts)

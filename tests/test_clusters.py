@@ -80,6 +80,14 @@ def test_scoring_equals_the_model_itself(spark):
     assert sorted(map(tuple, found)) == expected
 
 
+def test_each_kind_gets_the_model_of_its_rows(spark):
+    rows = counts(spark, 1, 1, 9).unionByName(counts(spark, 2, 50, 52, kind="ssh"))
+    models = clusters.train_kinds(rows, "SERVICE", ["http", "ssh", "gopher"])
+    centres = {kind: clusters.centres_of(model) for kind, model in models.items()}
+    assert centres == {"http": [1.0, 9.0], "ssh": [2.0, 51.0]}
+    assert clusters.train_kinds(rows, "SERVICE", ["gopher"]) == {}
+
+
 def test_centres_as_text(spark):
     scored = with_text_centres(clusters.score(counts(spark, 1), [1.5, 30.0]))
     assert scored.first()["CENTROID"] == ["1.5", "30.0"]
