@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard, language, mixing, tokens
+from . import chat, decontaminate, exact, jaccard, language, mixing, scoring, tokens, toxicity
 from .store import documents, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,25 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, path, with_ids=False)
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.duplicates(documents(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], given.schema)
+    return chat.digests(spark, chat.format_conversations(given.union(more)))
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pseudo_likelihood(documents(spark, sf_dir))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
@@ -52,7 +71,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(index, matches).select(*columns)
 
 
-_ALL = [op1_token_ids, op6_jaccard_join, op8_language, op9_mixing, op10_decontamination]
+_ALL = [op1_token_ids, op2_exact_dedup, op3_toxicity, op4_chat_formatting, op5_lm_scoring, op6_jaccard_join, op8_language, op9_mixing, op10_decontamination]
 
 
 def _shipped(query: Query) -> Query:
@@ -80,6 +99,30 @@ def all_oracles() -> dict[str, str]:
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES = {
+    "op2_exact_dedup": r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS s FROM documents),
+k AS (
+  SELECT doc_id, sha256(s) AS text_sha256, count(*) OVER (PARTITION BY s) AS group_size,
+    first_value(doc_id) OVER (PARTITION BY s ORDER BY n DESC, doc_id) AS keep_id FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k
+""",
+    "op4_chat_formatting": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(regexp_replace(replace(text, '\', '\\'), '(\[/?INST\]|\[/?ROLE\]|</?s>|<</?SYS>>)', '_\1', 'g')) +
+    CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 17 ELSE 21 + length(role) END AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS last FROM t),
+s AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM e)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(upto) FILTER (role = 'assistant' OR last) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+""",
     "op6_jaccard_join": rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
