@@ -148,13 +148,18 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     shares reach the driver.
     """
     known = docs.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    languages = known.select("lang").distinct().count()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("_n"))  # one row per language
+    languages = sizes.count()
     if not languages:
         return None
     quota = max(LEAST_ROWS, rows // languages)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # Four times the quota is enough for the ranking to fill it, and bounds what it ranks of a frequent language.
+    chance = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     picked = (
         known.select("doc_id", "lang")
+        .join(sizes, "lang")
+        .where(chance < F.lit(4.0 * quota) / F.col("_n"))
         .withColumn("_rank", F.row_number().over(order))
         .where(F.col("_rank") <= quota)
         .select("doc_id", F.col("lang").alias("_lang"))

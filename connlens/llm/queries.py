@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact, jaccard, language, mixing, scoring, tokens, toxicity
+from . import chat, decontaminate, exact, jaccard, language, mixing, pii, scoring, tokens, toxicity
 from .store import documents, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
@@ -71,7 +75,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(index, matches).select(*columns)
 
 
-_ALL = [op1_token_ids, op2_exact_dedup, op3_toxicity, op4_chat_formatting, op5_lm_scoring, op6_jaccard_join, op8_language, op9_mixing, op10_decontamination]
+_ALL = [op1_token_ids, op2_exact_dedup, op3_toxicity, op4_chat_formatting, op5_lm_scoring, op6_jaccard_join, op7_personal_data, op8_language, op9_mixing, op10_decontamination]
 
 
 def _shipped(query: Query) -> Query:
