@@ -38,7 +38,7 @@ from .words import slices
 SEGMENT_BYTES = 1 << 20  # of ids before compression
 SAMPLE = 400
 DICTIONARY_BYTES = 1 << 15
-CACHED_WORDS = 400_000  # in each Python worker
+CACHED_WORDS = 300_000  # in each Python worker, and as many older ones
 LEVEL = 3
 
 SEGMENT_SCHEMA = (
@@ -62,6 +62,8 @@ class Encoder:
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.model = self.tokenizer.model
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.letters: dict[str, str] = {}
         self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         probe = "Aa bB  cC\n dD"
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
@@ -79,16 +81,37 @@ class Encoder:
     def _pack(self, ids) -> bytes:
         return np.array(ids, dtype=self.type).tobytes()
 
+    def _letters(self, word: str) -> str | None:
+        """The word as the model sees it, if it is of letters that the normalizer leaves as they are."""
+        try:
+            return "".join(map(self.letters.__getitem__, word))
+        except KeyError:
+            for c in set(word) - self.letters.keys():
+                seen = self.tokenizer.pre_tokenizer.pre_tokenize_str(c)
+                if not c.isalpha() or self.tokenizer.normalizer.normalize_str(c) != c or len(seen) != 1:
+                    return None
+                self.letters[c] = seen[0][0]
+            return "".join(map(self.letters.__getitem__, word))
+
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """ids of words that are not in the cache."""
         out, rest = {}, []
         for word in words:
             core, tail = (word[:-1], word[-1:]) if word[-1] in b".," and len(word) > 1 else (word, b"")
-            if self.plain and core.isalpha() and core.isascii() and core.islower():
-                ids = self.cache.get(core) or self._pack(self._model(core.decode()))
-                out[word] = ids + (self._mark(tail) if tail else b"")
-            else:
+            ids = self.cache.get(core) if tail and self.plain else None
+            if ids is None and self.plain:
+                if core.isalpha() and core.islower():
+                    ids = self._pack(self._model(core.decode()))
+                elif not core.isascii():
+                    text = core.decode()
+                    plain = text.isalpha() and unicodedata.is_normalized("NFC", text) and self._letters(text)
+                    ids = self._pack(self._model(plain)) if plain else None
+            elif ids is not None and not core.decode()[-1].isalpha():
+                ids = None
+            if ids is None:
                 rest.append(word)
+            else:
+                out[word] = ids + (self._mark(tail) if tail else b"")
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
         out.update((w, self._pack(e.ids)) for w, e in zip(rest, encoded))
         return out
@@ -114,11 +137,14 @@ class Encoder:
             found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
             return [self._pack(e.ids) for e in found]
         split = [self._lowered(t).split() for t in texts]
-        fresh = set().union(*split) - self.cache.keys()
-        if len(self.cache) + len(fresh) > CACHED_WORDS:
-            self.cache.clear()
-            fresh = set().union(*split)
-        self.cache.update(self._learn(fresh))
+        words = set().union(*split)
+        if len(self.cache) + len(words) > CACHED_WORDS:
+            # The words of the last while stay at hand; older ones go.
+            self.older, self.cache = self.cache, {}
+        fresh = words - self.cache.keys()
+        again = fresh & self.older.keys()
+        self.cache.update((w, self.older[w]) for w in again)
+        self.cache.update(self._learn(fresh - again))
         get = self.cache.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
