@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from .bits import bitmap_of, in_bitmap
 from .components import components
-from .store import stored
+from .store import free_shuffles, stored
 from .words import NOT_BLANK, shingles, slices, words_of
 
 SIZE = 5
@@ -145,25 +145,66 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return second.select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
-    """r and ``items``, the whole set, of the rows whose doc_id is in ``wanted`` (r)."""
+def _sets_of(docs: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
+    """r and ``items``, the whole set, of the rows whose doc_id is in a pair, and of a few by chance."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("r"))
     held = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted.select(F.xxhash64("r").alias("h")), "h", bits))
 
     def run(batches):
         for batch in batches:
-            maybe = in_bitmap(held.value, batch.column("h").to_numpy().view(np.uint64))
-            batch = batch.filter(pa.array(maybe))
+            batch = batch.filter(pa.array(in_bitmap(held.value, batch.column("h").to_numpy().view(np.uint64))))
             items = [own.tobytes() for _, own in _sets(batch.column("text"))]
             if items:
-                digests = [hashlib.blake2b(x, digest_size=16).digest() for x in items]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(items, pa.binary())], ["r", "digest", "items"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(items, pa.binary())], ["r", "items"])
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint"), F.xxhash64(F.col("doc_id").cast("bigint")).alias("h"), "text")
-    found = rows.mapInArrow(run, "r bigint, digest binary, items binary")
-    # A doc_id may have several texts; those meant have the digest.
-    return found.join(wanted.select("r", "digest"), ["r", "digest"], "left_semi").dropDuplicates(["r", "digest"]).select("r", "items")
+    number = F.col("doc_id").cast("bigint")
+    rows = docs.where("doc_id IS NOT NULL").select(number.alias("doc_id"), F.xxhash64(number).alias("h"), "text")
+    return rows.mapInArrow(run, "r bigint, items binary")
+
+
+def _plausible(pairs: DataFrame, signed: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """Pairs whose prefixes leave room for the threshold.
+
+    Up to where the shorter-reaching prefix ends, all shingles of both sets are known. What
+    they have in common there, and the smaller rest, is the most the sets can share.
+    """
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("_r")).distinct()
+    heads = stored(signed.join(nodes, signed["doc_id"] == F.col("_r")).select(F.col("_r").alias("r"), "n", "prefix"))
+    first = pairs.join(heads.select(F.col("r").alias("u"), F.col("n").alias("n1"), F.col("prefix").alias("a")).dropDuplicates(["u", "a"]), "u")
+    both = first.join(heads.select(F.col("r").alias("v"), F.col("n").alias("n2"), F.col("prefix").alias("b")).dropDuplicates(["v", "b"]), "v")
+    held = pairs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches):
+        late = held.value
+
+        for batch in batches:
+            keep = []
+            for a, b, n1, n2 in zip(batch.column("a"), batch.column("b"), batch.column("n1").to_pylist(), batch.column("n2").to_pylist()):
+                a, b = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
+                ends = np.array([a[-1], b[-1]])
+                flags = in_bitmap(late, ends)
+                end, flag = min(zip(flags.tolist(), ends.tolist()))[::-1]
+                known = []
+                for own in (a, b):
+                    last = in_bitmap(late, own)
+                    known.append(own[(last < flag) | ((last == flag) & (own <= np.uint64(end)))])
+                common = np.concatenate(known)
+                common.sort(kind="stable")
+                shared = int((common[1:] == common[:-1]).sum())
+                most = shared + min(n1 - len(known[0]), n2 - len(known[1]))
+                keep.append(most * (100 + PERCENT) >= (n1 + n2) * PERCENT)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("u", "v", "a", "b", "n1", "n2").mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def _linked(docs: DataFrame, pairs: DataFrame, signed: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
+    """The pairs of sets that reach the threshold: filtered by prefixes, then verified on whole sets."""
+    pairs = stored(_plausible(pairs, signed, frequent))
+    free_shuffles(docs.sparkSession)
+    links = stored(_verified(pairs, stored(_sets_of(docs, pairs, bits))))
+    free_shuffles(docs.sparkSession)
+    return links
 
 
 def near_duplicates(docs: DataFrame, bits: int = 23) -> DataFrame:
@@ -172,7 +213,9 @@ def near_duplicates(docs: DataFrame, bits: int = 23) -> DataFrame:
     component_id is the smallest doc_id reachable by links; a document without
     links or words is its own component, a null doc_id with an empty set has a null one.
     """
-    signed = stored(_signatures(docs, _frequent(docs, bits)))
+    frequent = _frequent(docs, bits)
+    signed = stored(_signatures(docs, frequent))
+    free_shuffles(docs.sparkSession)
     nodes = stored(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("r"), F.first("n").alias("n"), F.first("grp").alias("grp")))
     groups = signed.where("grp IS NOT NULL").groupBy("grp").agg(
         F.min("doc_id").alias("g"), F.min("digest").alias("least"), F.max("digest").alias("most"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
@@ -191,17 +234,12 @@ def near_duplicates(docs: DataFrame, bits: int = 23) -> DataFrame:
         (F.col("g") != F.col("hub.g")) & _fits(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"))
     ).select(F.col("hub.g").alias("u"), F.col("g").alias("v"))
     first = stored(inner.union(outer).distinct())
+    free_shuffles(docs.sparkSession)
 
-    # Whole sets are needed of groups that share a token or hold several sets.
-    listed = shared.select("g").union(members.where("sets > 1").select("g")).distinct()
-    wanted = stored(members.join(listed, "g", "left_semi").select("r", "digest"))
-    sets = stored(_sets_of(docs, wanted, bits))
-    links = stored(_verified(first, sets))
-
+    links = _linked(docs, first, signed, frequent, bits)
     found = components(links)
     at = members.join(found.withColumnRenamed("node", "r"), "r", "left").select("g", "r", F.coalesce("component", "r").alias("c"), "sets")
-    at = stored(at)
-    second = _verified(_crossing(shared, at), sets)
+    second = _linked(docs, stored(_crossing(shared, stored(at))), signed, frequent, bits)
     found = stored(components(links.union(second)))
 
     by_digest = nodes.join(found.withColumnRenamed("node", "r"), "r", "left").select(
