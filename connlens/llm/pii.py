@@ -42,6 +42,7 @@ TRUST = 0.8
 SUPPORT = 5
 ROUNDS = 3
 MANY = 2**31 - 1  # as far as an array goes
+BLOCK = 128  # matches of a text that are added up together
 
 SPANS = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
@@ -51,20 +52,29 @@ def _quoted(pattern: str) -> str:
 
 
 def located(text: str, pattern: str) -> Column:
-    """start, end and value of every match in order, with up to AROUND characters of text on either side."""
+    """start, end and value of every match in order, with up to AROUND characters of text on either side.
+
+    The matches and the text between them are added up in blocks, then within each block from where
+    it begins, so that a text with many matches takes time in proportion to them.
+    """
     p = _quoted(pattern)
-    return F.expr(f"""
-        aggregate(
-          zip_with(
-            regexp_extract_all({text}, {p}, 0),
-            zip_with(split({text}, {p}, -1), slice(split({text}, {p}, -1), 2, {MANY}), (g, h) -> named_struct('g', g, 'h', h)),
-            (m, x) -> named_struct('m', m, 'g', x.g, 'h', x.h)),
-          named_struct('at', 0, 'out', CAST(array() AS {SPANS})),
-          (s, x) -> if(x.m IS NULL, s, named_struct(
-            'at', s.at + length(x.g) + length(x.m),
-            'out', concat(s.out, array(named_struct('start', s.at + length(x.g), 'end', s.at + length(x.g) + length(x.m), 'value', x.m,
-              'before', right(x.g, {AROUND}), 'after', left(x.h, {AROUND})))))),
-          s -> s.out)""")
+    pieces = f"""filter(zip_with(
+        regexp_extract_all({text}, {p}, 0),
+        zip_with(split({text}, {p}, -1), slice(split({text}, {p}, -1), 2, {MANY}), (g, h) -> named_struct('g', g, 'h', h)),
+        (m, x) -> named_struct('m', m, 'g', x.g, 'h', x.h)), x -> x.m IS NOT NULL)"""
+    blocks = f"transform(sequence(0, size(p) div {BLOCK}), k -> slice(p, k * {BLOCK} + 1, {BLOCK}))"
+    width = "aggregate(b, 0, (n, x) -> n + length(x.g) + length(x.m))"
+    begins = f"""aggregate(bs, named_struct('at', 0, 'out', CAST(array() AS array<int>)),
+        (s, b) -> named_struct('at', s.at + {width}, 'out', concat(s.out, array(s.at))), s -> s.out)"""
+    spans = f"""aggregate(b, named_struct('at', o, 'out', CAST(array() AS {SPANS})),
+        (s, x) -> named_struct(
+          'at', s.at + length(x.g) + length(x.m),
+          'out', concat(s.out, array(named_struct('start', s.at + length(x.g), 'end', s.at + length(x.g) + length(x.m), 'value', x.m,
+            'before', right(x.g, {AROUND}), 'after', left(x.h, {AROUND}))))),
+        s -> s.out)"""
+    # transform(array(x), name -> ...)[0] gives a value a name.
+    inner = f"transform(array({blocks}), bs -> flatten(zip_with(bs, {begins}, (b, o) -> {spans})))[0]"
+    return F.expr(f"transform(array({pieces}), p -> {inner})[0]")
 
 
 def _digits(value: Column) -> Column:
