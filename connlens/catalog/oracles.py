@@ -220,7 +220,7 @@ def all_oracles() -> dict[str, str]:
     def ranking(rows: str, host: str) -> str:
         return (
             f"SELECT {host}, {_SUM_COUNT} FROM ({rows}) GROUP BY {host} "
-            f'ORDER BY "COUNT" DESC, {host} LIMIT 10000'
+            f'ORDER BY "COUNT" DESC, {host}'
         )
 
     sql["inbound_to_prefix"] = _with(inbound, pairs=pairs)

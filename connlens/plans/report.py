@@ -14,7 +14,6 @@ from ..operators.enrich import Provider
 from ..operators.exports import busiest_first, totals_export, with_text_time
 from ..operators.pivots import history, spread, victim_counts
 from ..operators.ranking import (
-    RANKED,
     inbound_to_prefix,
     orig_h_ranking,
     resp_h_ranking,
@@ -39,7 +38,7 @@ def report_sources(
     since: str | datetime,
     run_ts: datetime,
     out: str,
-    prefix: str = "200.18.",
+    prefix: str,
     provider: Provider | None = None,
     store: str | None = None,
 ) -> DataFrame:
@@ -50,7 +49,7 @@ def report_sources(
     """
     configure(totals.sparkSession)
     recent = select_totals(totals, since, "ORIG_H_RESP_H")
-    ranking = orig_h_ranking(recent, prefix, RANKED)
+    ranking = orig_h_ranking(recent, prefix)
     ranked = _ranked(ranking, info, "ID_ORIG_H", run_ts, provider, store)
     rows = process_ips(inbound_to_prefix(recent, prefix), info, "ID_ORIG_H", run_ts)
     write_csv(busiest_first(rows, "ORIG_H_RESP_H"), f"{out}/ORIG_H_RESP_H_INFO_WEB")
@@ -72,7 +71,7 @@ def report_responders(
     """
     configure(totals.sparkSession)
     recent = select_totals(totals, since, "PROTO_SERVICE_RESP_H")
-    ranking = resp_h_ranking(recent, RANKED)
+    ranking = resp_h_ranking(recent)
     ranked = _ranked(ranking, info, "ID_RESP_H", run_ts, provider, store)
     rows = process_ips(responder_totals(recent), info, "ID_RESP_H", run_ts)
     write_csv(busiest_first(rows, "PROTO_SERVICE_RESP_H"), f"{out}/PROTO_SERVICE_RESP_H_INFO_WEB")

@@ -4,29 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-SINGLE_FILE_ROWS = 1_000_000
+# Sensor times have microseconds.
+TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """Write CSV with a header, replacing what is there.
+def write_csv(df: DataFrame, path: str) -> None:
+    """Write CSV with a header, replacing what is there. Read it with ``timestampFormat=TIMES``.
 
     A sorted frame gives files that are in order one after the other.
     """
-    _one_task(df, single_file).write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(header=True, timestampFormat=TIMES).csv(path)
 
 
-def write_json(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """Write JSON lines, replacing what is there."""
-    _one_task(df, single_file).write.mode("overwrite").json(path)
-
-
-def _one_task(df: DataFrame, single_file: bool) -> DataFrame:
-    """One output file on request, for results small enough for one task."""
-    if not single_file:
-        return df
-    if df.count() > SINGLE_FILE_ROWS:
-        raise ValueError(f"over {SINGLE_FILE_ROWS} rows: write several files instead")
-    return df.coalesce(1)
+def write_json(df: DataFrame, path: str) -> None:
+    """Write JSON lines, replacing what is there. Read them with ``timestampFormat=TIMES``."""
+    df.write.mode("overwrite").option("timestampFormat", TIMES).json(path)
 
 
 def preview(df: DataFrame, title: str, rows: int = 5) -> None:

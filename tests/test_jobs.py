@@ -126,7 +126,7 @@ def test_sources_report_with_lookups(spark, store, tmp_path):
     info = spark.read.parquet(folder)
     before = info.count()
     ranked = report_sources(
-        totals, info, START, RUN, str(tmp_path), provider=provider(), store=folder
+        totals, info, START, RUN, str(tmp_path), "200.18.", provider(), folder
     )
     assert ranked.where(F.col("HOSTNAME").isNull()).isEmpty()
     added = spark.read.parquet(folder).where(F.col("TS_CODE") == F.lit(RUN))

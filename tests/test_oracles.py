@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as entry_points
+from connlens.catalog.oracles import all_oracles
+from connlens.catalog.queries import all_queries
 from oracle import duck, duck_result, spark_result
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -20,7 +22,7 @@ TYPES = {
 # All pairs, and Python row by row: in no plan.
 BANNED = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"]
 
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLES = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
@@ -31,6 +33,8 @@ def con():
 def test_every_query_but_one_has_an_oracle():
     assert set(QUERIES) - set(ORACLES) == {"kmeans_multi"}
     assert not set(ORACLES) - set(QUERIES)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))

@@ -124,7 +124,10 @@ def test_rankings_add_up_and_break_ties_by_host(spark):
     )
     ranked = resp_h_ranking(totals_all(log)).collect()
     assert [tuple(r) for r in ranked] == [("c", 2), ("a", 1), ("b", 1)]
-    assert resp_h_ranking(totals_all(log), 1).count() == 1
+    hosts = spark.range(10_050).selectExpr(
+        "'PROTO_SERVICE_RESP_H' AS TIPO", "CAST(id AS STRING) AS ID_RESP_H", "id AS COUNT"
+    )
+    assert resp_h_ranking(hosts).count() == 10_050
     inbound = orig_h_ranking(totals_all(log), "c").collect()
     assert [tuple(r) for r in inbound] == [("10.0.0.1", 2)]
 

@@ -16,7 +16,6 @@ from connlens.schemas import (
 )
 from connlens.session import materialize, scratch_folder
 from connlens.sinks import (
-    files,
     preview,
     read_results,
     write_csv,
@@ -116,15 +115,12 @@ def test_files_replace_what_is_there(spark, tmp_path, write, source):
     assert as_set(rows) == as_set(log)
 
 
-def test_one_file_on_request_and_only_if_small(spark, tmp_path, monkeypatch):
-    rows = spark.range(0, 100, 1, 4)
-    write_csv(rows.orderBy(F.desc("id")), str(tmp_path / "one"), single_file=True)
-    found = list((tmp_path / "one").glob("part-*"))
-    assert len(found) == 1
-    assert found[0].read_text().split()[:3] == ["id", "99", "98"]
-    monkeypatch.setattr(files, "SINGLE_FILE_ROWS", 99)
-    with pytest.raises(ValueError, match="several files"):
-        write_csv(rows, str(tmp_path / "two"), single_file=True)
+@pytest.mark.parametrize("write, source", [(write_csv, "csv"), (write_json, "json")])
+def test_files_keep_microseconds(spark, tmp_path, write, source):
+    rows = spark.sql("SELECT TIMESTAMP '2024-01-01 00:00:07.179575' AS TS, 1 AS n")
+    write(rows, str(tmp_path / "out"))
+    back = tables.read_table(spark, str(tmp_path / "out"), source, rows.schema, header="true")
+    assert as_set(back) == as_set(rows)
 
 
 def test_a_run_written_again_replaces_itself_only(spark, tmp_path):
