@@ -65,6 +65,8 @@ def _totals_union(tipos: list[str], rows: str = "conn") -> str:
 
 
 _SINCE_CONN = f"SELECT * FROM conn WHERE TS > TIMESTAMP '{q.SINCE}'"
+# From the start of the hour on, as the jobs select.
+_FROM_CONN = f"SELECT * FROM conn WHERE TS >= date_trunc('hour', TIMESTAMP '{q.SINCE}')"
 
 
 def _features(attack: str, kinds: list[str], rows: str = "conn") -> str:
@@ -197,17 +199,21 @@ def all_oracles() -> dict[str, str]:
         _totals_union(
             ["PROTO_SERVICE_RESP_H_P", "ORIG_H_RESP_H", *q.ROLLED_UP], "late"
         ),
-        late=_SINCE_CONN,
+        late=_FROM_CONN,
     )
     sql["results_upsert"] = _with(
         "SELECT * EXCLUDE (place) FROM (SELECT *, ROW_NUMBER() OVER "
         "(PARTITION BY TIPO, TS, PROTO, SERVICE ORDER BY TS_CODE DESC) AS place "
         "FROM runs) WHERE place = 1",
-        late=_SINCE_CONN,
+        late=_FROM_CONN,
         runs=f"SELECT *, {_EARLY} AS TS_CODE FROM ({_totals('PROTO_SERVICE')}) "
         f"UNION ALL SELECT *, {_LATE} AS TS_CODE FROM ({_totals('PROTO_SERVICE', 'late')})",
     )
 
+    sql["totals_two_runs"] = sql["totals_all"]
+    for attack, kinds in _KINDS.items():
+        sql[f"scores_two_runs_{attack}"] = _with(_features(attack, kinds))
+
     # Rankings
     sql["top_conn_by_bytes"] = _with(
         "SELECT UID, TS, ID_ORIG_H, ID_RESP_H, ORIG_BYTES FROM conn "
@@ -247,13 +253,25 @@ def all_oracles() -> dict[str, str]:
         f"WHERE TS_CODE > TIMESTAMP '{q.TODAY}'"
     )
     last = "CAST(split_part(ID_ORIG_H, '.', 4) AS INT)"
+    answered = "CASE WHEN ID_ORIG_H NOT LIKE '10.0.2.%'"
     sql["ipinfo_union"] = _with(
-        f"{known} UNION ALL SELECT ID_ORIG_H, concat('host-', ID_ORIG_H), "
-        f"CASE WHEN {last} % 2 = 1 THEN 'unknown' END, NULL, NULL, NULL, "
-        f"{last} + 0.5, NULL, {_LATE} FROM cand WHERE ID_ORIG_H NOT LIKE '10.0.2.%'",
+        f"{known} UNION ALL SELECT ID_ORIG_H, {answered} THEN concat('host-', ID_ORIG_H) END, "
+        f"{answered} AND {last} % 2 = 1 THEN 'unknown' END, NULL, NULL, NULL, "
+        f"{answered} THEN {last} + 0.5 END, NULL, {_LATE} FROM cand",
         pairs=pairs,
         cand=candidates,
     )
+    sql["report_sources_file"] = _with(
+        'SELECT r.ID_ORIG_H, r.ID_RESP_H, r.TS, r."COUNT", i.LATITUDE, i.HOSTNAME, i.CITY, '
+        f"i.COUNTRY FROM ({inbound}) r LEFT JOIN answers i ON r.ID_ORIG_H = i.IP",
+        pairs=pairs,
+        asked=f"SELECT DISTINCT ID_ORIG_H FROM ({inbound}) p "
+        "WHERE NOT EXISTS (SELECT 1 FROM info WHERE IP = p.ID_ORIG_H)",
+        answers="SELECT IP, HOSTNAME, CITY, COUNTRY, LATITUDE FROM info UNION ALL "
+        "SELECT ID_ORIG_H, concat('host-', ID_ORIG_H), "
+        f"CASE WHEN {last} % 2 = 1 THEN 'unknown' END, NULL, {last} + 0.5 FROM asked "
+        "WHERE ID_ORIG_H NOT LIKE '10.0.2.%'",
+    )
     sql["enrich_resp_h"] = _with(_enriched(responders, "ID_RESP_H"))
     sql["enrich_orig_h"] = _with(_enriched(inbound, "ID_ORIG_H"), pairs=pairs)
     sql["ranked_resp_h_enriched"] = _with(

@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import clusters, dns, enrich, exports, features, pivots, ranking
 from ..operators.totals import roll_up, tag_run, totals, totals_all
-from ..plans.detection import DDOS_SERVICES, SCAN_PROTOS
+from ..plans.detection import DDOS_SERVICES, SCAN_PROTOS, run_ddos, run_scan
+from ..plans.enrichment import Lookups
+from ..plans.report import report_sources
 from ..plans.totals import add_totals, run_totals
 from ..schemas import (
     CONN_SCHEMA,
+    DDOS_KEYS,
     DNS_SCHEMA,
+    GROUP_COLUMNS,
+    MEASURES,
+    SCAN_KEYS,
     TOTAL_TYPES,
 )
 from ..session import configure, materialize, scratch_folder
@@ -33,6 +39,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 PREFIX = "200.18."
 SINCE = "2024-01-01 02:00:00"
+WITHIN = "2024-01-01 02:30:30"  # in the middle of an hour and of a minute
 EARLY_RUN = datetime(2024, 2, 1)
 BETWEEN_RUNS = "2024-02-15 00:00:00"
 LATE_RUN = datetime(2024, 3, 1)
@@ -202,12 +209,34 @@ def _results_upsert(spark, sf):
     """A late run over the end of the log replaces the keys of an early one."""
     raw, table = fx.raw_log(spark, sf), scratch_folder(spark)
     for since, run_ts in ((None, EARLY_RUN), (SINCE, LATE_RUN), (SINCE, LATE_RUN)):
-        rows = totals(tables.select_conn(raw, since), "PROTO_SERVICE")
+        rows = totals(tables.select_conn(raw, since, "hour"), "PROTO_SERVICE")
         write_results(tag_run(rows, since, run_ts), table, run_ts, by=["TIPO"])
     newest = read_results(spark, table, ["TIPO", "TS", "PROTO", "SERVICE"])
     return newest.drop("TS_FILTRO", "ROW_ID")
 
 
+@query("totals_two_runs")
+def _totals_two_runs(spark, sf):
+    """A second run from within an hour leaves the totals of the whole log."""
+    raw, table = fx.raw_log(spark, sf), scratch_folder(spark)
+    run_totals(raw, None, EARLY_RUN, table)
+    run_totals(raw, WITHIN, LATE_RUN, table)
+    newest = read_results(spark, table, ["TIPO", "TS", *GROUP_COLUMNS])
+    return newest.drop("TS_FILTRO", "TS_CODE", "ROW_ID")
+
+
+for _attack, _job, _keys in (("ddos", run_ddos, DDOS_KEYS), ("scan", run_scan, SCAN_KEYS)):
+
+    @query(f"scores_two_runs_{_attack}", _job, _keys)
+    def _scores_two_runs(spark, sf, job, keys):
+        """A second run from within a bucket leaves the counts of the whole log."""
+        raw, table, models = fx.raw_log(spark, sf), scratch_folder(spark), scratch_folder(spark)
+        for since, run_ts in ((None, EARLY_RUN), (WITHIN, LATE_RUN)):
+            job(raw, since, run_ts, table, models)
+        newest = read_results(spark, table, [*keys, "TS"])
+        return newest.select(*keys, "TS", "COUNT", *MEASURES)
+
+
 # Rankings
 
 
@@ -291,6 +320,21 @@ def _ipinfo_union(spark, sf):
     return enrich.ipinfo_union(enrich.ipinfo_known(info, conn, "ID_ORIG_H"), found)
 
 
+@query("report_sources_file")
+def _report_sources_file(spark, sf):
+    """The report on sources with lookups, run as a job, and its file read back."""
+    table, store, out = (scratch_folder(spark) for _ in range(3))
+    run_totals(fx.raw_log(spark, sf), None, EARLY_RUN, table, ["ORIG_H_RESP_H"])
+    fx.ip_info(spark, sf).write.parquet(store)
+    stored, info = read_results(spark, table, run_ts=EARLY_RUN), spark.read.parquet(store)
+    lookups = Lookups(_sample_provider(), store)
+    report_sources(stored, info, TODAY, LATE_RUN, out, PREFIX, lookups)
+    file = spark.read.csv(f"{out}/ORIG_H_RESP_H_INFO_WEB", header=True)
+    numbers = {"TS": "timestamp", "COUNT": "bigint", "LATITUDE": "double"}
+    typed = file.withColumns({c: F.col(c).cast(t) for c, t in numbers.items()})
+    return typed.select("ID_ORIG_H", "ID_RESP_H", *numbers, "HOSTNAME", "CITY", "COUNTRY")
+
+
 @query("enrich_resp_h")
 def _enrich_resp_h(spark, sf):
     rows = ranking.responder_totals(totals(_conn(spark, sf), "PROTO_SERVICE_RESP_H"))

@@ -15,12 +15,14 @@ BUCKET_FORMATS = {
 }
 
 
-def moment(value: str | datetime | None) -> Column:
+def moment(value: str | datetime | Column | None) -> Column:
     """A point in time as a literal, read in the session's time zone.
 
     A datetime goes through its text: as a literal of its own it would be read
-    in the time zone of the machine that runs the driver.
+    in the time zone of the machine that runs the driver. A column stays as it is.
     """
+    if isinstance(value, Column):
+        return value
     return F.lit(None if value is None else str(value)).cast("timestamp")
 
 

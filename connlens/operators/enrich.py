@@ -8,7 +8,7 @@ from datetime import datetime
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lookup_join, moment
@@ -20,13 +20,20 @@ Provider = Callable[[str], "dict[str, Any] | None"]
 INFO_COLUMNS = [c for c in IP_INFO_SCHEMA.names if c not in ("IP", "TS_CODE")]
 
 
+def _tells() -> Column:
+    """Whether a row of IP_INFO tells anything of its address."""
+    return F.coalesce(*[F.col(c).cast("string") for c in INFO_COLUMNS]).isNotNull()
+
+
 def newest_info(info: DataFrame) -> DataFrame:
-    """One row per address, the latest; rows without an address are dropped.
+    """One row per address, the latest that tells anything; rows without an address are dropped.
 
     Keeps a left join from multiplying rows. Each map task passes on one row
     per address only.
     """
-    latest = Window.partitionBy("IP").orderBy(F.desc("TS_CODE"), *INFO_COLUMNS)
+    latest = Window.partitionBy("IP").orderBy(
+        F.desc(_tells()), F.desc("TS_CODE"), *INFO_COLUMNS
+    )
     return (
         info.where(F.col("IP").isNotNull())
         .withColumn("_place", F.row_number().over(latest))
@@ -46,9 +53,27 @@ def ipinfo_known(info: DataFrame, data: DataFrame, field: str) -> DataFrame:
     return newest_info(info).join(asked, "IP", "left_semi")
 
 
-def ipinfo_missing(info: DataFrame, data: DataFrame, field: str) -> DataFrame:
-    """The distinct addresses nothing is known about."""
-    known = info.select(F.col("IP").alias(field)).distinct()
+def asked(
+    info: DataFrame, field: str, retry_before: str | datetime | None = None
+) -> DataFrame:
+    """The distinct addresses that need no lookup, as column ``field``.
+
+    Those known, and those a lookup has told nothing about; the latter are to
+    be asked again if the last lookup was before ``retry_before``.
+    """
+    if retry_before is not None:
+        info = info.where(_tells() | (F.col("TS_CODE") >= moment(retry_before)))
+    return info.select(F.col("IP").alias(field)).distinct()
+
+
+def ipinfo_missing(
+    info: DataFrame,
+    data: DataFrame,
+    field: str,
+    retry_before: str | datetime | None = None,
+) -> DataFrame:
+    """The distinct addresses that have to be looked up, see :func:`asked`."""
+    known = asked(info, field, retry_before)
     return distinct_ips(data, field).join(known, field, "left_anti")
 
 
@@ -62,14 +87,18 @@ def lookup_quota(
 
 
 def lookup_candidates(
-    info: DataFrame, data: DataFrame, field: str, limit: int
+    info: DataFrame,
+    data: DataFrame,
+    field: str,
+    limit: int,
+    retry_before: str | datetime | None = None,
 ) -> DataFrame:
-    """The busiest addresses nothing is known about, at most ``limit`` of them.
+    """The busiest addresses to be looked up, at most ``limit`` of them, see :func:`asked`.
 
     Busy means the sum of COUNT, or the number of rows where there is none.
     """
     weight = F.sum("COUNT") if "COUNT" in data.columns else F.count(F.lit(1))
-    known = info.select(F.col("IP").alias(field)).distinct()
+    known = asked(info, field, retry_before)
     return (
         data.where(F.col(field).isNotNull())
         .groupBy(field)
@@ -92,8 +121,8 @@ def look_up(
     The provider is called in the executors, over ``tasks`` tasks, once per
     address and attempt: write the result once and read it back rather than
     computing it twice. Its code must be importable there, or be defined inside
-    a function or script, which sends it along. Addresses it fails on or knows nothing about give no
-    row. Coordinates may come as text; what is not a number becomes null.
+    a function or script, which sends it along. An address it fails on or knows nothing about
+    gives a row without information, which counts as a lookup. Coordinates may come as text; what is not a number becomes null.
     """
     texts = ["IP", *INFO_COLUMNS]
 
@@ -102,14 +131,13 @@ def look_up(
             found = []
             for ip in batch[field]:
                 try:
-                    answer = provider(ip)
+                    answer = provider(ip) or {}
                 except Exception:  # one failed lookup must not end the job
                     logging.getLogger(__name__).warning("lookup failed: %s", ip)
-                    continue
-                if answer is not None:
-                    answer = {k.upper(): v for k, v in answer.items()} | {"IP": ip}
-                    values = [answer.get(c) for c in texts]
-                    found.append([None if v is None else str(v) for v in values])
+                    answer = {}
+                answer = {k.upper(): v for k, v in answer.items()} | {"IP": ip}
+                values = [answer.get(c) for c in texts]
+                found.append([None if v is None else str(v) for v in values])
             yield pd.DataFrame(found, columns=texts, dtype=object)
 
     answers = (

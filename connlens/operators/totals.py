@@ -78,7 +78,7 @@ def _tipo_of_set(tipos: Sequence[str], used: Sequence[str]) -> Column:
 
 
 def tag_run(
-    rows: DataFrame, since: str | datetime | None, run_ts: str | datetime
+    rows: DataFrame, since: str | datetime | Column | None, run_ts: str | datetime
 ) -> DataFrame:
     """Add the run's selection start (TS_FILTRO) and its own time (TS_CODE)."""
     return rows.withColumns(

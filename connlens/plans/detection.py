@@ -12,7 +12,7 @@ from ..operators.features import ddos_features, scan_features
 from ..operators.totals import tag_run
 from ..session import configure, materialize
 from ..sinks import has_model, load_model, save_model, write_results
-from ..sources.tables import select_conn
+from ..sources.tables import bucket_start, select_conn
 
 DDOS_SERVICES = ["http", "ssh"]
 SCAN_PROTOS = ["tcp", "udp"]
@@ -28,10 +28,10 @@ def run_ddos(
     retrain: bool = False,
     min_count: int | None = None,
 ) -> None:
-    """Score the traffic per minute of some services and store the rows."""
+    """Score the traffic per minute of some services, from the minute of ``since`` on, and store the rows."""
     _detect(
         raw, since, run_ts, table, models, services, retrain, min_count,
-        kind_column="SERVICE", features_of=ddos_features,
+        kind_column="SERVICE", features_of=ddos_features, grain="minute",
     )
 
 
@@ -45,10 +45,10 @@ def run_scan(
     retrain: bool = False,
     min_count: int | None = None,
 ) -> None:
-    """Score the traffic per hour of some protocols and store the rows."""
+    """Score the traffic per hour of some protocols, from the hour of ``since`` on, and store the rows."""
     _detect(
         raw, since, run_ts, table, models, protos, retrain, min_count,
-        kind_column="PROTO", features_of=scan_features,
+        kind_column="PROTO", features_of=scan_features, grain="hour",
     )
 
 
@@ -63,14 +63,16 @@ def _detect(
     min_count: int | None,
     kind_column: str,
     features_of: Callable[[DataFrame, Sequence[str]], DataFrame],
+    grain: str,
 ) -> None:
     """Score with the stored models; missing ones are trained and stored.
 
     All kinds share one pass over the log. With all models there, features go
-    straight into the scored table; training first writes them out once.
+    straight into the scored table; training first writes them out once. The
+    first bucket is whole, as a part of it would hide an attack.
     """
     spark = configure(raw.sparkSession)
-    features = features_of(select_conn(raw, since), kinds)
+    features = features_of(select_conn(raw, since, grain), kinds)
     untrained = [
         kind for kind in kinds if retrain or not has_model(spark, f"{models}/{kind}")
     ]
@@ -85,5 +87,5 @@ def _detect(
     }
     if centres:
         scored = score_kinds(features, kind_column, centres, min_count)
-        tagged = tag_run(scored, since, run_ts)
+        tagged = tag_run(scored, bucket_start(since, grain), run_ts)
         write_results(tagged, table, run_ts, by=[kind_column])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -18,31 +19,65 @@ from ..session import materialize
 from ..sinks import append_ip_info
 
 
+@dataclass(frozen=True)
+class Lookups:
+    """How a job looks up addresses.
+
+    provider: is asked about one address, see :func:`look_up`.
+    store: the folder of the IP_INFO table, to which all answers are added.
+    limit: most lookups of one job, the busiest addresses first.
+    per_day: the allowance of a day, over all jobs with the same IP_INFO.
+    retry_before: addresses without an answer are asked again if that was
+        before this time; None asks each address once.
+    """
+
+    provider: Provider
+    store: str | None = None
+    limit: int = 1000
+    per_day: int = 1000
+    retry_before: datetime | None = None
+
+
+def look_up_missing(
+    hosts: DataFrame,
+    info: DataFrame,
+    field: str,
+    run_ts: datetime,
+    lookups: Lookups | None,
+) -> DataFrame:
+    """IP_INFO with the addresses in ``field`` that were looked up now.
+
+    With a store, IP_INFO is read from it again, so that what earlier calls have added counts
+    towards the allowance and is not asked for again. Lookups are written once and
+    read back, so none is repeated.
+    """
+    if lookups is None:
+        return info
+    store, spark = lookups.store, info.sparkSession
+    if store is not None:
+        info = spark.read.schema(info.schema).parquet(store)
+    today = run_ts.replace(hour=0, minute=0, second=0, microsecond=0)
+    quota = lookup_quota(info, today, lookups.per_day).first()["QUOTA"]
+    most = min(lookups.limit, quota)
+    if most <= 0:
+        return info
+    wanted = lookup_candidates(info, hosts, field, most, lookups.retry_before)
+    found = materialize(look_up(wanted, field, lookups.provider, run_ts))
+    if store is None:
+        return ipinfo_union(info, found)
+    append_ip_info(found, store)
+    return spark.read.schema(info.schema).parquet(store)
+
+
 def process_ips(
     data: DataFrame,
     info: DataFrame,
     field: str,
     run_ts: datetime,
-    limit: int = 0,
-    provider: Provider | None = None,
-    store: str | None = None,
-    per_day: int = 1000,
+    lookups: Lookups | None = None,
 ) -> DataFrame:
     """Data rows with the IP_INFO columns of the address in ``field``.
 
-    Up to ``limit`` unknown addresses, the busiest first, are looked up with
-    the provider while the day's allowance lasts; 0 uses known ones only.
-    Lookups are written once and read back, so none is repeated. ``store`` is
-    the folder of the IP_INFO table to add them to, written at the end.
+    With ``lookups``, unknown addresses are looked up first.
     """
-    if limit <= 0 or provider is None:
-        return enrich(data, info, field)
-    today = run_ts.replace(hour=0, minute=0, second=0, microsecond=0)
-    quota = lookup_quota(info, today, per_day).first()["QUOTA"]
-    if quota <= 0:
-        return enrich(data, info, field)
-    wanted = lookup_candidates(info, data, field, min(limit, quota))
-    found = materialize(look_up(wanted, field, provider, run_ts))
-    if store is not None:
-        append_ip_info(found, store)
-    return enrich(data, ipinfo_union(info, found), field)
+    return enrich(data, look_up_missing(data, info, field, run_ts, lookups), field)

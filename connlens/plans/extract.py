@@ -13,21 +13,18 @@ from ..sources.records import conn_records, dns_records, http_records
 from ..sources.tables import select_recent
 
 
-def extract(
-    raw: DataFrame, since: str | datetime, out: str, limit: int | None = None
-) -> None:
+def extract(raw: DataFrame, since: str | datetime, out: str) -> None:
     """Write CONN-ALL, DNS-ALL, HTTP-ALL, CONN-WWW and CONN-WWW-SUM as CSV.
 
     Each extract filters on TIPO, which prunes a raw log partitioned by it.
-    ``limit`` takes that many arbitrary rows per kind.
     """
     configure(raw.sparkSession)
     recent = select_recent(raw, since)
-    conn = conn_records(recent, limit=limit)
-    dns = dns_records(recent, limit=limit)
+    conn = conn_records(recent)
+    dns = dns_records(recent)
     write_csv(conn, f"{out}/CONN-ALL")
     write_csv(dns, f"{out}/DNS-ALL")
-    write_csv(http_records(recent, limit=limit), f"{out}/HTTP-ALL")
+    write_csv(http_records(recent), f"{out}/HTTP-ALL")
 
     joined = materialize(conn_by_dns_query(conn, dns_www(dns)))
     write_csv(by_orig_bytes(joined), f"{out}/CONN-WWW")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.clusters import attackers
-from ..operators.enrich import Provider
+from ..operators.enrich import enrich
 from ..operators.exports import busiest_first, totals_export, with_text_time
 from ..operators.pivots import history, spread, victim_counts
 from ..operators.ranking import (
@@ -24,9 +24,7 @@ from ..session import configure
 from ..sinks import write_csv
 from ..sources.tables import select_scores, select_totals
 from .detection import DDOS_SERVICES, SCAN_PROTOS
-from .enrichment import process_ips
-
-LOOKUPS = 1000
+from .enrichment import Lookups, look_up_missing
 
 # Total type -> column of its pivots.
 PIVOTS = {"PROTO": "PROTO", "PROTO_SERVICE": "SERVICE"}
@@ -39,21 +37,20 @@ def report_sources(
     run_ts: datetime,
     out: str,
     prefix: str,
-    provider: Provider | None = None,
-    store: str | None = None,
+    lookups: Lookups | None = None,
 ) -> DataFrame:
     """Sources of connections into a network, with what is known about them.
 
-    Writes the enriched totals and returns the enriched ranking. With a
-    provider, unknown addresses of the ranking are looked up first.
+    Writes the enriched totals and returns the enriched ranking. With ``lookups``,
+    unknown addresses of the ranking are looked up first.
     """
     configure(totals.sparkSession)
     recent = select_totals(totals, since, "ORIG_H_RESP_H")
     ranking = orig_h_ranking(recent, prefix)
-    ranked = _ranked(ranking, info, "ID_ORIG_H", run_ts, provider, store)
-    rows = process_ips(inbound_to_prefix(recent, prefix), info, "ID_ORIG_H", run_ts)
+    info = look_up_missing(ranking, info, "ID_ORIG_H", run_ts, lookups)
+    rows = enrich(inbound_to_prefix(recent, prefix), info, "ID_ORIG_H")
     write_csv(busiest_first(rows, "ORIG_H_RESP_H"), f"{out}/ORIG_H_RESP_H_INFO_WEB")
-    return ranked
+    return enrich(ranking, info, "ID_ORIG_H")
 
 
 def report_responders(
@@ -62,8 +59,7 @@ def report_responders(
     since: str | datetime,
     run_ts: datetime,
     out: str,
-    provider: Provider | None = None,
-    store: str | None = None,
+    lookups: Lookups | None = None,
 ) -> DataFrame:
     """Targets of connections, with what is known about them.
 
@@ -72,22 +68,10 @@ def report_responders(
     configure(totals.sparkSession)
     recent = select_totals(totals, since, "PROTO_SERVICE_RESP_H")
     ranking = resp_h_ranking(recent)
-    ranked = _ranked(ranking, info, "ID_RESP_H", run_ts, provider, store)
-    rows = process_ips(responder_totals(recent), info, "ID_RESP_H", run_ts)
+    info = look_up_missing(ranking, info, "ID_RESP_H", run_ts, lookups)
+    rows = enrich(responder_totals(recent), info, "ID_RESP_H")
     write_csv(busiest_first(rows, "PROTO_SERVICE_RESP_H"), f"{out}/PROTO_SERVICE_RESP_H_INFO_WEB")
-    return ranked
-
-
-def _ranked(
-    ranking: DataFrame,
-    info: DataFrame,
-    field: str,
-    run_ts: datetime,
-    provider: Provider | None,
-    store: str | None,
-) -> DataFrame:
-    limit = LOOKUPS if provider is not None else 0
-    return process_ips(ranking, info, field, run_ts, limit, provider, store)
+    return enrich(ranking, info, "ID_RESP_H")
 
 
 def report_totals(
@@ -106,27 +90,34 @@ def report_totals(
             rows = recent.where(F.col("TIPO") == tipo)
             for grain, name in (("hour", "H"), ("day", "D")):
                 target = f"{out}/{tipo}_{tipo}_PIVOT_{name}"
-                write_pivot(history(rows, column, grain), column, target, grain)
+                write_history(history(rows, column, grain), column, target, grain, wide=True)
 
 
-def write_pivot(long: DataFrame, column: str, path: str, grain: str) -> None:
-    """Write a history as a pivoted CSV.
+def write_history(
+    long: DataFrame, column: str, path: str, grain: str, wide: bool
+) -> None:
+    """Write a history as CSV, in the layout the caller chooses.
 
-    With more values than Spark accepts as pivot columns, the same numbers are
-    written in long form, sorted by time and value: no value is left out.
+    Wide: one column per value, for columns of a few values such as protocols. Long: time, value
+    and COUNT, sorted, for hosts, of which there may be any number.
     """
+    if not wide:
+        write_csv(with_text_time(long.orderBy("TS", column), grain), path)
+        return
     long = long.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        most = int(long.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-        if long.select(column).distinct().count() <= most:
-            table = spread(long, column)
-        else:
-            table = long.orderBy("TS", column)
-        write_csv(with_text_time(table, grain), path)
+        write_csv(with_text_time(spread(long, column), grain), path)
     finally:
         long.unpersist()
 
 
+def _attack_rows(
+    scores: DataFrame, since: str | datetime, kind_column: str, kinds: Sequence[str]
+) -> DataFrame:
+    rows = select_scores(scores, since).where(F.col(kind_column).isin(*kinds))
+    return rows.where(F.col("PREDICTION") == 1)
+
+
 def report_scores(
     scores: DataFrame,
     info: DataFrame,
@@ -137,25 +128,27 @@ def report_scores(
     kinds: Sequence[str],
     label: str,
     native: str,
-    provider: Provider | None = None,
-    store: str | None = None,
+    lookups: Lookups | None = None,
 ) -> dict[str, DataFrame]:
     """Write the enriched scores and the victims' histories of each kind.
 
     ``native`` is the time bucket of the scored rows. Returns the enriched
-    attackers by kind.
+    attackers by kind. Attackers of all kinds are looked up in one step.
     """
+    attack = _attack_rows(scores, since, kind_column, kinds)
+    info = look_up_missing(attack, info, "ID_ORIG_H", run_ts, lookups)
     found = {}
     for kind in kinds:
         rows = select_scores(scores, since).where(F.col(kind_column) == kind)
         hosts = attackers(rows, kind_column).select("ID_ORIG_H")
-        found[kind] = _ranked(hosts, info, "ID_ORIG_H", run_ts, provider, store)
-        enriched = process_ips(rows.drop("CENTROID"), info, "ID_ORIG_H", run_ts)
+        found[kind] = enrich(hosts, info, "ID_ORIG_H")
+        enriched = enrich(rows.drop("CENTROID"), info, "ID_ORIG_H")
         write_csv(enriched, f"{out}/{label}_{kind}")
         # The first file is at the rows' own time, whatever its name says.
         for grain, name in ((native, "M"), ("hour", "H")):
             long = victim_counts(rows, kind_column, grain)
-            write_pivot(long, "ID_RESP_H", f"{out}/{label}_{kind}_PIVOT_{name}", grain)
+            target = f"{out}/{label}_{kind}_PIVOT_{name}"
+            write_history(long, "ID_RESP_H", target, grain, wide=False)
     return found
 
 
@@ -166,13 +159,11 @@ def report_ddos(
     run_ts: datetime,
     out: str,
     services: Sequence[str] = DDOS_SERVICES,
-    provider: Provider | None = None,
-    store: str | None = None,
+    lookups: Lookups | None = None,
 ) -> dict[str, DataFrame]:
     """Report on scored DDoS rows, see :func:`report_scores`."""
     return report_scores(
-        scores, info, since, run_ts, out, "SERVICE", services, "DDoS", "minute",
-        provider, store,
+        scores, info, since, run_ts, out, "SERVICE", services, "DDoS", "minute", lookups
     )
 
 
@@ -183,13 +174,11 @@ def report_scan(
     run_ts: datetime,
     out: str,
     protos: Sequence[str] = SCAN_PROTOS,
-    provider: Provider | None = None,
-    store: str | None = None,
+    lookups: Lookups | None = None,
 ) -> dict[str, DataFrame]:
     """Report on scored port-scan rows, see :func:`report_scores`."""
     return report_scores(
-        scores, info, since, run_ts, out, "PROTO", protos, "Scan", "hour",
-        provider, store,
+        scores, info, since, run_ts, out, "PROTO", protos, "Scan", "hour", lookups
     )
 
 
@@ -201,11 +190,20 @@ def report_all(
     since: str | datetime,
     run_ts: datetime,
     out: str,
-    provider: Provider | None = None,
-    store: str | None = None,
+    lookups: Lookups | None = None,
 ) -> None:
-    """The whole report: responders, totals, DDoS and port scans."""
-    report_responders(totals, info, since, run_ts, out, provider, store)
+    """The whole report: responders, totals, DDoS and port scans.
+
+    Responders and attackers are looked up together, in one step, before any file is written.
+    """
+    ddos = _attack_rows(ddos_scores, since, "SERVICE", DDOS_SERVICES)
+    scan = _attack_rows(scan_scores, since, "PROTO", SCAN_PROTOS)
+    responders = select_totals(totals, since, "PROTO_SERVICE_RESP_H")
+    hosts = responders.select(F.col("ID_RESP_H").alias("IP"), "COUNT")
+    for rows in (ddos, scan):
+        hosts = hosts.union(rows.select(F.col("ID_ORIG_H").alias("IP"), "COUNT"))
+    info = look_up_missing(hosts, info, "IP", run_ts, lookups)
+    report_responders(totals, info, since, run_ts, out)
     report_totals(totals, since, out)
-    report_ddos(ddos_scores, info, since, run_ts, out, provider=provider, store=store)
-    report_scan(scan_scores, info, since, run_ts, out, provider=provider, store=store)
+    report_ddos(ddos_scores, info, since, run_ts, out)
+    report_scan(scan_scores, info, since, run_ts, out)

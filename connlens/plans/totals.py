@@ -12,7 +12,7 @@ from ..operators.totals import roll_up, tag_run, totals_all
 from ..schemas import DEFAULT_TOTAL_TYPES, TOTAL_TYPES, TOTALS_SCHEMA
 from ..session import configure
 from ..sinks import read_results, write_results
-from ..sources.tables import select_conn
+from ..sources.tables import bucket_start, select_conn
 
 
 def run_totals(
@@ -22,12 +22,13 @@ def run_totals(
     table: str,
     tipos: Sequence[str] = DEFAULT_TOTAL_TYPES,
 ) -> None:
-    """Compute the totals of the connections after ``since`` and store them.
+    """Compute the totals of the connections from the hour of ``since`` on and store them.
 
-    The log is read once for all types.
+    The log is read once for all types. The hour is whole, and recorded in TS_FILTRO: a
+    later run replaces totals of an hour by totals of the same hour.
     """
     configure(raw.sparkSession)
-    _store(totals_all(select_conn(raw, since), tipos), since, run_ts, table)
+    _store(totals_all(select_conn(raw, since, "hour"), tipos), since, run_ts, table)
 
 
 def add_totals(
@@ -48,12 +49,16 @@ def add_totals(
     for tipo in tipos:
         if not set(TOTAL_TYPES[tipo]) < set(TOTAL_TYPES[source]):
             raise ValueError(f"{tipo} cannot be rolled up from {source}")
-    _store(roll_up(fine, tipos), since, run_ts, table)
+    _store(roll_up(fine, tipos), since, run_ts, table, add=True)
 
 
 def _store(
-    rows: DataFrame, since: str | datetime | None, run_ts: datetime, table: str
+    rows: DataFrame,
+    since: str | datetime | None,
+    run_ts: datetime,
+    table: str,
+    add: bool = False,
 ) -> None:
-    tagged = tag_run(rows, since, run_ts)
+    tagged = tag_run(rows, bucket_start(since, "hour"), run_ts)
     columns = [c for c in TOTALS_SCHEMA.names if c != "ROW_ID"]
-    write_results(tagged.select(*columns), table, run_ts, by=["TIPO"])
+    write_results(tagged.select(*columns), table, run_ts, by=["TIPO"], add=add)

@@ -14,29 +14,32 @@ RUN = "RUN"
 
 
 def run_name(run_ts: datetime) -> str:
-    """Partition value of a run."""
+    """Partition value of a run. Names sort by time."""
     return run_ts.strftime("run-%Y%m%dT%H%M%S.%f")
 
 
 def write_results(
-    rows: DataFrame, path: str, run_ts: datetime, by: Sequence[str] = ()
+    rows: DataFrame,
+    path: str,
+    run_ts: datetime,
+    by: Sequence[str] = (),
+    add: bool = False,
 ) -> None:
-    """Write the rows of one run, replacing those of the same run.
+    """Write the rows of one run, replacing all that the same run has stored.
 
-    ``by`` are further partition columns. The rebalance gathers each partition
-    into files of a good size and cuts large ones up. ROW_ID comes after
-    it, in the writing task, so a task that runs again replaces its whole file
-    and no id occurs twice. An empty result writes no data files.
+    ``by`` are further partition columns, below the run's folder. With ``add``
+    only the partitions written are replaced, and the run's others stay. The
+    rebalance gathers each partition into files of a good size and cuts large ones
+    up. ROW_ID comes after it, in the writing task, so a task that runs again replaces its
+    whole file and no id occurs twice. An empty result leaves a run without
+    rows; with ``by`` it writes no data files.
     """
-    named = rows.withColumn(RUN, F.lit(run_name(run_ts)))
-    spread = named.hint("rebalance", *by) if by else named.hint("rebalance")
-    (
-        with_row_id(spread)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*by, RUN)
-        .parquet(path)
-    )
+    spread = rows.hint("rebalance", *by) if by else rows.hint("rebalance")
+    writer = with_row_id(spread).write.mode("overwrite")
+    if by:
+        replaced = "dynamic" if add else "static"
+        writer = writer.partitionBy(*by).option("partitionOverwriteMode", replaced)
+    writer.parquet(f"{path.rstrip('/')}/{RUN}={run_name(run_ts)}")
 
 
 def read_results(
@@ -44,16 +47,24 @@ def read_results(
     path: str,
     keys: Sequence[str] | None = None,
     run_ts: datetime | None = None,
+    since: datetime | None = None,
+    all_runs: bool = False,
 ) -> DataFrame:
     """Read a result table: one run of it, or the newest row per key.
 
-    With ``run_ts`` only that run's partitions are read. With ``keys`` a row
-    of a later run replaces the earlier one with the same key; nulls in a key
-    are equal. Each map task passes on one row per key only.
+    With ``run_ts`` only that run's partitions are read, with ``since`` only those of
+    runs from then on. With ``keys`` a row of a later run replaces the earlier one with
+    the same key; nulls in a key are equal. Each map task passes on one row per key
+    only. Runs may overlap, so rows of several without ``keys`` must be asked
+    for by ``all_runs``.
     """
+    if keys is None and run_ts is None and not all_runs:
+        raise ValueError("runs may overlap: give keys, run_ts or all_runs=True")
     table = spark.read.parquet(path)
     if run_ts is not None:
         table = table.where(F.col(RUN) == run_name(run_ts))
+    if since is not None:
+        table = table.where(F.col(RUN) >= run_name(since))
     if keys is not None:
         latest = Window.partitionBy(*keys).orderBy(F.desc("TS_CODE"), F.desc("ROW_ID"))
         table = table.withColumn("_place", F.row_number().over(latest))

@@ -12,32 +12,21 @@ from ..schemas import CONN, CONN_SCHEMA, DNS, DNS_SCHEMA, HTTP, HTTP_SCHEMA
 
 
 def _records(
-    raw: DataFrame,
-    kind: str,
-    schema: T.StructType,
-    extra: Sequence[str],
-    limit: int | None,
+    raw: DataFrame, kind: str, schema: T.StructType, extra: Sequence[str]
 ) -> DataFrame:
-    rows = raw.where(F.col("TIPO") == kind).select(*schema.names, *extra)
-    return rows if limit is None else rows.limit(limit)
+    return raw.where(F.col("TIPO") == kind).select(*schema.names, *extra)
 
 
-def conn_records(
-    raw: DataFrame, extra: Sequence[str] = (), limit: int | None = None
-) -> DataFrame:
-    """Connection records; ``limit`` takes an arbitrary sample of that many rows."""
-    return _records(raw, CONN, CONN_SCHEMA, extra, limit)
+def conn_records(raw: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Connection records."""
+    return _records(raw, CONN, CONN_SCHEMA, extra)
 
 
-def dns_records(
-    raw: DataFrame, extra: Sequence[str] = (), limit: int | None = None
-) -> DataFrame:
-    """DNS records; ``limit`` takes an arbitrary sample of that many rows."""
-    return _records(raw, DNS, DNS_SCHEMA, extra, limit)
+def dns_records(raw: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """DNS records."""
+    return _records(raw, DNS, DNS_SCHEMA, extra)
 
 
-def http_records(
-    raw: DataFrame, extra: Sequence[str] = (), limit: int | None = None
-) -> DataFrame:
-    """HTTP records; ``limit`` takes an arbitrary sample of that many rows."""
-    return _records(raw, HTTP, HTTP_SCHEMA, extra, limit)
+def http_records(raw: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """HTTP records."""
+    return _records(raw, HTTP, HTTP_SCHEMA, extra)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import moment
+from ..functions import bucket, moment
 from ..schemas import CONN
 
 
@@ -43,10 +43,25 @@ def select_recent(raw: DataFrame, since: str | datetime) -> DataFrame:
     return raw.where(later_than("TS_CODE", since))
 
 
-def select_conn(raw: DataFrame, since: str | datetime | None = None) -> DataFrame:
-    """Connection records of events after ``since``."""
+def select_conn(
+    raw: DataFrame, since: str | datetime | None = None, whole: str | None = None
+) -> DataFrame:
+    """Connection records of events after ``since``.
+
+    With ``whole``, a time bucket, they begin with the start of the bucket that
+    ``since`` is in, so that no bucket is counted in part.
+    """
     conn = raw.where(F.col("TIPO") == CONN)
-    return conn if since is None else conn.where(later_than("TS", since))
+    if since is None:
+        return conn
+    if whole is None:
+        return conn.where(later_than("TS", since))
+    return conn.where(F.col("TS") >= bucket_start(since, whole))
+
+
+def bucket_start(since: str | datetime | None, grain: str) -> Column:
+    """Start of the bucket that a point in time is in; null for none."""
+    return bucket(grain, moment(since))
 
 
 def select_results(table: DataFrame, since: str | datetime, tipo: str) -> DataFrame:

@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +7,7 @@ from connlens import fixtures as fx
 from connlens.functions import measured_bytes
 from connlens.operators import enrich as en
 from connlens.operators.totals import totals
-from connlens.plans.enrichment import process_ips
+from connlens.plans.enrichment import Lookups, process_ips
 from connlens.schemas import IP_INFO_SCHEMA
 from logs import as_set
 
@@ -85,7 +85,9 @@ def test_lookup_tolerates_failures_and_bad_numbers(spark):
     assert found.schema.names == IP_INFO_SCHEMA.names
     assert [f.dataType for f in found.schema] == [f.dataType for f in IP_INFO_SCHEMA]
     assert as_set(found, "IP", "HOSTNAME", "LATITUDE", "LONGITUDE", "TS_CODE") == [
-        ("x", "h-x", 1.5, None, RUN)
+        ("bad", None, None, None, RUN),
+        ("unknown", None, None, None, RUN),
+        ("x", "h-x", 1.5, None, RUN),
     ]
 
 
@@ -108,13 +110,19 @@ def test_pipeline_looks_up_stores_and_joins(spark, tmp_path):
 
     stored = [("a", "known"), ("bad", None), ("x", None), ("y", None), ("z", None)]
     assert run() == stored
-    assert run(limit=3, provider=None) == stored
     # The busiest three are asked; one of them fails.
     enriched = [("a", "known"), ("bad", None), ("x", "h-x"), ("y", "h-y"), ("z", None)]
-    asked = run(limit=3, provider=sample_provider(), store=store)
+    asked = run(lookups=Lookups(sample_provider(), store, limit=3))
     assert asked == enriched
-    assert {r["IP"] for r in spark.read.parquet(store).collect()} == {"a", "x", "y"}
+    assert {r["IP"] for r in spark.read.parquet(store).collect()} == {"a", "bad", "x", "y"}
     assert run() == enriched
+    # The one that failed is asked again only when told to.
+    def missing(retry):
+        info = spark.read.parquet(store)
+        return as_set(en.ipinfo_missing(info, data, "ID_ORIG_H", retry))
+
+    assert missing(None) == [("z",)]
+    assert missing(RUN + timedelta(seconds=1)) == [("bad",), ("z",)]
 
 
 def test_pipeline_stops_at_the_days_allowance(spark):
@@ -122,7 +130,7 @@ def test_pipeline_stops_at_the_days_allowance(spark):
     data = data_rows(spark, ("x", 2), ("y", 1))
     for per_day, hosts in ((1, [None, None]), (2, ["h-x", None]), (9, ["h-x", "h-y"])):
         out = process_ips(
-            data, info, "ID_ORIG_H", RUN, 5, sample_provider(), per_day=per_day
+            data, info, "ID_ORIG_H", RUN, Lookups(sample_provider(), limit=5, per_day=per_day)
         )
         assert [r[1] for r in as_set(out, "ID_ORIG_H", "HOSTNAME")] == hosts
 

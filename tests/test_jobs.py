@@ -1,6 +1,6 @@
 """The jobs end to end: stored log in, stored results and files out."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from connlens.operators.clusters import centres_of, train
 from connlens.operators.features import ddos_features
 from connlens.operators.totals import totals_all
 from connlens.plans.detection import run_ddos, run_scan
+from connlens.plans.enrichment import Lookups
 from connlens.plans.extract import extract, inspect
 from connlens.plans.report import (
     report_all,
@@ -42,7 +43,7 @@ def store(spark, tmp_path_factory):
 
 
 def table(spark, store, name):
-    return read_results(spark, str(store / name))
+    return read_results(spark, str(store / name), run_ts=RUN)
 
 
 def csv(spark, folder):
@@ -63,7 +64,7 @@ def test_totals_added_from_stored_ones(spark, store, tmp_path):
     raw = spark.read.parquet(str(store / "LOG"))
     run_totals(raw, START, RUN, path, ["ORIG_H_P_RESP_H_P"])
     add_totals(spark, START, RUN, path, "ORIG_H_P_RESP_H_P", ["ORIG_H_P", "RESP_P"])
-    added = read_results(spark, path).where("TIPO <> 'ORIG_H_P_RESP_H_P'")
+    added = read_results(spark, path, run_ts=RUN).where("TIPO <> 'ORIG_H_P_RESP_H_P'")
     expected = totals_all(fx.conn_log(spark, SF), ["ORIG_H_P", "RESP_P"])
     assert as_set(added, *expected.columns) == as_set(expected)
     with pytest.raises(ValueError, match="PROTO"):
@@ -79,14 +80,14 @@ def test_detection_trains_once_and_then_loads(spark, store, tmp_path):
     again = str(tmp_path / "DDOS")
     run_ddos(raw, START, RUN, again, models)
     columns = [c for c in DDOS_SCHEMA.names if c != "ROW_ID"]
-    assert as_set(read_results(spark, again), *columns) == as_set(stored, *columns)
+    assert as_set(read_results(spark, again, run_ts=RUN), *columns) == as_set(stored, *columns)
 
     own = str(tmp_path / "models")
     rows = ddos_features(select_conn(raw), ["http"])
     model = train(rows.where("COUNT < 3"))
     save_model(model, f"{own}/http")
     run_ddos(raw, START, RUN, str(tmp_path / "X"), own, ["http"])
-    scored = read_results(spark, str(tmp_path / "X"))
+    scored = read_results(spark, str(tmp_path / "X"), run_ts=RUN)
     assert scored.first()["CENTROID"] == centres_of(model)
     run_ddos(raw, START, RUN, str(tmp_path / "Y"), own, ["http"], retrain=True)
     assert centres_of(load_model(f"{own}/http"))[1] == 30.0
@@ -96,7 +97,7 @@ def test_kinds_without_rows_are_left_out(spark, store, tmp_path):
     raw = spark.read.parquet(str(store / "LOG"))
     path, models = str(tmp_path / "D"), str(tmp_path / "models")
     run_ddos(raw, START, RUN, path, models, ["http", "gopher"])
-    assert as_set(read_results(spark, path).select("SERVICE").distinct()) == [("http",)]
+    assert as_set(read_results(spark, path, run_ts=RUN).select("SERVICE").distinct()) == [("http",)]
     assert not has_model(spark, f"{models}/gopher")
 
 
@@ -105,9 +106,6 @@ def test_extract_job(spark, store, tmp_path):
     names = ("CONN-ALL", "DNS-ALL", "HTTP-ALL", "CONN-WWW", "CONN-WWW-SUM")
     rows = [csv(spark, tmp_path / name).count() for name in names]
     assert rows == [10_000, 2017, 2006, 692, 10]
-    limited = str(tmp_path / "limited")
-    extract(spark.read.parquet(str(store / "LOG")), START, limited, limit=7)
-    assert csv(spark, f"{limited}/CONN-ALL").count() == 7
 
 
 def test_inspect_job(spark, store, capsys):
@@ -126,7 +124,7 @@ def test_sources_report_with_lookups(spark, store, tmp_path):
     info = spark.read.parquet(folder)
     before = info.count()
     ranked = report_sources(
-        totals, info, START, RUN, str(tmp_path), "200.18.", provider(), folder
+        totals, info, START, RUN, str(tmp_path), "200.18.", Lookups(provider(), folder)
     )
     assert ranked.where(F.col("HOSTNAME").isNull()).isEmpty()
     added = spark.read.parquet(folder).where(F.col("TS_CODE") == F.lit(RUN))
@@ -134,6 +132,35 @@ def test_sources_report_with_lookups(spark, store, tmp_path):
     file = csv(spark, tmp_path / "ORIG_H_RESP_H_INFO_WEB")
     assert file.count() == 1779
     assert {"HOSTNAME", "COUNTRY"} <= set(file.columns)
+    assert file.where("HOSTNAME IS NULL").isEmpty()
+
+
+def test_whole_report_keeps_the_allowance(spark, store, tmp_path):
+    folder = str(tmp_path / "IP_INFO")
+    spark.read.parquet(str(store / "IP_INFO")).where("IP LIKE '172.%'").write.parquet(folder)
+    info = spark.read.parquet(folder)
+    tables = [table(spark, store, name) for name in ("TOTALS", "DDOS", "SCAN")]
+
+    def provider():
+        def ask(ip):
+            raise RuntimeError("no answer")
+
+        return ask
+
+    def run(run_ts, **more):
+        lookups = Lookups(provider(), folder, per_day=2, **more)
+        report_all(*tables, info, START, run_ts, str(tmp_path / "out"), lookups)
+        asked = spark.read.parquet(folder).where("IP NOT LIKE '172.%'")
+        return [r["IP"] for r in asked.collect()]
+
+    first = run(RUN)
+    assert len(first) == len(set(first)) == 2
+    # The allowance is used up, then others are asked, and failures only when it is time.
+    assert sorted(run(RUN)) == sorted(first)
+    then = run(RUN + timedelta(days=1))
+    assert len(then) == len(set(then)) == 4
+    again = run(RUN + timedelta(days=2), retry_before=RUN + timedelta(hours=1))
+    assert len(again) == 6 and len(set(again)) == 4
 
 
 def test_responders_report(spark, store, tmp_path):
@@ -165,7 +192,7 @@ def test_whole_report(spark, store, tmp_path):
     assert services.columns == ["TS", "null", "dns", "http", "ssh", "ssl"]
     assert services.first()["TS"] == "01.01.2024 00"
     victims = csv(spark, tmp_path / "DDoS_http_PIVOT_M")
-    assert victims.columns == ["TS", "200.18.0.80"]
+    assert victims.columns == ["TS", "ID_RESP_H", "COUNT"]
     assert victims.count() == 50
     assert "CENTROID" not in csv(spark, tmp_path / "DDoS_http").columns
 

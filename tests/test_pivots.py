@@ -11,7 +11,7 @@ from connlens.operators.ranking import (
     top_conn_by_bytes,
 )
 from connlens.operators.totals import totals, totals_all
-from connlens.plans.report import write_pivot
+from connlens.plans.report import write_history
 from logs import as_set, conn_rows
 
 T1, T2 = datetime(2024, 1, 31, 9, 5), datetime(2024, 2, 1, 9, 40)
@@ -55,26 +55,27 @@ def test_cells_add_up_to_the_long_form(spark, small):
     assert wide == {r["TS"]: r["n"] for r in tall}
 
 
-def test_too_many_values_are_written_in_long_form(spark, tmp_path):
-    rows = rows_at(spark, (T1, "a", 1), (T1, "b", 2), (T2, "a", 3))
-    long = history(rows, "SERVICE", "hour")
-    most = spark.conf.get("spark.sql.pivotMaxValues")
-    written = {}
-    for limit in ("2", "1"):
-        spark.conf.set("spark.sql.pivotMaxValues", limit)
-        try:
-            write_pivot(long, "SERVICE", str(tmp_path / limit), "hour")
-        finally:
-            spark.conf.set("spark.sql.pivotMaxValues", most)
-        table = spark.read.csv(str(tmp_path / limit), header=True)
-        written[limit] = (table.columns, as_set(table))
-    assert written["2"] == (
-        ["TS", "a", "b"], [("01.02.2024 09", "3", None), ("31.01.2024 09", "1", "2")],
+def test_a_history_file_has_the_layout_asked_for(spark, tmp_path):
+    rows = totals(
+        conn_rows(spark, {"SERVICE": "http"}, {"SERVICE": "dns"}, {"SERVICE": None}), "SERVICE"
     )
-    assert written["1"] == (
-        ["TS", "SERVICE", "COUNT"],
-        [("01.02.2024 09", "a", "3"), ("31.01.2024 09", "a", "1"), ("31.01.2024 09", "b", "2")],
+    for wide, columns in ((True, ["TS", "null", "dns", "http"]), (False, ["TS", "SERVICE", "COUNT"])):
+        path = str(tmp_path / str(wide))
+        write_history(history(rows, "SERVICE", "hour"), "SERVICE", path, "hour", wide)
+        file = spark.read.csv(path, header=True)
+        assert file.columns == columns
+        assert file.count() == (1 if wide else 3)
+
+
+def test_a_long_history_has_any_number_of_hosts(spark, tmp_path):
+    hosts = spark.range(20_000).select(
+        F.lit("2024-01-01 10:00:00").cast("timestamp").alias("TS"),
+        F.col("id").cast("string").alias("ID_RESP_H"),
+        F.lit(1).cast("bigint").alias("COUNT"),
     )
+    write_history(hosts, "ID_RESP_H", str(tmp_path / "H"), "hour", wide=False)
+    file = spark.read.csv(str(tmp_path / "H"), header=True)
+    assert file.columns == ["TS", "ID_RESP_H", "COUNT"] and file.count() == 20_000
 
 
 def test_history_of_victims_only(spark):

@@ -47,7 +47,6 @@ def test_extracts_take_one_kind_and_its_columns(spark, small):
         rows = extract(raw)
         assert rows.schema.names == schema.names
         assert as_set(rows.select("TIPO").distinct()) == [(kind,)]
-        assert extract(raw, limit=3).count() == 3
     extra = records.dns_records(raw, extra=["ANSWERS", "TTLS"])
     assert extra.columns[-2:] == ["ANSWERS", "TTLS"]
 
@@ -134,7 +133,9 @@ def test_a_run_written_again_replaces_itself_only(spark, tmp_path):
     write(R1, {}, {}, {"PROTO": "udp"})
     write(R2, {}, {}, {})
     write(R2, {})
-    assert as_set(read_results(spark, path), "PROTO", "COUNT") == [
+    with pytest.raises(ValueError, match="overlap"):
+        read_results(spark, path)
+    assert as_set(read_results(spark, path, all_runs=True), "PROTO", "COUNT") == [
         ("tcp", 1),
         ("tcp", 2),
         ("udp", 1),
@@ -142,6 +143,14 @@ def test_a_run_written_again_replaces_itself_only(spark, tmp_path):
     assert as_set(read_results(spark, path, run_ts=R2), "PROTO", "COUNT") == [("tcp", 1)]
     newest = read_results(spark, path, ["TIPO", "TS", "PROTO"])
     assert as_set(newest, "PROTO", "COUNT") == [("tcp", 1), ("udp", 1)]
+    late = read_results(spark, path, since=R2, all_runs=True)
+    assert as_set(late, "PROTO", "COUNT") == [("tcp", 1)]
+    # Fewer types than before: the run's earlier ones go.
+    rows = totals(conn_rows(spark, {}), "SERVICE")
+    write_results(tag_run(rows, None, R2), path, R2, ["TIPO"])
+    assert as_set(read_results(spark, path, run_ts=R2), "TIPO") == [("SERVICE",)]
+    write_results(tag_run(totals(conn_rows(spark, {}), "PROTO"), None, R2), path, R2, ["TIPO"], add=True)
+    assert as_set(read_results(spark, path, run_ts=R2), "TIPO") == [("PROTO",), ("SERVICE",)]
 
 
 def test_versions_of_a_key_are_thinned_out_before_the_shuffle(spark, tmp_path):
@@ -166,16 +175,18 @@ def test_row_ids_are_unique_in_a_run_and_type(spark, small, tmp_path):
     path = str(tmp_path / "T")
     rows = totals(fx.conn_log(spark, small), "ORIG_H_RESP_H")
     write_results(tag_run(rows, None, R1), path, R1, ["TIPO"])
-    stored = read_results(spark, path)
+    stored = read_results(spark, path, run_ts=R1)
     assert stored.select("ROW_ID").distinct().count() == stored.count() > 0
 
 
-def test_empty_results_leave_the_table_alone(spark, tmp_path):
+def test_an_empty_run_replaces_its_earlier_rows(spark, tmp_path):
     path = str(tmp_path / "T")
     rows = tag_run(totals(conn_rows(spark, {}), "PROTO"), None, R1)
     write_results(rows, path, R1, ["TIPO"])
+    write_results(rows, path, R2, ["TIPO"])
     write_results(rows.limit(0), path, R1, ["TIPO"])
-    assert read_results(spark, path).count() == 1
+    assert read_results(spark, path, run_ts=R1).isEmpty()
+    assert read_results(spark, path, run_ts=R2).count() == 1
 
 
 class FakeSession:
