@@ -213,6 +213,13 @@ def all_oracles() -> dict[str, str]:
     sql["totals_two_runs"] = sql["totals_all"]
     for attack, kinds in _KINDS.items():
         sql[f"scores_two_runs_{attack}"] = _with(_features(attack, kinds))
+        sql[f"detection_fit_{attack}"] = _with(
+            f"SELECT {_KIND[attack]}, PREDICTION, ROUND(CENTRE, 6) AS CENTRE, "
+            'CAST(COUNT(*) AS BIGINT) AS "ROWS", '
+            'ROUND(SUM(("COUNT" - CENTRE) * ("COUNT" - CENTRE)), 6) AS WSSSE '
+            f"FROM scored GROUP BY {_KIND[attack]}, PREDICTION, CENTRE",
+            **_scored(attack, kinds),
+        )
 
     # Rankings
     sql["top_conn_by_bytes"] = _with(

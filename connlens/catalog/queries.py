@@ -236,6 +236,13 @@ for _attack, _job, _keys in (("ddos", run_ddos, DDOS_KEYS), ("scan", run_scan, S
         newest = read_results(spark, table, [*keys, "TS"])
         return newest.select(*keys, "TS", "COUNT", *MEASURES)
 
+    @query(f"detection_fit_{_attack}", _job)
+    def _detection_fit(spark, sf, job):
+        """What the job reports of its fit: all kinds, with centres, rows and errors."""
+        table, models = scratch_folder(spark), scratch_folder(spark)
+        fit = job(fx.raw_log(spark, sf), None, EARLY_RUN, table, models)
+        return fit.withColumns({c: F.round(c, 6) for c in ("CENTRE", "WSSSE")})
+
 
 # Rankings
 

@@ -122,6 +122,14 @@ def centre_sizes(scored: DataFrame) -> DataFrame:
     return scored.groupBy("PREDICTION", "CENTRE").agg(F.count(F.lit(1)).alias("ROWS"))
 
 
+def fit_of_kinds(scored: DataFrame, kind_column: str) -> DataFrame:
+    """By kind and label: the centre, its rows and their sum of squared errors (WSSSE)."""
+    error = F.col("COUNT") - F.col("CENTRE")
+    return scored.groupBy(kind_column, "PREDICTION", "CENTRE").agg(
+        F.count(F.lit(1)).alias("ROWS"), F.sum(error * error).alias("WSSSE")
+    )
+
+
 def silhouette(scored: DataFrame) -> float:
     """Silhouette of scored rows, by squared Euclidean distance."""
     points = with_vector(scored.select("COUNT", "PREDICTION"), ["COUNT"])

@@ -7,11 +7,11 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from ..operators.clusters import centres_of, score_kinds, train_kinds
+from ..operators.clusters import centres_of, fit_of_kinds, score_kinds, train_kinds
 from ..operators.features import ddos_features, scan_features
 from ..operators.totals import tag_run
 from ..session import configure, materialize
-from ..sinks import has_model, load_model, save_model, write_results
+from ..sinks import has_model, load_model, read_results, save_model, write_results
 from ..sources.tables import bucket_start, select_conn
 
 DDOS_SERVICES = ["http", "ssh"]
@@ -27,9 +27,9 @@ def run_ddos(
     services: Sequence[str] = DDOS_SERVICES,
     retrain: bool = False,
     min_count: int | None = None,
-) -> None:
+) -> DataFrame | None:
     """Score the traffic per minute of some services, from the minute of ``since`` on, and store the rows."""
-    _detect(
+    return _detect(
         raw, since, run_ts, table, models, services, retrain, min_count,
         kind_column="SERVICE", features_of=ddos_features, grain="minute",
     )
@@ -44,9 +44,9 @@ def run_scan(
     protos: Sequence[str] = SCAN_PROTOS,
     retrain: bool = False,
     min_count: int | None = None,
-) -> None:
+) -> DataFrame | None:
     """Score the traffic per hour of some protocols, from the hour of ``since`` on, and store the rows."""
-    _detect(
+    return _detect(
         raw, since, run_ts, table, models, protos, retrain, min_count,
         kind_column="PROTO", features_of=scan_features, grain="hour",
     )
@@ -64,12 +64,13 @@ def _detect(
     kind_column: str,
     features_of: Callable[[DataFrame, Sequence[str]], DataFrame],
     grain: str,
-) -> None:
+) -> DataFrame | None:
     """Score with the stored models; missing ones are trained and stored.
 
     All kinds share one pass over the log. With all models there, features go
     straight into the scored table; training first writes them out once. The
-    first bucket is whole, as a part of it would hide an attack.
+    first bucket is whole, as a part of it would hide an attack. Returns how well the
+    stored rows fit, see :func:`fit_of_kinds`, or None without a model of any kind.
     """
     spark = configure(raw.sparkSession)
     features = features_of(select_conn(raw, since, grain), kinds)
@@ -85,7 +86,9 @@ def _detect(
         for kind in kinds
         if has_model(spark, f"{models}/{kind}")
     }
-    if centres:
-        scored = score_kinds(features, kind_column, centres, min_count)
-        tagged = tag_run(scored, bucket_start(since, grain), run_ts)
-        write_results(tagged, table, run_ts, by=[kind_column])
+    if not centres:
+        return None
+    scored = score_kinds(features, kind_column, centres, min_count)
+    tagged = tag_run(scored, bucket_start(since, grain), run_ts)
+    write_results(tagged, table, run_ts, by=[kind_column])
+    return fit_of_kinds(read_results(spark, table, run_ts=run_ts), kind_column)
