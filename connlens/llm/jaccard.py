@@ -9,7 +9,8 @@ the threshold share a shingle among the first n - ceil(0.8 n) + 1 of either. Ste
 2. Documents with the same prefix and set size are one group. The prefixes of groups
    are inverted; shingles of a single group are done with.
 3. Each list links its groups to its least group. Group pairs pass the length and
-   position filters, are expanded to different sets, and verified on whole sets.
+   position filters, are expanded to different sets, and verified on whole sets. Before
+   whole sets are moved, parity bitmaps rule out pairs that differ in too many shingles.
 4. Of lists that are not yet within one component, the sets outside
    the list's largest component are paired with those of other components,
    filtered and verified in the same way. Sets already in one component need no link
@@ -32,7 +33,7 @@ from pyspark.sql.window import Window
 
 from .bits import bitmap_of, in_bitmap
 from .components import components
-from .store import free_shuffles, stored
+from .store import drop, free_shuffles, stored
 from .words import NOT_BLANK, shingles, slices, words_of
 
 SIZE = 5
@@ -69,18 +70,30 @@ def _frequent(docs: DataFrame, bits: int) -> np.ndarray:
     return bitmap_of(counts.where(F.col("n") > FREQUENT), "token", bits)
 
 
+def _parity(own: np.ndarray) -> bytes:
+    """A bitmap of 2 to 4 bits a shingle: a bit is set where an odd number of shingles fall.
+
+    Two sets differ in at least as many shingles as their bitmaps differ in bits. A
+    bitmap is folded to half its size by XOR of its halves.
+    """
+    size = max(64, 1 << (2 * len(own) - 1).bit_length())
+    at = (own & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=size) & 1, bitorder="little").tobytes()
+
+
 def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, the digest of the set, and the group: digest of prefix and size, with the prefix itself."""
+    """doc_id, n, digest and parity bitmap of the set, and the group: digest of prefix and size, with the prefix itself."""
     held = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
         late = held.value
         for batch in batches:
-            sizes, digests, groups, prefixes = [], [], [], []
+            sizes, digests, parities, groups, prefixes = [], [], [], [], []
             for _, own in _sets(batch.column("text")):
                 n = len(own)
                 sizes.append(n)
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if n else None)
+                parities.append(_parity(own) if n else None)
                 last = in_bitmap(late, own)
                 ordered = np.concatenate([own[~last], own[last]]) if last.any() else own
                 prefix = ordered[: _prefix_length(n)].tobytes() if n else b""
@@ -88,10 +101,10 @@ def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 prefixes.append(prefix)
             if sizes:
                 arrays = [batch.column("doc_id"), pa.array(sizes, pa.int64())]
-                arrays += [pa.array(x, pa.binary()) for x in (digests, groups, prefixes)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "digest", "grp", "prefix"])
+                arrays += [pa.array(x, pa.binary()) for x in (digests, parities, groups, prefixes)]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "digest", "parity", "grp", "prefix"])
 
-    schema = "doc_id bigint, n bigint, digest binary, grp binary, prefix binary"
+    schema = "doc_id bigint, n bigint, digest binary, parity binary, grp binary, prefix binary"
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
 
 
@@ -162,48 +175,45 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
     return rows.mapInArrow(run, "r bigint, items binary")
 
 
-def _plausible(pairs: DataFrame, signed: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Pairs whose prefixes leave room for the threshold.
+def _differing(a: bytes, b: bytes) -> int:
+    """The bits in which two parity bitmaps differ, the larger folded to the size of the smaller."""
+    a, b = sorted((np.frombuffer(x, dtype=np.uint64) for x in (a, b)), key=len)
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
-    Up to where the shorter-reaching prefix ends, all shingles of both sets are known. What
-    they have in common there, and the smaller rest, is the most the sets can share.
+
+def _plausible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs whose parity bitmaps leave room for the threshold.
+
+    Sets of n1 and n2 shingles that differ in d of them share (n1 + n2 - d) / 2.
     """
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("_r")).distinct()
-    heads = stored(signed.join(nodes, signed["doc_id"] == F.col("_r")).select(F.col("_r").alias("r"), "n", "prefix"))
-    first = pairs.join(heads.select(F.col("r").alias("u"), F.col("n").alias("n1"), F.col("prefix").alias("a")).dropDuplicates(["u", "a"]), "u")
-    both = first.join(heads.select(F.col("r").alias("v"), F.col("n").alias("n2"), F.col("prefix").alias("b")).dropDuplicates(["v", "b"]), "v")
-    held = pairs.sparkSession.sparkContext.broadcast(frequent)
+    first = pairs.join(heads.select(F.col("r").alias("u"), F.col("n").alias("n1"), F.col("parity").alias("a")), "u")
+    both = first.join(heads.select(F.col("r").alias("v"), F.col("n").alias("n2"), F.col("parity").alias("b")), "v")
 
     def run(batches):
-        late = held.value
-
         for batch in batches:
-            keep = []
-            for a, b, n1, n2 in zip(batch.column("a"), batch.column("b"), batch.column("n1").to_pylist(), batch.column("n2").to_pylist()):
-                a, b = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
-                ends = np.array([a[-1], b[-1]])
-                flags = in_bitmap(late, ends)
-                end, flag = min(zip(flags.tolist(), ends.tolist()))[::-1]
-                known = []
-                for own in (a, b):
-                    last = in_bitmap(late, own)
-                    known.append(own[(last < flag) | ((last == flag) & (own <= np.uint64(end)))])
-                common = np.concatenate(known)
-                common.sort(kind="stable")
-                shared = int((common[1:] == common[:-1]).sum())
-                most = shared + min(n1 - len(known[0]), n2 - len(known[1]))
-                keep.append(most * (100 + PERCENT) >= (n1 + n2) * PERCENT)
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            differ = [_differing(a, b) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
+            total = batch.column("n1").to_numpy() + batch.column("n2").to_numpy()
+            most = (total - np.array(differ, dtype=np.int64)) // 2
+            keep = pa.array(most * (100 + PERCENT) >= total * PERCENT)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(keep)
 
     return both.select("u", "v", "a", "b", "n1", "n2").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, signed: DataFrame, frequent: np.ndarray, bits: int) -> DataFrame:
-    """The pairs of sets that reach the threshold: filtered by prefixes, then verified on whole sets."""
-    pairs = stored(_plausible(pairs, signed, frequent))
+def _linked(docs: DataFrame, pairs: DataFrame, signed: DataFrame, bits: int) -> DataFrame:
+    """The pairs of sets that reach the threshold: filtered by parity bitmaps, then verified on whole sets."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("r")).distinct()
+    rows = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL").select(F.col("doc_id").alias("r"), "n", "parity")
+    heads = stored(rows.join(ends, "r", "left_semi").distinct())
+    left = stored(_plausible(pairs, heads))
     free_shuffles(docs.sparkSession)
-    links = stored(_verified(pairs, stored(_sets_of(docs, pairs, bits))))
+    drop(heads)
+    sets = stored(_sets_of(docs, left, bits))
+    links = stored(_verified(left, sets))
     free_shuffles(docs.sparkSession)
+    drop(sets)
     return links
 
 
@@ -213,17 +223,23 @@ def near_duplicates(docs: DataFrame, bits: int = 23) -> DataFrame:
     component_id is the smallest doc_id reachable by links; a document without
     links or words is its own component, a null doc_id with an empty set has a null one.
     """
+    spark = docs.sparkSession
     frequent = _frequent(docs, bits)
-    signed = stored(_signatures(docs, frequent))
-    free_shuffles(docs.sparkSession)
+    whole = stored(_signatures(docs, frequent))
+    free_shuffles(spark)
+    signed = stored(whole.drop("prefix"))
     nodes = stored(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("r"), F.first("n").alias("n"), F.first("grp").alias("grp")))
-    groups = signed.where("grp IS NOT NULL").groupBy("grp").agg(
-        F.min("doc_id").alias("g"), F.min("digest").alias("least"), F.max("digest").alias("most"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
-    )
-    # Groups by the least doc_id in them; of lists, those with more than one group are left.
+    # Groups are known by the least doc_id in them.
+    groups = whole.where("grp IS NOT NULL").groupBy("grp").agg(F.min("doc_id").alias("g"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    groups = stored(groups.where("g IS NOT NULL").drop("grp"))
+    free_shuffles(spark)
+    drop(whole)
+    # Of lists, those with more than one group are left.
     per_token = Window.partitionBy("token")
-    lists = _postings(groups.where("g IS NOT NULL")).withColumn("hub", F.min(F.struct("g", "n", "place")).over(per_token))
+    lists = _postings(groups).withColumn("hub", F.min(F.struct("g", "n", "place")).over(per_token))
     shared = stored(lists.withColumn("_most", F.max("g").over(per_token)).where(F.col("_most") > F.col("hub.g")).drop("_most"))
+    free_shuffles(spark)
+    drop(groups)
 
     # Members: the different sets of each group, known by their least doc_id.
     members = nodes.where("r IS NOT NULL").select("grp", "r", "digest")
@@ -233,14 +249,17 @@ def near_duplicates(docs: DataFrame, bits: int = 23) -> DataFrame:
     outer = shared.where(
         (F.col("g") != F.col("hub.g")) & _fits(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"))
     ).select(F.col("hub.g").alias("u"), F.col("g").alias("v"))
-    first = stored(inner.union(outer).distinct())
-    free_shuffles(docs.sparkSession)
+    links = _linked(docs, stored(inner.union(outer).distinct()), signed, bits)
 
-    links = _linked(docs, first, signed, frequent, bits)
     found = components(links)
-    at = members.join(found.withColumnRenamed("node", "r"), "r", "left").select("g", "r", F.coalesce("component", "r").alias("c"), "sets")
-    second = _linked(docs, stored(_crossing(shared, stored(at))), signed, frequent, bits)
-    found = stored(components(links.union(second)))
+    at = stored(members.join(found.withColumnRenamed("node", "r"), "r", "left").select("g", "r", F.coalesce("component", "r").alias("c"), "sets"))
+    mixed = stored(_mixed(shared, at))
+    free_shuffles(spark)
+    drop(shared)
+    crossing = stored(_crossing(mixed))
+    free_shuffles(spark)
+    drop(mixed)
+    found = stored(components(links.union(_linked(docs, crossing, signed, bits))))
 
     by_digest = nodes.join(found.withColumnRenamed("node", "r"), "r", "left").select(
         F.col("digest").alias("_digest"), F.coalesce("component", "r").alias("_c")
@@ -251,22 +270,25 @@ def near_duplicates(docs: DataFrame, bits: int = 23) -> DataFrame:
     )
 
 
-def _crossing(shared: DataFrame, at: DataFrame) -> DataFrame:
-    """Pairs (u, v) of sets of different components that share a list and pass the filters.
-
-    In a list, the largest component is never paired with itself; every other set is
-    paired with the sets of other components.
-    """
+def _mixed(shared: DataFrame, at: DataFrame) -> DataFrame:
+    """The lists whose sets are of several components, a row for each set, with the list's largest component ``main``."""
     # A group with several sets is a list of its own: their prefixes are the same.
     lists = shared.select(F.col("token"), F.lit(0).alias("kind"), "g", "n", "place").join(at, "g")
     own = at.where("sets > 1").select(
-        F.col("g").alias("token"), F.lit(1).alias("kind"), "g", F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("place"), "r", "c", "sets"
+        F.col("g").alias("token"), F.lit(1).alias("kind"), F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("place"), "r", "c"
     )
-    rows = lists.select("token", "kind", "n", "place", "r", "c").union(own.select("token", "kind", "n", "place", "r", "c"))
+    rows = lists.select("token", "kind", "n", "place", "r", "c").union(own)
     counted = rows.groupBy("token", "kind", "c").agg(F.count("*").alias("k"))
     mixed = counted.groupBy("token", "kind").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts"))
-    mixed = mixed.where("parts > 1").drop("parts")
-    rows = stored(rows.join(mixed, ["token", "kind"]))
+    return rows.join(mixed.where("parts > 1").drop("parts"), ["token", "kind"])
+
+
+def _crossing(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets of different components that share a list and pass the filters.
+
+    In a list, the largest component is never paired with itself; every other set is
+    paired with the sets of other components.
+    """
     left, right = rows.where("c <> main").alias("x"), rows.alias("y")
     crossing = (
         (F.col("x.token") == F.col("y.token"))

@@ -154,6 +154,19 @@ def test_jaccard_components(spark, monkeypatch):
     assert {r.doc_id for r in jaccard.one_of_each(df).collect()} == {c for _, c in got.values()}
 
 
+def test_parity_bitmaps_never_differ_more_than_the_sets():
+    random = np.random.default_rng(5)
+    for n in (1, 2, 31, 32, 33, 500, 3000):
+        own = words.mix(np.arange(n, dtype=np.uint64))
+        assert jaccard._differing(jaccard._parity(own), jaccard._parity(own)) == 0
+        for share in (0.3, 0.8, 0.95, 1.0):
+            kept = own[random.random(n) < share]
+            other = np.concatenate([kept, words.mix(np.arange(10**6, 10**6 + max(1, n - len(kept)) * 2, dtype=np.uint64))])
+            apart = len(np.setxor1d(own, other))
+            differ = jaccard._differing(jaccard._parity(own), jaccard._parity(other))
+            assert differ <= apart and (apart - differ) % 2 == 0
+
+
 def test_jaccard_odd_rows(odd, none):
     rows = jaccard.near_duplicates(odd).collect()
     assert len(rows) == len(ROWS)
