@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .language import held_out
+from .store import stored
 from .words import ALNUM, slices, words_of
 
 BITS = 18
@@ -132,9 +133,10 @@ def fit(buckets: np.ndarray, cuts: np.ndarray, label: np.ndarray, epochs: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine | None:
-    """Fit on at most ``rows`` documents of each label, taken by hash; weights undo the choice.
+    """Fit on at most ``rows`` documents of each label, taken by hash; the bias undoes the choice.
 
-    Only the hashed words of the sample reach the driver.
+    Where one label is cut more than the other, the fitted odds are off by the ratio of their shares taken;
+    its logarithm is taken from the bias. Only the hashed words of the sample reach the driver.
     """
     clean = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = clean.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1))
@@ -147,7 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
         share = F.when(F.col("toxic") == value, min(1.0, 4.0 * rows / n)).otherwise(share)
     chance = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.where(chance < share).withColumn("_rank", rank).where(F.col("_rank") <= rows).select("doc_id", "toxic")
+    picked = stored(known.where(chance < share).withColumn("_rank", rank).where(F.col("_rank") <= rows).select("doc_id", "toxic"))
+    taken = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 x rows pairs of numbers
 
     def extract(batches):
@@ -165,6 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     parts = [np.frombuffer(x, dtype="<u4") for x in got["x"].to_pylist()]
     cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     model = fit(np.concatenate(parts).astype(np.int64), cuts, got["toxic"].to_numpy().astype(np.float64))
+    if len(taken) == 2:
+        model.bias += float(np.log(count[1] / taken[1]) - np.log(count[0] / taken[0]))
     return model
 
 

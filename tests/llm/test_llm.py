@@ -276,6 +276,18 @@ def test_toxicity_held_out(spark, odd, none):
     assert toxicity.toxicity(none, marks).count() == 0
 
 
+def test_cut_labels_keep_the_share_of_toxic_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+
+    def means(rows):
+        scored = toxicity.score(docs, toxicity.train(docs, labels, rows), ["doc_id"]).join(labels.where("toxic IS NOT NULL"), "doc_id")
+        return scored.agg(F.avg("score"), F.avg("predicted")).first()
+
+    for cut, whole in zip(means(300), means(toxicity.TRAIN_ROWS)):
+        assert abs(cut - whole) < 0.03
+
+
 def test_machine_learns_a_pair():
     """Neither word alone says anything, both together do."""
     rng = np.random.default_rng(3)
