@@ -4,8 +4,9 @@ A text is the set of its words (letters and digits, lower-cased in ASCII), hashe
 score is the logistic function of bias + sum of the words' weights + sum over all pairs of
 words of the product of their factors, so an insult can weigh more beside a group's name.
 It is fitted with numpy on a bounded sample of labelled rows; a soft threshold keeps the
-weight of a word at 0 unless it tells something, and only words with a weight get
-factors. Words not seen in the sample count for nothing.
+weight of a word at 0 unless it tells something. Words get factors that have a weight, or tell
+something in a pair: for that, factors of all words are first fitted to what the weights
+leave over. Words not seen in the sample count for nothing.
 
 Null and empty texts score by the bias alone. Extra columns are ignored; a doc_id with several labels
 counts as toxic if one of them says so; null labels are not learned from.
@@ -31,7 +32,9 @@ FACTORS = 8
 TRAIN_ROWS = 6000  # of each label, at most
 LEAST_DOCS = 5  # a bucket in fewer documents of the sample is left out
 CHANCE = 4.0  # standard deviations of chance that a word's effect must pass
-SCREEN = 4  # epochs after which words without a weight are left out
+SCREEN = 4  # epochs after which words without a weight are left out, unless they tell something in a pair
+PAIR_EPOCHS = 10  # of the search for such pairs
+GROWN = 0.1  # length of the factors from which a word tells something; they begin at about 0.03
 
 
 def terms(texts: pa.Array):
@@ -71,6 +74,38 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _paired(own: np.ndarray, cuts: np.ndarray, label: np.ndarray, margin: np.ndarray, chance: np.ndarray, batch: int) -> np.ndarray:
+    """Which words tell something beside others, given the margins of the weights alone.
+
+    All words have factors here. Those of a word shrink by what chance would tell of it beside the words it stands with.
+    """
+    rng, size = np.random.default_rng(12), len(chance)
+    v, g = rng.normal(0, 0.01, (size, FACTORS)), np.full((size, FACTORS), 1e-2)
+    v[0] = 0
+    for _ in range(PAIR_EPOCHS):
+        order = rng.permutation(len(label))
+        for low in range(0, len(label), batch):
+            some = order[low : low + batch]
+            n = cuts[some + 1] - cuts[some]
+            part = np.concatenate([[0], np.cumsum(n)])
+            at = own[np.repeat(cuts[some] - part[:-1], n) + np.arange(part[-1])]
+            own_v = v[at]
+            sums = _sums(own_v, part)
+            slope = (_logistic(margin[some] + (sums**2 - _sums(own_v**2, part)).sum(axis=1) / 2) - label[some]) / len(some)
+            inside = np.repeat(sums, n, axis=0) - own_v
+            pull = np.repeat(slope, n)[:, None] * inside
+            times = np.bincount(at, minlength=size)
+            hit = np.flatnonzero(times)
+            step = np.stack([np.bincount(at, weights=pull[:, f], minlength=size)[hit] for f in range(FACTORS)], axis=1)
+            beside = np.sqrt(np.bincount(at, weights=(inside**2).sum(axis=1), minlength=size)[hit] / times[hit])
+            g[hit] += step**2
+            rate = 0.05 / np.sqrt(g[hit])
+            row = v[hit] - rate * step
+            length = np.sqrt((row**2).sum(axis=1))
+            v[hit] = row * np.maximum(1 - rate.mean(axis=1) * chance[hit] * beside / np.maximum(length, 1e-12), 0)[:, None]
+    return (v**2).sum(axis=1) > GROWN**2
+
+
 def fit(buckets: np.ndarray, cuts: np.ndarray, label: np.ndarray, epochs: int = 40, batch: int = 256) -> Machine:
     """AdaGrad steps with a soft threshold on the weights, and decay on the factors."""
     rng = np.random.default_rng(11)
@@ -88,11 +123,13 @@ def fit(buckets: np.ndarray, cuts: np.ndarray, label: np.ndarray, epochs: int =
     # The threshold of a word is what chance alone would tell of it, for each batch that has it.
     share, mean = np.bincount(own, minlength=size) / docs, label.mean()
     seen = np.maximum(1 - (1 - np.minimum(share, 1)) ** min(batch, docs), 1e-9)
-    least = CHANCE * np.sqrt(share * mean * (1 - mean) / docs) / seen
+    chance = np.sqrt(share * mean * (1 - mean) / docs) / seen
+    least, stay = CHANCE * chance, np.zeros(size, dtype=bool)
     for epoch in range(epochs):
         if epoch == SCREEN:
-            # Words without a weight by now are out of the running.
-            live = np.flatnonzero(w[own] != 0)
+            # Words without a weight by now are out of the running, but for those that tell something in a pair.
+            stay = _paired(own, cuts, label, bias + _sums(w[own], cuts), chance, batch)
+            live = np.flatnonzero((w[own] != 0) | stay[own])
             own, cuts = own[live], np.searchsorted(live, cuts)
             least *= 0.02  # those left need not shrink for it
         order = rng.permutation(docs)
@@ -101,7 +138,7 @@ def fit(buckets: np.ndarray, cuts: np.ndarray, label: np.ndarray, epochs: int =
             n = cuts[some + 1] - cuts[some]
             part = np.concatenate([[0], np.cumsum(n)])
             at = own[np.repeat(cuts[some] - part[:-1], n) + np.arange(part[-1])]
-            active = (w[at] != 0)[:, None]
+            active = ((w[at] != 0) | stay[at])[:, None]
             own_v = v[at] * active
             sums = _sums(own_v, part)
             margin = bias + _sums(w[at], part) + (sums**2 - _sums(own_v**2, part)).sum(axis=1) / 2
@@ -126,7 +163,7 @@ def fit(buckets: np.ndarray, cuts: np.ndarray, label: np.ndarray, epochs: int =
                 v[hit] -= 0.05 / np.sqrt(gv[hit]) * step
     weight = np.zeros(1 << BITS, dtype=np.float32)
     weight[known] = w[1:]
-    used = np.flatnonzero(w != 0)
+    used = np.flatnonzero((w != 0) | stay)
     final = np.zeros(1 << BITS, dtype=np.int32)
     final[known[used - 1]] = np.arange(1, len(used) + 1)
     return Machine(float(bias), weight, final, np.concatenate([np.zeros((1, FACTORS)), v[used]]).astype(np.float32))

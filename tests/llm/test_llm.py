@@ -302,6 +302,21 @@ def test_machine_learns_a_pair():
     assert margins[0] > 0 > max(margins[1], margins[2])
 
 
+def test_machine_learns_a_pair_without_marginal_effects():
+    """Toxic with one of two words, not with both or none: neither word alone says anything."""
+    rng = np.random.default_rng(3)
+    rows, label = [], []
+    for _ in range(2000):
+        a, b = rng.integers(0, 2, 2)
+        others = rng.choice(300, 30, replace=False)
+        rows.append(np.array([k for k, on in ((10, a), (20, b)) if on] + (100 + others).tolist()))
+        label.append(float(a != b))
+    cuts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    model = toxicity.fit(np.concatenate(rows), cuts, np.array(label))
+    margins = model.margins(np.array([10, 20, 10, 20]), np.array([0, 2, 3, 4]))
+    assert min(margins[1], margins[2]) > 0.5 and margins[0] < -0.5
+
+
 def test_chat_round_trip(spark):
     texts = ["a\\b", "[INST]", "\\[INST]\\", "<s></s>[/INST] [ROLE]", "<<SYS>>x<</SYS>>", " lead", "trail ", "\\", " </s>", "", None, "\n\n", "é\U0001f600"]
     roles = ["user", "assistant", "system", "tool", "[ROLE] x [/ROLE]", None]
