@@ -193,13 +193,15 @@ def _intersect(block: Block, length: int, terms, counts, keys, doc_starts, slop:
         w = np.repeat(part, n)
         within = np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n)
         key = keys[np.repeat(starts_of[anchor[low:high]], n) + within]
-        start = key - np.repeat(anchor[low:high], n) * length - block.order[w, 0]
+        place_of = key - np.repeat(anchor[low:high], n) * length
+        start = place_of - block.order[w, 0]
         low = high
-        doc = np.searchsorted(doc_starts, np.maximum(start, 0), side="right") - 1
+        doc = np.searchsorted(doc_starts, place_of, side="right") - 1
         size = block.size[w]
-        fits = (start >= 0) & (start >= doc_starts[doc]) & (start + size <= doc_starts[doc + 1])
-        w, start, doc = w[fits], start[fits], doc[fits]
-        exact = np.ones(len(w), dtype=bool)
+        exact = (start >= doc_starts[doc]) & (start + size <= doc_starts[doc + 1])
+        # Words may stand up to slop nearer than in the window, so a near match may seem to pass the ends of its text.
+        fits = (start >= doc_starts[doc] - slop) & (start + size <= doc_starts[doc + 1] + slop)
+        w, start, doc, exact = w[fits], start[fits], doc[fits], exact[fits]
         for j in range(1, WINDOW):
             if not len(w):
                 break
@@ -214,7 +216,7 @@ def _intersect(block: Block, length: int, terms, counts, keys, doc_starts, slop:
                 last = r * length + np.minimum(start + col + slop, doc_starts[doc + 1] - 1)
                 near = ~live | (np.searchsorted(keys, first) < np.searchsorted(keys, last, side="right"))
             else:
-                near = hit
+                near = hit & exact
             exact &= hit
             w, start, doc, exact = w[near], start[near], doc[near], exact[near]
         yield w, start, doc, exact
@@ -267,7 +269,7 @@ def _searcher(held, slop):
                 fresh[1:] = ~(same & (start[1:] <= end[:-1]))
                 begins = np.flatnonzero(fresh)
                 ends = np.append(begins[1:], len(w)) - 1
-                base = doc_starts[doc[begins]]
+                base, limit = doc_starts[doc[begins]], doc_starts[doc[begins] + 1]
                 segment = np.full(len(begins), batch.column("segment")[i].as_py(), dtype=np.int64)
                 names = [block.item_ids[k] for k in item[begins]]
                 yield pa.RecordBatch.from_arrays(
@@ -275,8 +277,8 @@ def _searcher(held, slop):
                         pa.array(segment),
                         pa.array(doc[begins].astype(np.int64)),
                         pa.array(names) if any(n is not None for n in names) else pa.array(names, pa.int64()),
-                        pa.array((start[begins] - base).astype(np.int64)),
-                        pa.array((end[ends] - base).astype(np.int64)),
+                        pa.array((np.maximum(start[begins], base) - base).astype(np.int64)),
+                        pa.array((np.minimum(end[ends], limit) - base).astype(np.int64)),
                         pa.array(np.where(exact[begins], "phrase", "near").tolist(), pa.string()),
                     ],
                     ["segment", "doc_no", "item_id", "begin", "end", "kind"],

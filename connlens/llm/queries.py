@@ -75,7 +75,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(index, matches).select(*columns)
 
 
-_ALL = [op1_token_ids, op2_exact_dedup, op3_toxicity, op4_chat_formatting, op5_lm_scoring, op6_jaccard_join, op7_personal_data, op8_language, op9_mixing, op10_decontamination]
+def op10_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_decontamination, and n_near: items that only proximity finds. Phrases alone contaminate."""
+    index = decontaminate.build_index(documents(spark, sf_dir))
+    matches = decontaminate.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), decontaminate.SLOP)
+    columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near"]
+    return decontaminate.report(index, matches).select(*columns)
+
+
+_ALL = [op1_token_ids, op2_exact_dedup, op3_toxicity, op4_chat_formatting, op5_lm_scoring, op6_jaccard_join, op7_personal_data, op8_language, op9_mixing, op10_decontamination, op10_near_matches]
 
 
 def _shipped(query: Query) -> Query:

@@ -214,6 +214,38 @@ def test_near_matches(spark):
     assert {k for _, k in kinds(2)} == {"phrase", "near"}
 
 
+def test_near_query_equals_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    item = [f"p{i}" for i in range(14)]
+    texts = [item[:6] + ["x"] + item[6:], item[:3] + item[4:], item[1:2] + item[:1] + item[2:], item[:6] + ["x"] * 9 + item[6:], item, []]
+    texts += [item[:9][::-1], ["y"] + item[2:12], item[:9] + item[10:11] + item[9:10]]
+    texts += [[f"p{i}" for i in rng.integers(0, 5, 12)] for _ in range(40)]
+    bench = [(1, " ".join(item)), (2, "p0 p1 p2 p3"), (3, "p1 p0 p4"), (4, "x y")]
+    docs = list(enumerate(" ".join(t) for t in texts))
+    spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    often = collections.Counter(w for t in texts for w in t)
+    slop, expected = decontaminate.SLOP, {}
+    for doc_id, t in enumerate(texts):
+        phrase, near = set(), set()
+        for number, text in bench:
+            words_of_item = text.split()
+            for i in range(max(1, len(words_of_item) - 9)):
+                window = words_of_item[i : i + 10]
+                rare = min(range(len(window)), key=lambda j: (often[window[j]], j))
+                for start in range(-slop, len(t)):
+                    if start + len(window) > len(t) + slop or not 0 <= start + rare < len(t) or t[start + rare] != window[rare]:
+                        continue
+                    if start >= 0 and t[start : start + len(window)] == window:
+                        phrase.add(number)
+                    elif all(word in t[max(start + j - slop, 0) : max(start + j + slop + 1, 0)] for j, word in enumerate(window)):
+                        near.add(number)
+        expected[doc_id] = (len(phrase), len(near - phrase))
+    rows = queries.all_queries()["op10_near_matches"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_items, r.n_near) for r in rows} == expected
+    assert all(r.contaminated == (r.n_items > 0) for r in rows) and expected[0] == (1, 2) and expected[1][1] and expected[2][1]
+
+
 def test_mixing_reaches_targets(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = mixing.mix(docs).withColumnRenamed("doc_id", "i").join(docs.select(F.col("doc_id").alias("i"), "source"), "i").collect()
