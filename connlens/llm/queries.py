@@ -8,8 +8,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, exact, jaccard, language, mixing, pii, scoring, tokens, toxicity
-from .store import documents, shared_folder
+from . import chat, decontaminate, exact, jaccard, language, mining, mixing, pii, quality, scoring, tokens, toxicity, whitening
+from .store import documents, embeddings, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,7 +83,22 @@ def op10_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(index, matches).select(*columns)
 
 
-_ALL = [op1_token_ids, op2_exact_dedup, op3_toxicity, op4_chat_formatting, op5_lm_scoring, op6_jaccard_join, op7_personal_data, op8_language, op9_mixing, op10_decontamination, op10_near_matches]
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mining.hard_negatives(embeddings(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(embeddings(spark, sf_dir))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+_ALL = [
+    op1_token_ids, op2_exact_dedup, op3_toxicity, op4_chat_formatting, op5_lm_scoring, op6_jaccard_join, op7_personal_data,
+    op8_language, op9_mixing, op10_decontamination, op10_near_matches, op11_hard_negatives, op12_whitening, op13_quality,
+]
 
 
 def _shipped(query: Query) -> Query:
@@ -148,6 +163,24 @@ links AS (
 reach AS (SELECT u AS doc_id, u AS c FROM links UNION SELECT l.v, r.c FROM reach r JOIN links l ON l.u = r.doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(min(r.c), d.doc_id) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN reach r USING (doc_id) GROUP BY d.doc_id, n.n
+""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY rank <= 5
 """,
     "op10_decontamination": rf"""
 WITH w AS (
