@@ -23,7 +23,7 @@ _TABLES = {n: n for n in ("events", "nation", "region", "customer")}
 
 _LOG = (
     f"conn AS ({fx.CONN_SQL}), dns AS ({fx.DNS_SQL}), "
-    f"http AS ({fx.HTTP_SQL}), info AS ({fx.IP_INFO_SQL})"
+    f"http AS ({fx.HTTP_SQL}), info AS ({fx.IP_INFO_SQL}), arrivals AS ({fx.ARRIVALS_SQL})"
 ).format(**_TABLES)
 
 _COUNT = 'CAST(COUNT(*) AS BIGINT) AS "COUNT"'
@@ -38,7 +38,7 @@ _EARLY, _LATE = f"TIMESTAMP '{q.EARLY_RUN}'", f"TIMESTAMP '{q.LATE_RUN}'"
 
 def _with(select: str, **ctes: str) -> str:
     more = "".join(f", {name} AS ({sql})" for name, sql in ctes.items())
-    return f"WITH {_LOG}{more} {select}"
+    return f"WITH RECURSIVE {_LOG}{more} {select}"
 
 
 def _names(columns: list[str]) -> str:
@@ -83,7 +83,7 @@ _KIND = {"ddos": "SERVICE", "scan": "PROTO"}
 _KINDS = {"ddos": DDOS_SERVICES, "scan": SCAN_PROTOS}
 
 
-def _scored(attack: str, kinds: list[str]) -> dict[str, str]:
+def _scored(attack: str, kinds: list[str], prefix: str = "") -> dict[str, str]:
     """CTEs up to ``scored``: the best split of COUNT in two, for each kind.
 
     In one dimension two clusters are a cut between two values. Running sums
@@ -94,18 +94,54 @@ def _scored(attack: str, kinds: list[str]) -> dict[str, str]:
     whole = f"OVER (PARTITION BY {kind})"
     return {
         "feat": _features(attack, kinds),
-        "hist": f'SELECT {kind}, CAST("COUNT" AS DOUBLE) AS v, '
-        f'CAST(COUNT(*) AS DOUBLE) AS n FROM feat GROUP BY {kind}, "COUNT"',
+        "hist": f'SELECT {kind}, CAST("COUNT" AS HUGEINT) AS v, '
+        f'CAST(COUNT(*) AS HUGEINT) AS n FROM {prefix}feat GROUP BY {kind}, "COUNT"',
         "sums": f"SELECT {kind}, v, SUM(n) {before} AS n1, SUM(n * v) {before} AS s1, "
-        f"SUM(n) {whole} AS nt, SUM(n * v) {whole} AS st FROM hist",
-        # The sum of squares is the same for every cut.
+        f"SUM(n) {whole} AS nt, SUM(n * v) {whole} AS st FROM {prefix}hist",
+        # What a cut explains of the error, up to a factor.
         "cuts": f"SELECT {kind}, v, ROW_NUMBER() OVER (PARTITION BY {kind} ORDER BY "
-        "s1 * s1 / n1 + (st - s1) * (st - s1) / (nt - n1) DESC, v) AS place "
-        "FROM sums WHERE n1 < nt",
-        "labelled": 'SELECT feat.*, CASE WHEN "COUNT" > v THEN 1 ELSE 0 END AS PREDICTION '
-        f"FROM feat LEFT JOIN (SELECT * FROM cuts WHERE place = 1) c USING ({kind})",
+        "CAST(nt * s1 - n1 * st AS DOUBLE) * CAST(nt * s1 - n1 * st AS DOUBLE) "
+        "/ (CAST(n1 AS DOUBLE) * CAST(nt - n1 AS DOUBLE)) DESC, v) AS place "
+        f"FROM {prefix}sums WHERE n1 < nt",
+        "labelled": f'SELECT {prefix}feat.*, CASE WHEN "COUNT" > v THEN 1 ELSE 0 END AS PREDICTION '
+        f"FROM {prefix}feat LEFT JOIN (SELECT * FROM {prefix}cuts WHERE place = 1) c USING ({kind})",
         "scored": 'SELECT *, AVG("COUNT") OVER '
-        f"(PARTITION BY {kind}, PREDICTION) AS CENTRE FROM labelled",
+        f"(PARTITION BY {kind}, PREDICTION) AS CENTRE FROM {prefix}labelled",
+    }
+
+
+def _lloyd(columns: list[str], rows: str) -> dict[str, str]:
+    """CTEs up to ``labelled``: two clusters by Lloyd's iterations from the least and the greatest row."""
+    names = _names(columns)
+
+    def apart(centre: str) -> str:
+        parts = [f"CAST({c} AS DOUBLE) - {centre}[{i}]" for i, c in enumerate(columns, start=1)]
+        return " + ".join(f"({p}) * ({p})" for p in parts)
+
+    def mean(label: int) -> str:
+        sums = [
+            f"CAST(SUM({c}) FILTER (WHERE label = {label}) AS DOUBLE) "
+            f"/ COUNT(*) FILTER (WHERE label = {label})"
+            for c in columns
+        ]
+        return f"CASE WHEN COUNT(*) FILTER (WHERE label = {label}) = 0 THEN c{label} ELSE [{', '.join(sums)}] END"
+
+    doubles = ", ".join(f"CAST({c} AS DOUBLE)" for c in columns)
+    full = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    desc = ", ".join(f"{c} DESC" for c in columns)
+    near = f"CASE WHEN {apart('c1')} < {apart('c0')} THEN 1 ELSE 0 END"
+    return {
+        "points": f"SELECT * FROM ({rows}) WHERE {full}",
+        "rounds": f"SELECT 0 AS step, (SELECT [{doubles}] FROM points ORDER BY {names} LIMIT 1) AS c0, "
+        f"(SELECT [{doubles}] FROM points ORDER BY {desc} LIMIT 1) AS c1 UNION ALL "
+        f"SELECT step + 1, {mean(0)}, {mean(1)} "
+        f"FROM (SELECT rounds.*, points.*, {near} AS label FROM rounds, points) "
+        f"GROUP BY step, c0, c1 HAVING {mean(0)} <> c0 OR {mean(1)} <> c1",
+        "final": "SELECT * FROM rounds ORDER BY step DESC LIMIT 1",
+        "labelled": "SELECT p.* EXCLUDE (c0, c1, label, e0, e1), CASE WHEN c0 <= c1 THEN label ELSE 1 - label END AS PREDICTION, "
+        "CASE WHEN label = 0 THEN e0 ELSE e1 END AS SQ_ERROR FROM "
+        f"(SELECT points.*, c0, c1, {near} AS label, {apart('c0')} AS e0, {apart('c1')} AS e1 "
+        "FROM points, final) p",
     }
 
 
@@ -221,6 +257,21 @@ def all_oracles() -> dict[str, str]:
             **_scored(attack, kinds),
         )
 
+    # The log by days, and records that arrive late
+    for name, column in (("select_conn_by_day", "TS"), ("select_recent_by_day", "TS_CODE")):
+        sql[name] = _with(
+            f"SELECT {conn_columns} FROM arrivals WHERE {column} > TIMESTAMP '{q.AFTER}'"
+        )
+    sql["totals_late_records"] = _with(_totals_union(DEFAULT_TOTAL_TYPES, "arrivals"))
+    for attack, kinds in _KINDS.items():
+        sql[f"scores_late_records_{attack}"] = _with(_features(attack, kinds, "arrivals"))
+    for column, tipo, values in (
+        ("PROTO", "PROTO", _PROTOS), ("SERVICE", "PROTO_SERVICE", _SERVICES)
+    ):
+        sql[f"pivot_{column.lower()}_30_days"] = _pivot(
+            {}, _totals(tipo, "arrivals"), column, values, "date_trunc('day', TS)"
+        )
+
     # Rankings
     sql["top_conn_by_bytes"] = _with(
         "SELECT UID, TS, ID_ORIG_H, ID_RESP_H, ORIG_BYTES FROM conn "
@@ -304,16 +355,35 @@ def all_oracles() -> dict[str, str]:
         **http,
     )
     # Mean squared distances to both clusters, from sums per cluster.
-    sql["kmeans_silhouette"] = _with(
-        "SELECT ROUND(AVG(CASE WHEN own_n = 1 THEN 0 WHEN a < b THEN 1 - a / b "
-        "WHEN a > b THEN b / a - 1 ELSE 0 END), 6) AS SILHOUETTE FROM d",
-        **http,
-        per="SELECT PREDICTION, COUNT(*) AS n, CAST(SUM(\"COUNT\") AS DOUBLE) AS s, "
-        'CAST(SUM("COUNT" * "COUNT") AS DOUBLE) AS sq FROM scored GROUP BY PREDICTION',
-        d='SELECT own.n AS own_n, ("COUNT" * "COUNT" * own.n - 2 * "COUNT" * own.s + own.sq) '
-        '/ (own.n - 1) AS a, ("COUNT" * "COUNT" * oth.n - 2 * "COUNT" * oth.s + oth.sq) '
-        "/ oth.n AS b FROM scored JOIN per own USING (PREDICTION) "
-        "JOIN per oth ON oth.PREDICTION <> scored.PREDICTION",
+    ctes, parts = {}, []
+    for attack, kinds in _KINDS.items():
+        kind = _KIND[attack]
+        ctes |= {f"{attack}_{name}": sql for name, sql in _scored(attack, kinds, f"{attack}_").items()}
+        ctes[f"{attack}_per"] = (
+            f'SELECT {kind}, PREDICTION, COUNT(*) AS n, CAST(SUM("COUNT") AS DOUBLE) AS s, '
+            f'CAST(SUM("COUNT" * "COUNT") AS DOUBLE) AS sq FROM {attack}_scored GROUP BY ALL'
+        )
+        ctes[f"{attack}_d"] = (
+            f'SELECT r.{kind} AS KIND, own.n AS own_n, '
+            '("COUNT" * "COUNT" * own.n - 2 * "COUNT" * own.s + own.sq) / (own.n - 1) AS a, '
+            '("COUNT" * "COUNT" * oth.n - 2 * "COUNT" * oth.s + oth.sq) / oth.n AS b '
+            f"FROM {attack}_scored r JOIN {attack}_per own USING ({kind}, PREDICTION) "
+            f"JOIN {attack}_per oth ON oth.{kind} = r.{kind} AND oth.PREDICTION <> r.PREDICTION"
+        )
+        parts.append(
+            "SELECT KIND, ROUND(AVG(CASE WHEN own_n = 1 THEN 0 WHEN a < b THEN 1 - a / b "
+            f"WHEN a > b THEN b / a - 1 ELSE 0 END), 6) AS SILHOUETTE FROM {attack}_d GROUP BY KIND"
+        )
+    sql["kmeans_silhouette"] = _with(" UNION ALL ".join(parts), **ctes)
+    multi = _lloyd(["DURATION", "ORIG_PKTS", "ORIG_BYTES"], _totals("PROTO_SERVICE_ORIG_H"))
+    sql["kmeans_multi"] = _with("SELECT * FROM labelled", **multi)
+    sql["kmeans_multi_fit"] = _with(
+        "SELECT PREDICTION, ROUND(ANY_VALUE(own[1]), 6) AS DURATION, "
+        "ROUND(ANY_VALUE(own[2]), 6) AS ORIG_PKTS, ROUND(ANY_VALUE(own[3]), 6) AS ORIG_BYTES, "
+        'CAST(COUNT(*) AS BIGINT) AS "ROWS", ROUND(SUM(SQ_ERROR), 0) AS WSSSE FROM ('
+        "SELECT l.*, CASE WHEN PREDICTION = 0 THEN least(c0, c1) ELSE greatest(c0, c1) END AS own "
+        "FROM labelled l, final) GROUP BY PREDICTION",
+        **multi,
     )
     for attack, kinds in _KINDS.items():
         kind = _KIND[attack]

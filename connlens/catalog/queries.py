@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..operators import clusters, dns, enrich, exports, features, pivots, ranking
+from ..operators import clusters, dns, enrich, exports, features, lloyd, pivots, ranking
 from ..operators.totals import roll_up, tag_run, totals, totals_all
 from ..plans.detection import DDOS_SERVICES, SCAN_PROTOS, run_ddos, run_scan
 from ..plans.enrichment import Lookups
@@ -33,7 +33,7 @@ from ..sinks import (
     write_json,
     write_results,
 )
-from ..sources import records, tables
+from ..sources import records, store, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,8 @@ BETWEEN_RUNS = "2024-02-15 00:00:00"
 LATE_RUN = datetime(2024, 3, 1)
 TODAY = "2024-01-02 00:00:00"
 LOOKUPS = 20
+FIRST_RUN = datetime(2024, 1, 20, 12)
+AFTER = "2024-01-21 07:30:00"  # within the 30 days
 ROLLED_UP = ["PROTO", "PROTO_SERVICE", "PROTO_SERVICE_RESP_H"]
 
 _QUERIES: dict[str, Query] = {}
@@ -244,6 +246,59 @@ for _attack, _job, _keys in (("ddos", run_ddos, DDOS_KEYS), ("scan", run_scan, S
         return fit.withColumns({c: F.round(c, 6) for c in ("CENTRE", "WSSSE")})
 
 
+# The log by days, and records that arrive late
+
+
+def _stored_log(spark, sf):
+    path = scratch_folder(spark)
+    store.ingest(fx.arrivals(spark, sf), path)
+    return store.read_log(spark, path)
+
+
+@query("select_conn_by_day")
+def _select_conn_by_day(spark, sf):
+    return tables.select_conn(_stored_log(spark, sf), AFTER).select(*CONN_SCHEMA.names)
+
+
+@query("select_recent_by_day")
+def _select_recent_by_day(spark, sf):
+    return tables.select_recent(_stored_log(spark, sf), AFTER).select(*CONN_SCHEMA.names)
+
+
+def _arrived(raw):
+    """What a first run has seen."""
+    return store.in_time(raw, "TS_CODE", until=FIRST_RUN)
+
+
+@query("totals_late_records")
+def _totals_late_records(spark, sf):
+    """A second run counts the hours anew that records taken in after the first belong to."""
+    raw, table = _stored_log(spark, sf), scratch_folder(spark)
+    run_totals(_arrived(raw), None, FIRST_RUN, table)
+    run_totals(raw, FIRST_RUN, LATE_RUN, table, arrived=True)
+    newest = read_results(spark, table, ["TIPO", "TS", *GROUP_COLUMNS])
+    return newest.drop("TS_FILTRO", "TS_CODE", "ROW_ID")
+
+
+for _attack, _job, _keys in (("ddos", run_ddos, DDOS_KEYS), ("scan", run_scan, SCAN_KEYS)):
+
+    @query(f"scores_late_records_{_attack}", _job, _keys)
+    def _scores_late_records(spark, sf, job, keys):
+        """The counts of the whole log, after a run before and one after late records."""
+        raw, table, models = _stored_log(spark, sf), scratch_folder(spark), scratch_folder(spark)
+        job(_arrived(raw), None, FIRST_RUN, table, models)
+        job(raw, FIRST_RUN, LATE_RUN, table, models, arrived=True)
+        newest = read_results(spark, table, [*keys, "TS"])
+        return newest.select(*keys, "TS", "COUNT", *MEASURES)
+
+
+for _column, _tipo in (("PROTO", "PROTO"), ("SERVICE", "PROTO_SERVICE")):
+
+    @query(f"pivot_{_column.lower()}_30_days", _column, _tipo)
+    def _pivot_30_days(spark, sf, column, tipo):
+        return pivots.pivot(totals(fx.arrivals(spark, sf), tipo), column, "day")
+
+
 # Rankings
 
 
@@ -386,8 +441,7 @@ def _scan_features(spark, sf):
 def _trained(spark, sf, attack, kinds):
     """Feature rows, written once, and the centres fitted on each kind."""
     rows = materialize(_FEATURES[attack](_conn(spark, sf), kinds))
-    models = clusters.train_kinds(rows, _KIND[attack], kinds)
-    return rows, {kind: clusters.centres_of(model) for kind, model in models.items()}
+    return rows, clusters.train_kinds(rows, _KIND[attack], kinds)
 
 
 def _scored(spark, sf, attack, kinds):
@@ -409,8 +463,8 @@ def _kmeans_train(spark, sf):
     """Fit, save, load again and report the centres with their rows."""
     rows = materialize(features.ddos_features(_conn(spark, sf), ["http"]))
     path = scratch_folder(spark)
-    save_model(clusters.train(rows), path)
-    scored = clusters.score(rows, clusters.centres_of(load_model(path)))
+    save_model(spark, clusters.train(rows), path)
+    scored = clusters.score(rows, load_model(spark, path))
     sizes = clusters.centre_sizes(scored)
     return sizes.withColumn("CENTRE", F.round("CENTRE", 6))
 
@@ -429,14 +483,33 @@ def _kmeans_wssse(spark, sf):
 
 @query("kmeans_silhouette")
 def _kmeans_silhouette(spark, sf):
-    value = clusters.silhouette(_scored(spark, sf, "ddos", ["http"]))
-    return spark.createDataFrame([(round(value, 6),)], "SILHOUETTE double")
+    """Of all kinds, services and protocols."""
+    parts = [
+        clusters.silhouette(_scored(spark, sf, attack, kinds), _KIND[attack])
+        for attack, kinds in _KINDS.items()
+    ]
+    return parts[0].union(parts[1]).withColumn("SILHOUETTE", F.round("SILHOUETTE", 6))
+
+
+def _multi(spark, sf):
+    """The points of three features and their clusters from the two extreme starts."""
+    columns = ["DURATION", "ORIG_PKTS", "ORIG_BYTES"]
+    rows = totals(_conn(spark, sf), "PROTO_SERVICE_ORIG_H")
+    points = materialize(lloyd.usable(rows, columns))
+    return points, lloyd.lloyd(points, columns, lloyd.extremes(points, columns))
 
 
 @query("kmeans_multi")
 def _kmeans_multi(spark, sf):
-    rows = materialize(totals(_conn(spark, sf), "PROTO_SERVICE_ORIG_H"))
-    return clusters.score_multi(*clusters.train_multi(rows))
+    return lloyd.score_points(*_multi(spark, sf))
+
+
+@query("kmeans_multi_fit")
+def _kmeans_multi_fit(spark, sf):
+    """Centres, number of rows and squared errors."""
+    fit = lloyd.fit_table(*_multi(spark, sf))
+    shown = {"DURATION": 6, "ORIG_PKTS": 6, "ORIG_BYTES": 6, "WSSSE": 0}
+    return fit.withColumns({c: F.round(c, digits) for c, digits in shown.items()})
 
 
 for _attack, _kinds in _KINDS.items():

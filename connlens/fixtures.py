@@ -18,11 +18,27 @@ SELECT event_id, user_id, event_type, value,
 FROM {events}
 """
 
-_COMMON = """
-  ts0 AS TS_CODE, ts0 AS TS, concat('C', CAST(event_id AS STRING)) AS UID,
-  CASE WHEN blk = 3 THEN '10.9.9.9'
-       ELSE concat('10.0.', CAST(user_id % 3 AS STRING), '.', CAST(user_id % 20 AS STRING))
-  END AS ID_ORIG_H,
+# The same events over 30 days. Most are taken in within a minute, some more than a day later.
+_BASE_30 = """
+SELECT *, ts0 + (INTERVAL '1' MINUTE) * CASE WHEN event_id % 97 = 0 THEN 1600 ELSE 1 END AS taken
+FROM (
+  SELECT event_id, user_id, event_type, value,
+         CAST(FLOOR(event_id / 300) AS BIGINT) % 7 AS blk,
+         TIMESTAMP '2024-01-01 00:00:00' + (INTERVAL '1' DAY) * CAST(event_id % 30 AS BIGINT)
+           + (INTERVAL '1' SECOND) * CAST(CAST(FLOOR(event_id / 30) AS BIGINT) * 53 % 86400 AS BIGINT) AS ts0
+  FROM {events}) e
+"""
+
+# Hosts of the short log are few; those of the long one grow with the users.
+_HOST = "concat('10.0.', CAST(user_id % 3 AS STRING), '.', CAST(user_id % 20 AS STRING))"
+_HOST_30 = """concat('10.', CAST(CAST(FLOOR(user_id / 65536) AS BIGINT) % 200 AS STRING), '.',
+  CAST(CAST(FLOOR(user_id / 256) AS BIGINT) % 256 AS STRING), '.', CAST(user_id % 256 AS STRING))"""
+
+
+def _common(taken: str, host: str) -> str:
+    return f"""
+  {taken} AS TS_CODE, ts0 AS TS, concat('C', CAST(event_id AS STRING)) AS UID,
+  CASE WHEN blk = 3 THEN '10.9.9.9' ELSE {host} END AS ID_ORIG_H,
   CASE WHEN blk = 3 THEN 40000 ELSE 40000 + CAST(event_id % 50 AS INT) END AS ID_ORIG_P,
   CASE WHEN blk = 3 THEN '200.18.0.80'
        ELSE concat(CASE WHEN user_id % 2 = 0 THEN '200.18.' ELSE '198.51.' END,
@@ -35,8 +51,13 @@ _COMMON = """
        WHEN blk <> 3 AND event_type = 'error' THEN 'icmp' ELSE 'tcp' END AS PROTO
 """
 
-CONN_SQL = f"""
-SELECT 'CONN' AS TIPO, {_COMMON},
+
+_COMMON = _common("ts0", _HOST)
+
+
+def _conn(common: str, base: str) -> str:
+    return f"""
+SELECT 'CONN' AS TIPO, {common},
   CASE WHEN blk = 3 OR event_type = 'click' THEN 'http' WHEN event_type = 'view' THEN 'ssl'
        WHEN event_type = 'purchase' THEN 'ssh' WHEN event_type = 'signup' THEN 'dns'
   END AS SERVICE,
@@ -56,9 +77,13 @@ SELECT 'CONN' AS TIPO, {_COMMON},
   CAST(FLOOR(value * 100 + 0.5) AS BIGINT) + 40 AS ORIG_IP_BYTES,
   CAST(1 + event_id % 5 AS BIGINT) AS RESP_PKTS,
   CAST(FLOOR(value * 300 + 0.5) AS BIGINT) + 40 AS RESP_IP_BYTES
-FROM ({_BASE}) b
+FROM ({base}) b
 """
 
+
+CONN_SQL = _conn(_COMMON, _BASE)
+ARRIVALS_SQL = _conn(_common("taken", _HOST_30), _BASE_30)
+
 DNS_SQL = f"""
 SELECT 'DNS' AS TIPO, {_COMMON},
   CAST(event_id % 65536 AS INT) AS TRANS_ID,
@@ -131,6 +156,11 @@ def conn_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir, CONN_SQL).select(*CONN_SCHEMA.names)
 
 
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections of 30 days, some of them taken in late."""
+    return _log(spark, sf_dir, ARRIVALS_SQL).select(*CONN_SCHEMA.names)
+
+
 def dns_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _log(spark, sf_dir, DNS_SQL).select(*DNS_SCHEMA.names)
 

@@ -1,55 +1,92 @@
-"""k-means detection: training, scoring, quality and the hosts involved."""
+"""k-means detection: training, scoring, quality and the hosts involved.
+
+Two clusters of one feature are a cut between two values of COUNT, so the best one is found without iterations: from
+running sums over the distinct counts. A count c takes c log rows, so a log of N rows has fewer than sqrt(2 N) of
+them, however many feature rows there are: that bounds what one task sorts for a kind.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from ..functions import case, lookup_join
 
-MULTI_FEATURES = ["DURATION", "ORIG_PKTS", "ORIG_BYTES"]
+_WHOLE = "decimal(38,0)"
 
 
 def with_vector(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows)
 
 
-def train(features: DataFrame, k: int = 2, seed: int = 1) -> KMeansModel:
-    """k-means on COUNT.
+def histogram(rows: DataFrame, *by: str) -> DataFrame:
+    """How many rows (WEIGHT) have a COUNT, by further columns."""
+    return rows.groupBy(*by, "COUNT").agg(F.count(F.lit(1)).alias("WEIGHT"))
+
 
-    Equal counts are one point with a weight. That leaves the clusters as they
-    are, while the iterations run over the distinct counts only: a few
-    thousand rows even where the feature table has billions.
+def best_cuts(points: DataFrame, kind_column: str) -> DataFrame:
+    """The split of a histogram's COUNTs in two with the least squared error, for each kind.
+
+    One row per kind: CUT, the greatest COUNT of the lower part (null where there is one COUNT only), and LOWER and
+    UPPER, with ROWS, CENTRE and WSSSE of the part. Of equally good splits the lowest counts. A split explains
+    (n s1 - n1 s)^2 / (n1 n2) of the error, up to a factor; the numerator is exact, so splits that mirror each
+    other are equal.
     """
-    points = features.groupBy("COUNT").agg(F.count(F.lit(1)).alias("weight"))
-    return KMeans(k=k, seed=seed, weightCol="weight").fit(with_vector(points, ["COUNT"]))
+    upto = Window.partitionBy(kind_column).orderBy("COUNT").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(kind_column)
+    value, weight = F.col("COUNT").cast(_WHOLE), F.col("WEIGHT").cast(_WHOLE)
+    sums = {"n": weight, "s": weight * value, "q": weight * value * value}
+    running = points.where(F.col("COUNT").isNotNull()).select(
+        kind_column,
+        "COUNT",
+        *[F.sum(x).over(upto).cast(_WHOLE).alias(f"{name}1") for name, x in sums.items()],
+        *[F.sum(x).over(whole).cast(_WHOLE).alias(name) for name, x in sums.items()],
+    )
+    rest = {f"{name}2": F.col(name) - F.col(f"{name}1") for name in sums}
+    apart = (F.col("n") * F.col("s1") - F.col("n1") * F.col("s")).cast("double")
+    gain = F.when(F.col("n1") < F.col("n"), apart * apart / (F.col("n1").cast("double") * F.col("n2").cast("double")))
+    split = running.withColumns(rest).withColumn("gain", F.coalesce(gain, F.lit(-1.0)))
+    order = F.struct("gain", -F.col("COUNT"))
+    best = split.groupBy(kind_column).agg(F.max_by(F.struct("*"), order).alias("b"))
+
+    def part(number: int) -> Column:
+        n, s, q = (F.col(f"b.{name}{number}").cast(_WHOLE) for name in sums)
+        error = (n * q - s * s).cast("double") / n.cast("double")
+        return F.struct(
+            n.cast("bigint").alias("ROWS"), (s.cast("double") / n.cast("double")).alias("CENTRE"), error.alias("WSSSE")
+        )
+
+    split_up = F.col("b.gain") >= 0
+    return best.select(
+        kind_column,
+        F.when(split_up, F.col("b.COUNT")).alias("CUT"),
+        part(1).alias("LOWER"),
+        F.when(split_up, part(2)).alias("UPPER"),
+    )
 
 
 def train_kinds(
-    features: DataFrame, kind_column: str, kinds: Sequence[str], seed: int = 1
-) -> dict[str, KMeansModel]:
-    """One model for each service or protocol that has rows.
+    features: DataFrame, kind_column: str, kinds: Sequence[str]
+) -> dict[str, list[float]]:
+    """The ascending centres of each service or protocol that has rows, out of one aggregation.
 
-    A fit is a row of small jobs, so the fits run side by side.
+    Where all rows have one COUNT there is one centre. Two numbers a kind reach the driver.
     """
-    wanted = features.where(F.col(kind_column).isin(*kinds))
-    present = [row[0] for row in wanted.select(kind_column).distinct().collect()]
-    if not present:
-        return {}
+    points = histogram(features.where(F.col(kind_column).isin(*kinds)), kind_column)
+    found = best_cuts(points, kind_column).collect()
+    return {
+        row[kind_column]: [part["CENTRE"] for part in (row["LOWER"], row["UPPER"]) if part]
+        for row in found
+    }
 
-    def fit(kind: str) -> KMeansModel:
-        return train(features.where(F.col(kind_column) == kind), seed=seed)
 
-    in_session = inheritable_thread_target(features.sparkSession)
-    with ThreadPool(len(present)) as pool:
-        return dict(zip(present, pool.map(in_session(fit), present)))
+def train(features: DataFrame) -> list[float]:
+    """The ascending centres of all rows."""
+    return train_kinds(features.withColumn("_kind", F.lit("all")), "_kind", ["all"]).get("all", [])
 
 
 def centres_of(model: KMeansModel) -> list[float]:
@@ -130,44 +167,48 @@ def fit_of_kinds(scored: DataFrame, kind_column: str) -> DataFrame:
     )
 
 
-def silhouette(scored: DataFrame) -> float:
-    """Silhouette of scored rows, by squared Euclidean distance."""
-    points = with_vector(scored.select("COUNT", "PREDICTION"), ["COUNT"])
-    return ClusteringEvaluator(predictionCol="PREDICTION").evaluate(points)
-
+def silhouette(scored: DataFrame, kind_column: str) -> DataFrame:
+    """Silhouette of the scored rows of each kind (KIND), by squared distance; null where there is one cluster.
 
-def train_multi(
-    rows: DataFrame, columns: Sequence[str] = MULTI_FEATURES, k: int = 2, seed: int = 1
-) -> tuple[KMeansModel, DataFrame]:
-    """k-means on several sums; rows with a null in one of them are left out.
-
-    Returns the model and its points, to be given to ``model.transform``.
+    The mean squared distance of x to a cluster of n rows with centre m and squared error e is
+    e / n + (x - m)^2, so the histogram of the counts is all that is passed over. A row alone in its cluster counts 0.
     """
-    points = with_vector(rows.dropna(subset=list(columns)), columns)
-    return KMeans(k=k, seed=seed).fit(points), points
-
-
-def score_multi(
-    model: KMeansModel, points: DataFrame, columns: Sequence[str] = MULTI_FEATURES
-) -> DataFrame:
-    """Add PREDICTION and the squared distance to the own centre (SQ_ERROR).
-
-    Labels ascend with the centres, whatever order the model was fitted in.
-    """
-    fitted = [[float(x) for x in centre] for centre in model.clusterCenters()]
-    ascending = sorted(fitted)
-    own = F.element_at(F.lit(ascending), F.col("PREDICTION") + 1)
-    error = sum(
-        F.pow(F.col(name) - F.element_at(own, place), 2)
-        for place, name in enumerate(columns, start=1)
+    points = histogram(scored, kind_column, "PREDICTION").where(F.col("COUNT").isNotNull())
+    value, weight = F.col("COUNT").cast(_WHOLE), F.col("WEIGHT").cast(_WHOLE)
+    sums = points.groupBy(kind_column, "PREDICTION").agg(
+        F.sum(weight).cast(_WHOLE).alias("n"),
+        F.sum(weight * value).cast(_WHOLE).alias("s"),
+        F.sum(weight * value * value).cast(_WHOLE).alias("q"),
     )
-    labels = F.lit([ascending.index(centre) for centre in fitted])
-    return (
-        model.setPredictionCol("FITTED").transform(points)
-        .withColumn("PREDICTION", F.element_at(labels, F.col("FITTED") + 1))
-        .withColumn("SQ_ERROR", error)
-        .drop("features", "FITTED")
+    n, s, q = F.col("n"), F.col("s"), F.col("q")
+    cluster = F.struct(
+        "PREDICTION",
+        n.cast("double").alias("n"),
+        (s.cast("double") / n.cast("double")).alias("m"),
+        ((n * q - s * s).cast("double") / n.cast("double")).alias("e"),
+    )
+    # As many rows as kinds, each with as many entries as centres.
+    clusters = sums.groupBy(kind_column).agg(F.collect_list(cluster).alias("_clusters"))
+    own = F.filter("_clusters", lambda c: c["PREDICTION"] == F.col("PREDICTION"))[0]
+    others = F.filter("_clusters", lambda c: c["PREDICTION"] != F.col("PREDICTION"))
+    x = F.col("COUNT").cast("double")
+
+    def away(c: Column) -> Column:
+        return c["e"] / c["n"] + (x - c["m"]) * (x - c["m"])
+
+    inside = own["n"] * away(own) / (own["n"] - 1)
+    outside = F.array_min(F.transform(others, away))
+    value = (
+        F.when(own["n"] == 1, 0.0)
+        .when(inside < outside, 1 - inside / outside)
+        .when(inside > outside, outside / inside - 1)
+        .otherwise(0.0)
+    )
+    each = points.join(F.broadcast(clusters), kind_column).withColumn(
+        "_value", F.when(F.size("_clusters") > 1, value * F.col("WEIGHT"))
     )
+    mean = F.sum("_value") / F.sum(F.when(F.col("_value").isNotNull(), F.col("WEIGHT")))
+    return each.groupBy(F.col(kind_column).alias("KIND")).agg(mean.alias("SILHOUETTE"))
 
 
 def attackers(scored: DataFrame, kind_column: str) -> DataFrame:

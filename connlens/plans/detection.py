@@ -7,12 +7,12 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from ..operators.clusters import centres_of, fit_of_kinds, score_kinds, train_kinds
+from ..operators.clusters import fit_of_kinds, score_kinds, train_kinds
 from ..operators.features import ddos_features, scan_features
 from ..operators.totals import tag_run
 from ..session import configure, materialize
 from ..sinks import has_model, load_model, read_results, save_model, write_results
-from ..sources.tables import bucket_start, select_conn
+from ..sources.tables import bucket_start, select_conn, select_touched
 
 DDOS_SERVICES = ["http", "ssh"]
 SCAN_PROTOS = ["tcp", "udp"]
@@ -27,10 +27,14 @@ def run_ddos(
     services: Sequence[str] = DDOS_SERVICES,
     retrain: bool = False,
     min_count: int | None = None,
+    arrived: bool = False,
 ) -> DataFrame | None:
-    """Score the traffic per minute of some services, from the minute of ``since`` on, and store the rows."""
+    """Score the traffic per minute of some services, from the minute of ``since`` on, and store the rows.
+
+    With ``arrived``, the minutes of records taken in after ``since`` are scored anew.
+    """
     return _detect(
-        raw, since, run_ts, table, models, services, retrain, min_count,
+        raw, since, run_ts, table, models, services, retrain, min_count, arrived,
         kind_column="SERVICE", features_of=ddos_features, grain="minute",
     )
 
@@ -44,10 +48,14 @@ def run_scan(
     protos: Sequence[str] = SCAN_PROTOS,
     retrain: bool = False,
     min_count: int | None = None,
+    arrived: bool = False,
 ) -> DataFrame | None:
-    """Score the traffic per hour of some protocols, from the hour of ``since`` on, and store the rows."""
+    """Score the traffic per hour of some protocols, from the hour of ``since`` on, and store the rows.
+
+    With ``arrived``, the hours of records taken in after ``since`` are scored anew.
+    """
     return _detect(
-        raw, since, run_ts, table, models, protos, retrain, min_count,
+        raw, since, run_ts, table, models, protos, retrain, min_count, arrived,
         kind_column="PROTO", features_of=scan_features, grain="hour",
     )
 
@@ -61,6 +69,7 @@ def _detect(
     kinds: Sequence[str],
     retrain: bool,
     min_count: int | None,
+    arrived: bool,
     kind_column: str,
     features_of: Callable[[DataFrame, Sequence[str]], DataFrame],
     grain: str,
@@ -73,16 +82,20 @@ def _detect(
     stored rows fit, see :func:`fit_of_kinds`, or None without a model of any kind.
     """
     spark = configure(raw.sparkSession)
-    features = features_of(select_conn(raw, since, grain), kinds)
+    if arrived:
+        rows = select_touched(raw, since, run_ts, grain)
+    else:
+        rows = select_conn(raw, since, grain)
+    features = features_of(rows, kinds)
     untrained = [
         kind for kind in kinds if retrain or not has_model(spark, f"{models}/{kind}")
     ]
     if untrained:
         features = materialize(features)
-        for kind, model in train_kinds(features, kind_column, untrained).items():
-            save_model(model, f"{models}/{kind}")
+        for kind, fitted in train_kinds(features, kind_column, untrained).items():
+            save_model(spark, fitted, f"{models}/{kind}")
     centres = {
-        kind: centres_of(load_model(f"{models}/{kind}"))
+        kind: load_model(spark, f"{models}/{kind}")
         for kind in kinds
         if has_model(spark, f"{models}/{kind}")
     }

@@ -12,7 +12,7 @@ from ..operators.totals import roll_up, tag_run, totals_all
 from ..schemas import DEFAULT_TOTAL_TYPES, TOTAL_TYPES, TOTALS_SCHEMA
 from ..session import configure
 from ..sinks import read_results, write_results
-from ..sources.tables import bucket_start, select_conn
+from ..sources.tables import bucket_start, select_conn, select_touched
 
 
 def run_totals(
@@ -21,14 +21,22 @@ def run_totals(
     run_ts: datetime,
     table: str,
     tipos: Sequence[str] = DEFAULT_TOTAL_TYPES,
+    arrived: bool = False,
 ) -> None:
     """Compute the totals of the connections from the hour of ``since`` on and store them.
 
     The log is read once for all types. The hour is whole, and recorded in TS_FILTRO: a
     later run replaces totals of an hour by totals of the same hour.
+
+    With ``arrived``, ``since`` is when the last run took place: the hours of records taken in since then, up to ``run_ts``, are
+    counted anew, however old they are, and no others.
     """
     configure(raw.sparkSession)
-    _store(totals_all(select_conn(raw, since, "hour"), tipos), since, run_ts, table)
+    if arrived:
+        rows = select_touched(raw, since, run_ts, "hour")
+    else:
+        rows = select_conn(raw, since, "hour")
+    _store(totals_all(rows, tipos), since, run_ts, table)
 
 
 def add_totals(

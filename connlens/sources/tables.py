@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import bucket, moment
 from ..schemas import CONN
+from .store import in_time, touched
 
 
 def read_table(
@@ -40,7 +41,7 @@ def later_than(column: str, since: str | datetime) -> Column:
 
 def select_recent(raw: DataFrame, since: str | datetime) -> DataFrame:
     """All records taken in after ``since``."""
-    return raw.where(later_than("TS_CODE", since))
+    return in_time(raw, "TS_CODE", after=since)
 
 
 def select_conn(
@@ -55,8 +56,15 @@ def select_conn(
     if since is None:
         return conn
     if whole is None:
-        return conn.where(later_than("TS", since))
-    return conn.where(F.col("TS") >= bucket_start(since, whole))
+        return in_time(conn, "TS", after=since)
+    return in_time(conn, "TS", start=bucket_start(since, whole))
+
+
+def select_touched(
+    raw: DataFrame, after: str | datetime, until: str | datetime, whole: str
+) -> DataFrame:
+    """Connection records of the buckets that late or new ones, taken in after ``after``, belong to."""
+    return touched(raw.where(F.col("TIPO") == CONN), after, until, whole)
 
 
 def bucket_start(since: str | datetime | None, grain: str) -> Column:
