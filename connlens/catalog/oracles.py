@@ -246,6 +246,7 @@ def all_oracles() -> dict[str, str]:
         f"UNION ALL SELECT *, {_LATE} AS TS_CODE FROM ({_totals('PROTO_SERVICE', 'late')})",
     )
 
+    sql["results_compacted"] = sql["results_base_and_run"] = sql["results_upsert"]
     sql["totals_two_runs"] = sql["totals_all"]
     for attack, kinds in _KINDS.items():
         sql[f"scores_two_runs_{attack}"] = _with(_features(attack, kinds))

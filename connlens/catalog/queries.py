@@ -26,9 +26,11 @@ from ..schemas import (
 )
 from ..session import configure, materialize, scratch_folder
 from ..sinks import (
+    compact_results,
     load_model,
     read_results,
     save_model,
+    vacuum_results,
     write_csv,
     write_json,
     write_results,
@@ -217,6 +219,32 @@ def _results_upsert(spark, sf):
     return newest.drop("TS_FILTRO", "ROW_ID")
 
 
+@query("results_compacted")
+def _results_compacted(spark, sf):
+    """The same, merged into a base before the late run and after it; the merged runs are removed."""
+    raw, table = fx.raw_log(spark, sf), scratch_folder(spark)
+    keys = ["TIPO", "TS", "PROTO", "SERVICE"]
+    for since, run_ts in ((None, EARLY_RUN), (SINCE, LATE_RUN)):
+        rows = totals(tables.select_conn(raw, since, "hour"), "PROTO_SERVICE")
+        write_results(tag_run(rows, since, run_ts), table, run_ts, by=["TIPO"])
+        compact_results(spark, table, keys, by=["TIPO"])
+        vacuum_results(spark, table)
+    return read_results(spark, table, keys).drop("TS_FILTRO", "ROW_ID")
+
+
+@query("results_base_and_run")
+def _results_base_and_run(spark, sf):
+    """The same, read from a base of the early run and the late run beside it."""
+    raw, table = fx.raw_log(spark, sf), scratch_folder(spark)
+    keys = ["TIPO", "TS", "PROTO", "SERVICE"]
+    for since, run_ts in ((None, EARLY_RUN), (SINCE, LATE_RUN)):
+        rows = totals(tables.select_conn(raw, since, "hour"), "PROTO_SERVICE")
+        write_results(tag_run(rows, since, run_ts), table, run_ts, by=["TIPO"])
+        if since is None:
+            compact_results(spark, table, keys, by=["TIPO"])
+    return read_results(spark, table, keys).drop("TS_FILTRO", "ROW_ID")
+
+
 @query("totals_two_runs")
 def _totals_two_runs(spark, sf):
     """A second run from within an hour leaves the totals of the whole log."""

@@ -5,12 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.totals import with_row_id
-
-RUN = "RUN"
+from .compaction import RUN, check_open, newest, read_manifest, read_merged
 
 
 def run_name(run_ts: datetime) -> str:
@@ -32,8 +31,10 @@ def write_results(
     rebalance gathers each partition into files of a good size and cuts large ones
     up. ROW_ID comes after it, in the writing task, so a task that runs again replaces its
     whole file and no id occurs twice. An empty result leaves a run without
-    rows; with ``by`` it writes no data files.
+    rows; with ``by`` it writes no data files. A run that is merged into a base, or
+    earlier than one that is, is refused.
     """
+    check_open(rows.sparkSession, path, run_name(run_ts))
     spread = rows.hint("rebalance", *by) if by else rows.hint("rebalance")
     writer = with_row_id(spread).write.mode("overwrite")
     if by:
@@ -57,18 +58,23 @@ def read_results(
     the same key; nulls in a key are equal. Each map task passes on one row per key
     only. Runs may overlap, so rows of several without ``keys`` must be asked
     for by ``all_runs``.
+
+    Of a compacted table, rows by the keys of its base come from the base and the runs after it;
+    other reads need the runs' own folders.
     """
     if keys is None and run_ts is None and not all_runs:
         raise ValueError("runs may overlap: give keys, run_ts or all_runs=True")
+    if keys is not None and run_ts is None:
+        manifest = read_manifest(spark, path)
+        if manifest and set(manifest.keys) == set(keys):
+            return read_merged(spark, path, keys, manifest, since and run_name(since)).drop(RUN)
     table = spark.read.parquet(path)
     if run_ts is not None:
         table = table.where(F.col(RUN) == run_name(run_ts))
     if since is not None:
         table = table.where(F.col(RUN) >= run_name(since))
     if keys is not None:
-        latest = Window.partitionBy(*keys).orderBy(F.desc("TS_CODE"), F.desc("ROW_ID"))
-        table = table.withColumn("_place", F.row_number().over(latest))
-        table = table.where(F.col("_place") == 1).drop("_place")
+        table = newest(table, keys)
     return table.drop(RUN)
 
 
