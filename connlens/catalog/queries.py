@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import clusters, dns, enrich, exports, features, lloyd, pivots, ranking
+from ..operators.lattice import totals_by_lattice
 from ..operators.totals import roll_up, tag_run, totals, totals_all
 from ..plans.detection import DDOS_SERVICES, SCAN_PROTOS, run_ddos, run_scan
 from ..plans.enrichment import Lookups
@@ -189,7 +190,7 @@ def _totals_all(spark, sf):
 
 @query("totals_all_23")
 def _totals_all_23(spark, sf):
-    return totals_all(_conn(spark, sf), list(TOTAL_TYPES))
+    return totals_by_lattice(_conn(spark, sf), list(TOTAL_TYPES))
 
 
 @query("totals_rolled_up")

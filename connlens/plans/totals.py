@@ -8,12 +8,16 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lattice import totals_by_lattice
 from ..operators.totals import roll_up, tag_run, totals_all
 from ..schemas import DEFAULT_TOTAL_TYPES, TOTAL_TYPES, TOTALS_SCHEMA
 from ..session import configure
 from ..sinks import read_results, write_results
 from ..sources.tables import bucket_start, select_conn, select_touched
 
+# Up to so many types a copy of each log row for each type costs less than further steps.
+FEW_TYPES = 8
+
 
 def run_totals(
     raw: DataFrame,
@@ -25,7 +29,8 @@ def run_totals(
 ) -> None:
     """Compute the totals of the connections from the hour of ``since`` on and store them.
 
-    The log is read once for all types. The hour is whole, and recorded in TS_FILTRO: a
+    The log is read once for all types; of more than a few, most are rolled up from the
+    others' rows and not from the log. The hour is whole, and recorded in TS_FILTRO: a
     later run replaces totals of an hour by totals of the same hour.
 
     With ``arrived``, ``since`` is when the last run took place: the hours of records taken in since then, up to ``run_ts``, are
@@ -36,7 +41,8 @@ def run_totals(
         rows = select_touched(raw, since, run_ts, "hour")
     else:
         rows = select_conn(raw, since, "hour")
-    _store(totals_all(rows, tipos), since, run_ts, table)
+    of = totals_by_lattice if len(tipos) > FEW_TYPES else totals_all
+    _store(of(rows, tipos), since, run_ts, table)
 
 
 def add_totals(

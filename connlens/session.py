@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,13 +44,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/connlens-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Write a frame to the scratch folder as Parquet and read it back.
 
     For frames used by several later steps: the work is done once, the lineage
     ends at files that outlive any executor, and later filters and column
-    choices reach the scan.
+    choices reach the scan. With ``by`` a filter on these columns names the folders to read.
     """
     path = scratch_folder(df.sparkSession)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
