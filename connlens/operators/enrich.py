@@ -50,7 +50,7 @@ def distinct_ips(data: DataFrame, field: str) -> DataFrame:
 def ipinfo_known(info: DataFrame, data: DataFrame, field: str) -> DataFrame:
     """What is known about the addresses in a column of the data."""
     asked = distinct_ips(data, field).withColumnRenamed(field, "IP")
-    return newest_info(info).join(asked, "IP", "left_semi")
+    return newest_info(info.join(asked, "IP", "left_semi"))
 
 
 def asked(
