@@ -416,7 +416,19 @@ def all_oracles() -> dict[str, str]:
                 first, history, "ID_RESP_H", _VICTIMS, ts
             )
 
+        for one in kinds:
+            split = _scored(attack, [one])
+            sql[f"victims_wide_file_{attack}_{one}"] = _with(
+                f"SELECT date_trunc('hour', TS) AS TS, ID_RESP_H, {_SUM_COUNT} "
+                f"FROM ({history}) GROUP BY 1, 2",
+                **split,
+            )
+
     # Pivots
+    sql["pivot_orig_h_wide_file"] = _with(
+        f"SELECT TS, ID_ORIG_H, {_SUM_COUNT} FROM ({_totals('PROTO_SERVICE_ORIG_H', 'arrivals')}) "
+        "WHERE SERVICE = 'http' GROUP BY TS, ID_ORIG_H"
+    )
     for grain in ("hour", "day"):
         ts = f"date_trunc('{grain}', TS)"
         sql[f"pivot_proto_{grain}"] = _pivot({}, _totals("PROTO"), "PROTO", _PROTOS, ts)

@@ -30,11 +30,13 @@ from ..sinks import (
     compact_results,
     load_model,
     read_results,
+    read_wide,
     save_model,
     vacuum_results,
     write_csv,
     write_json,
     write_results,
+    write_wide,
 )
 from ..sources import records, store, tables
 
@@ -603,6 +605,27 @@ def _pivot_orig_h_http(spark, sf):
     return pivots.pivot(rows, "ID_ORIG_H", "hour", plain_names=True)
 
 
+@query("pivot_orig_h_wide_file")
+def _pivot_orig_h_wide_file(spark, sf):
+    """Sources of http traffic as columns, in files of 100 at most, written and read back as long rows."""
+    rows = totals(fx.arrivals(spark, sf), "PROTO_SERVICE_ORIG_H").where("SERVICE = 'http'")
+    path = scratch_folder(spark)
+    write_wide(pivots.history(rows, "ID_ORIG_H", "hour"), "ID_ORIG_H", path, 100)
+    return read_wide(spark, path, "ID_ORIG_H")
+
+
+for _attack, _kinds in _KINDS.items():
+    for _kind in _kinds:
+
+        @query(f"victims_wide_file_{_attack}_{_kind}", _attack, _kind)
+        def _victims_wide_file(spark, sf, attack, kind):
+            """The victims' hourly history in wide files, read back as long rows."""
+            scored, path = _scored(spark, sf, attack, [kind]), scratch_folder(spark)
+            long = pivots.victim_counts(scored, _KIND[attack], "hour")
+            write_wide(long, "ID_RESP_H", path, 2)
+            return read_wide(spark, path, "ID_RESP_H")
+
+
 # Files
 
 

@@ -21,7 +21,7 @@ from ..operators.ranking import (
 )
 from ..schemas import DEFAULT_TOTAL_TYPES
 from ..session import configure
-from ..sinks import write_csv
+from ..sinks import write_csv, write_wide
 from ..sources.tables import select_scores, select_totals
 from .detection import DDOS_SERVICES, SCAN_PROTOS
 from .enrichment import Lookups, look_up_missing
@@ -93,6 +93,24 @@ def report_totals(
                 write_history(history(rows, column, grain), column, target, grain, wide=True)
 
 
+def report_hosts(
+    totals: DataFrame,
+    since: str | datetime,
+    out: str,
+    services: Sequence[str] = DDOS_SERVICES,
+) -> None:
+    """Write the hourly connections of each service with a column per source, however many there are.
+
+    Each is a set of files of bounded width, to be read by :func:`connlens.sinks.read_wide`.
+    """
+    configure(totals.sparkSession)
+    recent = select_totals(totals, since, "PROTO_SERVICE_ORIG_H")
+    for service in services:
+        rows = recent.where(F.col("SERVICE") == service)
+        long = history(rows, "ID_ORIG_H", "hour")
+        write_wide(long, "ID_ORIG_H", f"{out}/PROTO_SERVICE_ORIG_H_{service}_PIVOT_H")
+
+
 def write_history(
     long: DataFrame, column: str, path: str, grain: str, wide: bool
 ) -> None:
@@ -129,10 +147,12 @@ def report_scores(
     label: str,
     native: str,
     lookups: Lookups | None = None,
+    wide: bool = False,
 ) -> dict[str, DataFrame]:
     """Write the enriched scores and the victims' histories of each kind.
 
-    ``native`` is the time bucket of the scored rows. Returns the enriched
+    ``native`` is the time bucket of the scored rows. With ``wide`` the histories have a column per victim, in
+    sets of files of bounded width (see :func:`connlens.sinks.write_wide`), and long rows otherwise. Returns the enriched
     attackers by kind. Attackers of all kinds are looked up in one step.
     """
     attack = _attack_rows(scores, since, kind_column, kinds)
@@ -148,7 +168,10 @@ def report_scores(
         for grain, name in ((native, "M"), ("hour", "H")):
             long = victim_counts(rows, kind_column, grain)
             target = f"{out}/{label}_{kind}_PIVOT_{name}"
-            write_history(long, "ID_RESP_H", target, grain, wide=False)
+            if wide:
+                write_wide(long, "ID_RESP_H", target)
+            else:
+                write_history(long, "ID_RESP_H", target, grain, wide=False)
     return found
 
 

@@ -1,0 +1,48 @@
+import pytest
+from pyspark.sql import functions as F
+
+from connlens.sinks import read_wide, write_wide
+from logs import as_set
+
+
+def test_twelve_thousand_hosts(spark, tmp_path):
+    """More hosts than Spark takes as columns of one pivot."""
+    host = F.concat(F.lit("10.0."), (F.col("id") % 12_000).cast("string"))
+    rows = spark.range(15_000).select(
+        F.timestamp_seconds(F.col("id") % 3 * 3600).alias("TS"), host.alias("ID_ORIG_H"), F.lit(2).cast("bigint").alias("COUNT")
+    )
+    path = str(tmp_path / "W")
+    blocks = write_wide(rows, "ID_ORIG_H", path, 3000)
+    assert 4 <= blocks <= 8
+    widths = [len(spark.read.parquet(str(p)).columns) - 1 for p in tmp_path.glob("W/block-*")]
+    assert sum(widths) == 12_000 and max(widths) <= 3000
+    long = rows.groupBy("TS", "ID_ORIG_H").agg(F.sum("COUNT").alias("COUNT"))
+    back = read_wide(spark, path, "ID_ORIG_H")
+    assert back.columns == ["TS", "ID_ORIG_H", "COUNT"]
+    assert as_set(back) == as_set(long)
+
+
+def history(spark, *rows):
+    table = spark.createDataFrame(rows, "hour int, H string, COUNT bigint")
+    return table.select(F.timestamp_seconds(F.col("hour") * 3600).alias("TS"), "H", "COUNT")
+
+
+def test_some_values_open_their_blocks_only(spark, tmp_path):
+    path = str(tmp_path / "W")
+    write_wide(history(spark, *[(i % 2, f"h.{i}", i) for i in range(40)]), "H", path, 3)
+    some = read_wide(spark, path, "H", ["h.7", "h.8", "absent"])
+    assert as_set(some, "H", "COUNT") == [("h.7", 7), ("h.8", 8)]
+    assert len({f.rsplit("/", 2)[1] for f in some.inputFiles()}) <= 2
+    assert read_wide(spark, path, "H", ["absent"]).count() == 0
+
+
+def test_missing_values_empty_histories_and_replaced_sets(spark, tmp_path):
+    path = str(tmp_path / "W")
+    write_wide(history(spark, (0, "a", 1), (0, None, 2), (1, "a", 3), (1, "a", 4)), "H", path, 1)
+    assert as_set(read_wide(spark, path, "H"), "H", "COUNT") == [("a", 1), ("a", 7), ("null", 2)]
+    write_wide(history(spark, (5, "b", 9)), "H", path, 1)
+    assert as_set(read_wide(spark, path, "H"), "H", "COUNT") == [("b", 9)]
+    write_wide(history(spark, (5, "b", 9)).limit(0), "H", path)
+    assert read_wide(spark, path, "H").count() == 0
+    with pytest.raises(ValueError):
+        write_wide(history(spark, (5, "b", 9)), "TS", path)
