@@ -11,14 +11,16 @@ the threshold share a shingle among the first n - ceil(0.8 n) + 1 of either. Ste
 3. Each list links its groups to its least group. Group pairs pass the length and
    position filters, are expanded to different sets, and verified on whole sets. Before
    whole sets are moved, parity bitmaps rule out pairs that differ in too many shingles.
-4. Of lists that are not yet within one component, the sets outside
-   the list's largest component are paired with those of other components,
-   filtered and verified in the same way. Sets already in one component need no link
+4. Of lists that are not yet within one component, the groups outside
+   the list's largest component are paired with those of other components. This happens inside tasks, a pair of
+   blocks of a list at a time: group pairs are filtered by length and position, those left are expanded to
+   their sets, and only sets whose folded parity bitmaps leave room come out, to be verified in the same way. Sets already in one component need no link
    between them, so no group's pairs are all emitted, yet no component is missed.
 
 Equal sets are one throughout. Null and texts without words have an empty set and
 are linked with nothing. Extra columns are ignored; repeated rows are equal
-sets. A repeated doc_id is one node with all its texts.
+sets. A repeated doc_id is one node with all its texts, as a component is one of documents; ``one_of_each`` goes by
+texts. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from .words import NOT_BLANK, shingles, slices, words_of
 
 SIZE = 5
 PERCENT = 80  # 100 * intersection >= PERCENT * union
+BLOCK = 4096  # sets of a list that meet as many others in a task
+FOLDED = 2048  # bits of a parity bitmap there
 FREQUENT = 64  # a shingle in the prefixes of more documents goes to the end of the order
 
 
@@ -76,7 +80,7 @@ def _parity(own: np.ndarray) -> bytes:
     Two sets differ in at least as many shingles as their bitmaps differ in bits. A
     bitmap is folded to half its size by XOR of its halves.
     """
-    size = max(64, 1 << (2 * len(own) - 1).bit_length())
+    size = max(512, 1 << (2 * len(own) - 1).bit_length())
     at = (own & np.uint64(size - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=size) & 1, bitorder="little").tobytes()
 
@@ -105,7 +109,7 @@ def _signatures(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "digest", "parity", "grp", "prefix"])
 
     schema = "doc_id bigint, n bigint, digest binary, parity binary, grp binary, prefix binary"
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def _postings(groups: DataFrame) -> DataFrame:
@@ -170,8 +174,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, bits: int) -> DataFrame:
             if items:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(items, pa.binary())], ["r", "items"])
 
-    number = F.col("doc_id").cast("bigint")
-    rows = docs.where("doc_id IS NOT NULL").select(number.alias("doc_id"), F.xxhash64(number).alias("h"), "text")
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("doc_id").alias("h"), "text")
     return rows.mapInArrow(run, "r bigint, items binary")
 
 
@@ -217,12 +220,8 @@ def _linked(docs: DataFrame, pairs: DataFrame, signed: DataFrame, bits: int) ->
     return links
 
 
-def near_duplicates(docs: DataFrame, bits: int = 23) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document, one row per row of ``docs``.
-
-    component_id is the smallest doc_id reachable by links; a document without
-    links or words is its own component, a null doc_id with an empty set has a null one.
-    """
+def _classes(docs: DataFrame, bits: int) -> DataFrame:
+    """doc_id, n_shingles and the component ``c`` of every row, where a doc_id has one text only (null: any)."""
     spark = docs.sparkSession
     frequent = _frequent(docs, bits)
     whole = stored(_signatures(docs, frequent))
@@ -256,7 +255,7 @@ def near_duplicates(docs: DataFrame, bits: int = 23) -> DataFrame:
     mixed = stored(_mixed(shared, at))
     free_shuffles(spark)
     drop(shared)
-    crossing = stored(_crossing(mixed))
+    crossing = stored(_crossing(mixed, signed))
     free_shuffles(spark)
     drop(mixed)
     found = stored(components(links.union(_linked(docs, crossing, signed, bits))))
@@ -266,7 +265,7 @@ def near_duplicates(docs: DataFrame, bits: int = 23) -> DataFrame:
     )
     rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "digest")
     return rows.join(by_digest, rows["digest"] == F.col("_digest"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", F.coalesce("_c", "doc_id").alias("c")
     )
 
 
@@ -275,36 +274,198 @@ def _mixed(shared: DataFrame, at: DataFrame) -> DataFrame:
     # A group with several sets is a list of its own: their prefixes are the same.
     lists = shared.select(F.col("token"), F.lit(0).alias("kind"), "g", "n", "place").join(at, "g")
     own = at.where("sets > 1").select(
-        F.col("g").alias("token"), F.lit(1).alias("kind"), F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("place"), "r", "c"
+        F.col("g").alias("token"), F.lit(1).alias("kind"), "g", F.lit(1).cast("bigint").alias("n"), F.lit(0).alias("place"), "r", "c"
     )
-    rows = lists.select("token", "kind", "n", "place", "r", "c").union(own)
+    rows = lists.select("token", "kind", "g", "n", "place", "r", "c").union(own)
     counted = rows.groupBy("token", "kind", "c").agg(F.count("*").alias("k"))
     mixed = counted.groupBy("token", "kind").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts"))
     return rows.join(mixed.where("parts > 1").drop("parts"), ["token", "kind"])
 
 
-def _crossing(rows: DataFrame) -> DataFrame:
-    """Pairs (u, v) of sets of different components that share a list and pass the filters.
+def _widths(parity: bytes) -> list[np.ndarray]:
+    """A parity bitmap folded to 512 bits, and to each further power of two up to its size and ``FOLDED``."""
+    whole = np.frombuffer(parity, dtype=np.uint64)
+    while len(whole) * 64 > FOLDED:
+        whole = whole[: len(whole) // 2] ^ whole[len(whole) // 2 :]
+    out = [whole]
+    while len(out[0]) > 8:
+        out.insert(0, out[0][: len(out[0]) // 2] ^ out[0][len(out[0]) // 2 :])
+    return out
+
+
+def _survivors(rows: dict[str, np.ndarray], parities: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block of a list, or of two blocks (``side`` 0 and 1), that may reach the threshold and cross components.
 
-    In a list, the largest component is never paired with itself; every other set is
-    paired with the sets of other components.
+    Rows of a group are equal in size and place, so the length and position filters see groups; only the sets of
+    group pairs that pass are compared by their bitmaps.
     """
-    left, right = rows.where("c <> main").alias("x"), rows.alias("y")
-    crossing = (
-        (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.kind") == F.col("y.kind"))
-        & (F.col("x.c") != F.col("y.c"))
-        & ((F.col("y.c") == F.col("y.main")) | (F.col("x.r") < F.col("y.r")))
-        & _fits(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"))
+    c, main, r, size = (rows[x] for x in ("c", "main", "r", "size"))
+    first, of = np.unique(rows["g"], return_index=True)[1], np.unique(rows["g"], return_inverse=True)[1]
+    n, place = rows["n"][first], rows["place"][first]
+    folded = [_widths(p) for p in parities]
+    levels = np.array([len(f) for f in folded])
+    tables = []
+    for level in range(levels.max()):
+        table = np.zeros((len(r), 8 << level), dtype=np.uint64)
+        for i in np.flatnonzero(levels > level):
+            table[i] = folded[i][level]
+        tables.append(table)
+    two = rows["side"].any()
+    us, vs = [], []
+    outside = np.flatnonzero(c != main)
+    for g in np.unique(of[outside]):
+        low, high = np.minimum(n, n[g]), np.maximum(n, n[g])
+        rest = np.minimum(n - place, n[g] - place[g])
+        near = ((low * 100 >= high * PERCENT) & (rest * (100 + PERCENT) >= (n + n[g]) * PERCENT))[of]
+        for i in outside[of[outside] == g]:
+            # A pair with a set of the main component is met from this side only, others from the lesser set.
+            other = near & (c != c[i]) & ((c == main) | (r > r[i]))
+            if two:
+                other &= rows["side"] != rows["side"][i]
+            at = np.flatnonzero(other)
+            if not len(at):
+                continue
+            differ, level = np.zeros(len(at), dtype=np.int64), np.minimum(levels[at], levels[i]) - 1
+            for k in np.unique(level):
+                own = np.flatnonzero(level == k)
+                differ[own] = np.bitwise_count(tables[k][at[own]] ^ tables[k][i]).sum(axis=1)
+            total = size[at] + size[i]
+            at = at[(total - differ) // 2 * (100 + PERCENT) >= total * PERCENT]
+            us.append(np.minimum(r[at], r[i]))
+            vs.append(np.maximum(r[at], r[i]))
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
+
+
+def _crossing(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets of different components that share a list, of those that pass all filters.
+
+    A list of more than ``BLOCK`` sets is cut into blocks by hash, and each pair of blocks is a unit of work of its
+    own, so a task holds two blocks at most. The pairs of a block pair are looked at in place.
+    """
+    heads = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL").select(F.col("doc_id").alias("r"), F.col("n").alias("size"), "parity")
+    heads = heads.join(rows.select("r").distinct(), "r", "left_semi").distinct()
+
+    def fold(batches):
+        for batch in batches:
+            short = [_widths(p)[-1].tobytes() for p in batch.column("parity").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("r"), batch.column("size"), pa.array(short, pa.binary())], ["r", "size", "parity"])
+
+    heads = heads.mapInArrow(fold, "r bigint, size bigint, parity binary")
+    large = rows.groupBy("token", "kind").count().where(F.col("count") > BLOCK)
+    cut = rows.join(large, ["token", "kind"], "left").withColumn("blocks", F.ceil(F.coalesce("count", F.lit(1)) / F.lit(BLOCK)).cast("int"))
+    own = F.pmod(F.xxhash64("r"), F.col("blocks")).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = cut.withColumn("own", own).select("*", met.alias("with")).drop("count", "blocks").join(heads, "r")
+    dealt = dealt.withColumns({"lo": F.least("own", "with"), "hi": F.greatest("own", "with"), "side": (F.col("own") > F.col("with")).cast("int")})
+    key = ["token", "kind", "lo", "hi"]
+    columns = ["g", "n", "place", "r", "c", "main", "size", "side"]
+    sorted_ = dealt.select(*key, *columns, "parity").repartition(*key).sortWithinPartitions(*key, "r")
+
+    def run(batches):
+        held, last = [], None
+
+        def done():
+            whole = pa.Table.from_batches(held)
+            rows = {x: whole[x].to_numpy().astype(np.int64) for x in columns}
+            u, v = _survivors(rows, whole["parity"].to_pylist())
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in key])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            for a, b in zip(np.append(0, cuts), np.append(cuts, batch.num_rows)):
+                if held and tuple(keys[:, a]) != last:
+                    yield done()
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = tuple(keys[:, a])
+        if held:
+            yield done()
+
+    return sorted_.mapInArrow(run, "u bigint, v bigint").distinct()
+
+
+def _several(docs: DataFrame) -> DataFrame | None:
+    """The doc_ids that have several texts, null among them where it occurs; None if there is none."""
+    seen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"))
+    found = seen.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b OR doc_id IS NULL")
+    found = stored(found.select("doc_id"))
+    return None if found.isEmpty() else found
+
+
+def _tagged(docs: DataFrame, several: DataFrame | None, unit: str) -> DataFrame:
+    """The rows with a number that has one text: the doc_id, or where that is null or has several texts a negative one for each."""
+    number = F.col("doc_id").cast("bigint")
+    if several is None:
+        return docs.withColumn(unit, number)
+    names = [docs[f"`{c}`"] for c in docs.columns]
+    marks = several.select(F.col("doc_id").alias(f"{unit}_id"), F.lit(True).alias(f"{unit}_own"))
+    own = -1 - F.xxhash64(number, F.col("text")).bitwiseAND(F.lit((1 << 63) - 1))
+    marked = docs.join(marks, docs["doc_id"].cast("bigint") == marks[f"{unit}_id"], "left")
+    tag = F.when(docs["doc_id"].isNull() | F.col(f"{unit}_own"), own).otherwise(docs["doc_id"].cast("bigint"))
+    return marked.select(*names, tag.alias(unit))
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    while any(c.lower().startswith(name) for c in docs.columns):
+        name += "_"
+    return name
+
+
+def near_duplicates(docs: DataFrame, bits: int = 23) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document, one row per row of ``docs``.
+
+    component_id is the smallest doc_id reachable by links, through any of a document's texts where it has several; a
+    document without links or words is its own component. Rows without doc_id are documents each for its text; a
+    component of such rows alone has a null component_id.
+    """
+    docs = docs.select("doc_id", "text")
+    several = _several(docs)
+    tagged = _tagged(docs, several, "unit")
+    rows = _classes(tagged.select(F.col("unit").alias("doc_id"), "text"), bits)
+    if several is None:
+        return rows.withColumnRenamed("c", "component_id")
+    rows = stored(rows.select(F.col("doc_id").alias("unit"), "n_shingles", "c"))
+    units = stored(tagged.where("unit < 0").select("unit", F.col("doc_id").cast("bigint").alias("doc_id")).distinct())
+    named = rows.join(units, "unit", "left").select(
+        F.when(F.col("unit") >= 0, F.col("unit")).otherwise(F.col("doc_id")).alias("doc_id"), "n_shingles", "unit", "c"
+    )
+    # The texts of a document are one node, which may join their components.
+    tied = components(named.where("unit < 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("u"), F.col("c").alias("v")))
+    at = named.join(tied.withColumnRenamed("node", "c"), "c", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "c").alias("c")
     )
-    pairs = left.join(right, crossing)
-    return pairs.select(F.least("x.r", "y.r").alias("u"), F.greatest("x.r", "y.r").alias("v")).distinct()
+    least = at.groupBy("c").agg(F.min("doc_id").alias("component_id"))
+    return at.join(least, "c").select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id is that of their component; all columns stay as they are.
+    """One row of each component of equal or similar texts, that of the smallest doc_id; all columns stay as they are.
 
-    Rows of a repeated doc_id stay or go together; null ids stay.
+    A doc_id with several texts is one document for each of them here, and so is a row without doc_id, so no text goes
+    without a similar one that stays. Of rows with the same doc_id and text one stays. Texts without words all stay.
     """
-    gone = stored(near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    unit, names = _unused(docs, "unit"), docs.columns
+    several = _several(docs)
+    tagged = _tagged(docs, several, unit)
+    rows = _classes(tagged.select(F.col(unit).alias("doc_id"), "text"), 23)
+    rows = stored(rows.select(F.col("doc_id").alias(unit), "n_shingles", "c"))
+    gone = rows.where(F.col(unit) != F.col("c")).select(unit)
+    if several is not None:
+        # A number of its own says nothing of the doc_id's place.
+        units = tagged.where(F.col(unit) < 0).select(unit, F.col("doc_id").cast("bigint").alias("_id")).distinct()
+        named = rows.join(stored(units), unit, "left").withColumn("_id", F.when(F.col(unit) >= 0, F.col(unit)).otherwise(F.col("_id")))
+        first = F.min(F.struct(F.col("_id").isNull(), "_id", unit)).alias("first")
+        kept = named.groupBy("c").agg(first).select(F.col(f"first.{unit}").alias(unit))
+        gone = rows.select(unit).join(kept, unit, "left_anti")
+    stay = tagged.join(stored(gone.distinct()), unit, "left_anti")
+    repeated = stored(rows.where("n_shingles > 0").groupBy(unit).count().where("count > 1").select(unit))
+    if not repeated.isEmpty():
+        order = Window.partitionBy(unit).orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])))
+        again = stay.join(repeated, unit, "left_semi").withColumn(f"{unit}_place", F.row_number().over(order))
+        once = again.where(F.col(f"{unit}_place") == 1).drop(f"{unit}_place")
+        stay = stay.join(repeated, unit, "left_anti").unionByName(once)
+    return stay.select(*[F.col(f"`{c}`") for c in names])
