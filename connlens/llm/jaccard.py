@@ -41,7 +41,8 @@ from .words import NOT_BLANK, shingles, slices, words_of
 SIZE = 5
 PERCENT = 80  # 100 * intersection >= PERCENT * union
 BLOCK = 4096  # sets of a list that meet as many others in a task
-FOLDED = 2048  # bits of a parity bitmap there
+FOLDED = 1024  # bits of a parity bitmap there
+PAIRS = 1 << 17  # compared at once
 FREQUENT = 64  # a shingle in the prefixes of more documents goes to the end of the order
 
 
@@ -80,7 +81,7 @@ def _parity(own: np.ndarray) -> bytes:
     Two sets differ in at least as many shingles as their bitmaps differ in bits. A
     bitmap is folded to half its size by XOR of its halves.
     """
-    size = max(512, 1 << (2 * len(own) - 1).bit_length())
+    size = max(FOLDED, 1 << (2 * len(own) - 1).bit_length())
     at = (own & np.uint64(size - 1)).astype(np.int64)
     return np.packbits(np.bincount(at, minlength=size) & 1, bitorder="little").tobytes()
 
@@ -282,59 +283,72 @@ def _mixed(shared: DataFrame, at: DataFrame) -> DataFrame:
     return rows.join(mixed.where("parts > 1").drop("parts"), ["token", "kind"])
 
 
-def _widths(parity: bytes) -> list[np.ndarray]:
-    """A parity bitmap folded to 512 bits, and to each further power of two up to its size and ``FOLDED``."""
+def _folded(parity: bytes) -> bytes:
+    """A parity bitmap folded to ``FOLDED`` bits."""
     whole = np.frombuffer(parity, dtype=np.uint64)
     while len(whole) * 64 > FOLDED:
         whole = whole[: len(whole) // 2] ^ whole[len(whole) // 2 :]
-    out = [whole]
-    while len(out[0]) > 8:
-        out.insert(0, out[0][: len(out[0]) // 2] ^ out[0][len(out[0]) // 2 :])
-    return out
+    return whole.tobytes()
 
 
-def _survivors(rows: dict[str, np.ndarray], parities: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block of a list, or of two blocks (``side`` 0 and 1), that may reach the threshold and cross components.
+def _runs(lengths: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i the numbers begins[i], begins[i] + 1 and so on, ``lengths[i]`` of them, with the i they belong to."""
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + begins[of]
 
-    Rows of a group are equal in size and place, so the length and position filters see groups; only the sets of
-    group pairs that pass are compared by their bitmaps.
+
+def _pieces(weights: np.ndarray):
+    """Slices of a list whose weights add up to about ``PAIRS`` each."""
+    total = np.cumsum(weights)
+    cuts = np.searchsorted(total, np.arange(PAIRS, (total[-1] if len(total) else 0) + PAIRS, PAIRS))
+    edges = np.unique(np.concatenate([[0], cuts + 1, [len(weights)]]).clip(0, len(weights)))
+    yield from zip(edges[:-1], edges[1:])
+
+
+def _survivors(key: np.ndarray, rows: dict[str, np.ndarray], parity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets of one key (a list, or two blocks of one) that may reach the threshold and cross components.
+
+    Sets of a group are equal in size and place: the length and position filters see pairs of groups, and only those that
+    pass are expanded to sets and compared by their bitmaps. Groups within the key's main component are met from outside only.
     """
-    c, main, r, size = (rows[x] for x in ("c", "main", "r", "size"))
-    first, of = np.unique(rows["g"], return_index=True)[1], np.unique(rows["g"], return_inverse=True)[1]
-    n, place = rows["n"][first], rows["place"][first]
-    folded = [_widths(p) for p in parities]
-    levels = np.array([len(f) for f in folded])
-    tables = []
-    for level in range(levels.max()):
-        table = np.zeros((len(r), 8 << level), dtype=np.uint64)
-        for i in np.flatnonzero(levels > level):
-            table[i] = folded[i][level]
-        tables.append(table)
-    two = rows["side"].any()
-    us, vs = [], []
-    outside = np.flatnonzero(c != main)
-    for g in np.unique(of[outside]):
-        low, high = np.minimum(n, n[g]), np.maximum(n, n[g])
-        rest = np.minimum(n - place, n[g] - place[g])
-        near = ((low * 100 >= high * PERCENT) & (rest * (100 + PERCENT) >= (n + n[g]) * PERCENT))[of]
-        for i in outside[of[outside] == g]:
-            # A pair with a set of the main component is met from this side only, others from the lesser set.
-            other = near & (c != c[i]) & ((c == main) | (r > r[i]))
-            if two:
-                other &= rows["side"] != rows["side"][i]
-            at = np.flatnonzero(other)
-            if not len(at):
-                continue
-            differ, level = np.zeros(len(at), dtype=np.int64), np.minimum(levels[at], levels[i]) - 1
-            for k in np.unique(level):
-                own = np.flatnonzero(level == k)
-                differ[own] = np.bitwise_count(tables[k][at[own]] ^ tables[k][i]).sum(axis=1)
-            total = size[at] + size[i]
-            at = at[(total - differ) // 2 * (100 + PERCENT) >= total * PERCENT]
-            us.append(np.minimum(r[at], r[i]))
-            vs.append(np.maximum(r[at], r[i]))
-    none = np.zeros(0, dtype=np.int64)
-    return (np.concatenate(us), np.concatenate(vs)) if us else (none, none)
+    order = np.lexsort((rows["g"], key))
+    key, parity, rows = key[order], parity[order], {x: v[order] for x, v in rows.items()}
+    c, r, size = rows["c"], rows["r"], rows["size"]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (rows["g"][1:] != rows["g"][:-1])])) if len(key) else np.zeros(0, dtype=np.int64)
+    count = np.diff(np.append(new, len(key)))
+    outside = np.add.reduceat((c != rows["main"]).astype(np.int64), new) > 0 if len(new) else np.zeros(0, dtype=bool)
+    # In a key, groups with sets outside the main component come first; each meets itself and those after it.
+    by = np.lexsort((~outside, key[new]))
+    begin, count, outside, own = new[by], count[by], outside[by], key[new][by]
+    n, place = rows["n"][begin], rows["place"][begin]
+    end = np.searchsorted(own, own, side="right")
+    live = np.flatnonzero(outside)
+    us, vs = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for low, high in _pieces(end[live] - live):
+        a = live[low:high]
+        of, second = _runs(end[a] - a, a)
+        first = a[of]
+        small, large = np.minimum(n[first], n[second]), np.maximum(n[first], n[second])
+        rest = np.minimum(n[first] - place[first], n[second] - place[second])
+        near = (small * 100 >= large * PERCENT) & (rest * (100 + PERCENT) >= (n[first] + n[second]) * PERCENT)
+        near &= (first != second) | (count[first] > 1)
+        first, second = first[near], second[near]
+        # A set of the first group with all sets of the second is the unit from here on.
+        of, left = _runs(count[first], begin[first])
+        second = second[of]
+        for start, stop in _pieces(count[second]):
+            some = second[start:stop]
+            of, y = _runs(count[some], begin[some])
+            x = left[start:stop][of]
+            fits = np.flatnonzero((c[x] != c[y]) & ((rows["whole"][x] == 1) | (rows["side"][x] != rows["side"][y])))
+            x, y = x[fits], y[fits]
+            differ = np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64)
+            total = size[x] + size[y]
+            fits = (total - differ) // 2 * (100 + PERCENT) >= total * PERCENT
+            us.append(np.minimum(r[x], r[y])[fits])
+            vs.append(np.maximum(r[x], r[y])[fits])
+    pairs = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
+    return pairs[0], pairs[1]
 
 
 def _crossing(rows: DataFrame, signed: DataFrame) -> DataFrame:
@@ -348,7 +362,7 @@ def _crossing(rows: DataFrame, signed: DataFrame) -> DataFrame:
 
     def fold(batches):
         for batch in batches:
-            short = [_widths(p)[-1].tobytes() for p in batch.column("parity").to_pylist()]
+            short = [_folded(p) for p in batch.column("parity").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("r"), batch.column("size"), pa.array(short, pa.binary())], ["r", "size", "parity"])
 
     heads = heads.mapInArrow(fold, "r bigint, size bigint, parity binary")
@@ -359,31 +373,29 @@ def _crossing(rows: DataFrame, signed: DataFrame) -> DataFrame:
     dealt = cut.withColumn("own", own).select("*", met.alias("with")).drop("count", "blocks").join(heads, "r")
     dealt = dealt.withColumns({"lo": F.least("own", "with"), "hi": F.greatest("own", "with"), "side": (F.col("own") > F.col("with")).cast("int")})
     key = ["token", "kind", "lo", "hi"]
-    columns = ["g", "n", "place", "r", "c", "main", "size", "side"]
-    sorted_ = dealt.select(*key, *columns, "parity").repartition(*key).sortWithinPartitions(*key, "r")
+    dealt = dealt.withColumn("whole", (F.col("lo") == F.col("hi")).cast("int"))
+    columns = ["g", "n", "place", "r", "c", "main", "size", "side", "whole"]
+    sorted_ = dealt.select(*key, *columns, "parity").repartition(*key).sortWithinPartitions(*key)
 
     def run(batches):
-        held, last = [], None
-
-        def done():
-            whole = pa.Table.from_batches(held)
-            rows = {x: whole[x].to_numpy().astype(np.int64) for x in columns}
-            u, v = _survivors(rows, whole["parity"].to_pylist())
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
+        held = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in key])
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = np.stack([held[x].to_numpy().astype(np.int64) for x in key])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            for a, b in zip(np.append(0, cuts), np.append(cuts, batch.num_rows)):
-                if held and tuple(keys[:, a]) != last:
-                    yield done()
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = tuple(keys[:, a])
-        if held:
-            yield done()
+            if len(cuts):
+                # The last key may go on in the next batch.
+                yield pairs_of(held.slice(0, cuts[-1]), keys[:, : cuts[-1]], cuts[:-1])
+                held = held.slice(cuts[-1])
+        if held is not None and held.num_rows:
+            yield pairs_of(held, np.zeros((1, held.num_rows)), np.zeros(0, dtype=np.int64))
+
+    def pairs_of(rows, keys, cuts):
+        number = np.zeros(keys.shape[1], dtype=np.int64)
+        number[cuts] = 1
+        parity = np.frombuffer(b"".join(rows["parity"].to_pylist()), dtype=np.uint64).reshape(rows.num_rows, -1)
+        u, v = _survivors(np.cumsum(number), {x: rows[x].to_numpy().astype(np.int64) for x in columns}, parity)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return sorted_.mapInArrow(run, "u bigint, v bigint").distinct()
 

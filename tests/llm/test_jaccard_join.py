@@ -74,7 +74,7 @@ def test_many_near_copies_just_under_the_threshold(spark, monkeypatch, block):
     assert found(spark, rows) == expected
 
 
-def test_few_pairs_leave_a_hot_list():
+def test_few_pairs_leave_a_hot_list(monkeypatch):
     """Pairs of a list are ruled out in place, by bitmaps of any width."""
     rng = np.random.default_rng(1)
     sets = []
@@ -84,13 +84,25 @@ def test_few_pairs_leave_a_hot_list():
         sets.append(np.concatenate([shared, rng.integers(1 << 20, 1 << 62, n - 40).astype(np.uint64)]))
     sets.append(np.concatenate([sets[0][:-2], [np.uint64(7 << 50)]]))
     sets.append(np.concatenate([sets[1][:-2], [np.uint64(9 << 50)]]))
-    sizes = np.array([len(s) for s in sets])
+    sizes, number = np.array([len(s) for s in sets]), np.arange(len(sets))
+    parity = np.stack([np.frombuffer(jaccard._folded(jaccard._parity(s)), dtype=np.uint64) for s in sets])
     rows = {x: np.zeros(len(sets), dtype=np.int64) for x in ("place", "main", "side")}
-    rows |= {"g": np.arange(len(sets)), "r": np.arange(len(sets)), "c": np.arange(len(sets)) + 1, "n": sizes, "size": sizes}
-    u, v = jaccard._survivors(rows, [jaccard._parity(s) for s in sets])
-    assert {(0, 200), (1, 201)} <= set(zip(u.tolist(), v.tolist())) and len(u) < 20
-    # Within one component there is nothing to do; of the main one, sets meet the others only.
-    assert not len(jaccard._survivors(rows | {"c": rows["main"]}, [jaccard._parity(s) for s in sets])[0])
+    rows |= {"g": number, "r": number, "c": number + 1, "n": sizes, "size": sizes, "whole": rows["main"] + 1}
+    for pairs in (1 << 17, 50):
+        monkeypatch.setattr(jaccard, "PAIRS", pairs)
+        u, v = jaccard._survivors(rows["main"], rows, parity)
+        assert {(0, 200), (1, 201)} <= set(zip(u.tolist(), v.tolist())) and len(u) < 20
+        # Within one component there is nothing to do, nor between keys, nor within one of two blocks.
+        assert not len(jaccard._survivors(rows["main"], rows | {"c": rows["main"]}, parity)[0])
+        assert not len(jaccard._survivors(number, rows, parity)[0])
+        assert not len(jaccard._survivors(rows["main"], rows | {"whole": rows["main"]}, parity)[0])
+        apart = jaccard._survivors(rows["main"], rows | {"whole": rows["main"], "side": number // 200}, parity)
+        assert (0, 200) in set(zip(*(x.tolist() for x in apart)))
+        # Sets of one group are compared as well, sets of the main component among themselves are not.
+        together = jaccard._survivors(rows["main"], rows | {"g": rows["main"], "n": rows["whole"]}, parity)
+        assert (0, 200) in set(zip(*(x.tolist() for x in together)))
+        main = rows | {"c": np.where(number % 200 == 0, 0, number)}
+        assert set(zip(*(x.tolist() for x in jaccard._survivors(rows["main"], main, parity)))) & {(0, 200), (1, 201)} == {(1, 201)}
 
 
 def test_a_doc_id_with_several_texts(spark):
