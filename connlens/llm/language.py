@@ -4,7 +4,7 @@ Each language has a codeword of bits. One binary classifier per bit, logistic
 regression over hashed byte n-grams, says which value the bit has; a text gets the language
 whose codeword costs least, where a bit counts by how well its classifier does
 (loss-weighted decoding). A text whose two best languages cost nearly the same
-is flagged as ambiguous.
+is flagged as ambiguous; of equally near ones the first by name is taken.
 
 Null, and text without any letter, is ``und`` with score 0. Any other text gets
 a learned language, however short. Extra columns are ignored; a repeated row
@@ -25,9 +25,11 @@ from pyspark.sql.window import Window
 from .words import LOWER, mix, slices
 
 BUCKETS = 1 << 12
+ROWS = 256  # texts with a row of features at a time
 TRAIN_ROWS = 6000  # bound of the labelled sample, over all languages
 LEAST_ROWS = 20  # of each language, if it has them
 AMBIGUOUS = 0.1  # flagged below this lead of the best over the second, in probability
+CERTAIN = 200  # characters from which a text should have one language
 UND = "und"
 
 _SEEDS = mix(np.arange(3, dtype=np.uint64) + np.uint64(11)) | np.uint64(1)
@@ -42,7 +44,7 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     letter = np.zeros(256, dtype=bool)
     letter[0x61:0x7B] = True
     letter[0x80:] = True
-    for at, data, bounds in slices(texts, 1 << 20):
+    for at, data, bounds in _few(texts):
         data = np.where(letter[LOWER[data]], LOWER[data], np.uint8(32)).astype(np.uint32)
         n, rows = len(data), len(bounds) - 1
         out = np.zeros((rows, BUCKETS), dtype=np.float32)
@@ -69,6 +71,14 @@ def features(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         yield at, out
 
 
+def _few(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Slices of at most ``ROWS`` texts, so that short texts take no more room than long ones."""
+    for at, data, bounds in slices(texts, 1 << 20):
+        for low in range(0, len(bounds) - 1, ROWS):
+            own = bounds[low : low + ROWS + 1]
+            yield at + low, data[own[0] : own[-1]], own - own[0]
+
+
 def _blank_buckets() -> list[np.ndarray]:
     """The buckets of one, two and three blanks."""
     value, found = np.zeros(1, dtype=np.uint32), []
@@ -185,17 +195,20 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
 SCHEMA = "lang_pred string, score double, ambiguous boolean"
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns of every row, and its language, score and flag. The text is read whole."""
-    kept = docs.select(*keep, F.col("text").alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+def predict(docs: DataFrame, model: Model | None, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns of every row, and its language, score and flag. The text is read whole, and sent once.
+
+    Rows come back a few at a time, so a batch of large rows is not held twice.
+    """
+    sent = [*keep, *([] if text in keep else [text])]
+    kept = docs.select(*sent, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
     types = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", " + SCHEMA
 
     def run(batches):
         for batch in batches:
             letter = np.asarray(batch.column("_letter").to_numpy(zero_copy_only=False), dtype=bool)
-            names, scores, flags = [], [], []
-            for at, x in features(batch.column("_text")):
+            for at, x in features(batch.column(text)):
                 ok = letter[at : at + len(x)]
                 if model is None:
                     best, score, lead = None, np.zeros(len(x)), np.ones(len(x))
@@ -204,12 +217,9 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                     order = np.sort(p, axis=1)
                     best, score = p.argmax(axis=1), order[:, -1]
                     lead = score - (order[:, -2] if p.shape[1] > 1 else 0)
-                names += [UND if best is None or not ok[i] else model.languages[best[i]] for i in range(len(x))]
-                scores.append(np.where(ok, score, 0.0))
-                flags.append(ok & (lead < AMBIGUOUS))
-            if names:
-                arrays = [batch.column(c) for c in keep]
-                arrays += [pa.array(names, pa.string()), pa.array(np.concatenate(scores).astype(np.float64)), pa.array(np.concatenate(flags))]
+                names = [UND if best is None or not ok[i] else model.languages[best[i]] for i in range(len(x))]
+                arrays = [batch.column(c).slice(at, len(x)) for c in keep]
+                arrays += [pa.array(names, pa.string()), pa.array(np.where(ok, score, 0.0).astype(np.float64)), pa.array(ok & (lead < AMBIGUOUS))]
                 yield pa.RecordBatch.from_arrays(arrays, [*keep, "lang_pred", "score", "ambiguous"])
 
     return kept.mapInArrow(run, schema)
@@ -229,10 +239,20 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def known_only(docs: DataFrame) -> DataFrame:
-    """Documents in a known language: only ``und`` goes. All columns stay as they are.
+    """Documents in a known language, all columns as they are, whatever their names.
 
-    An ambiguous text has letters and a nearest language, so it is kept.
+    Texts without a letter go, and those that the classifiers cannot tell: ambiguous ones of two languages at once, of
+    ``CERTAIN`` characters or more. Shorter ones stay, as little text is no sign of a bad one. Without any label there
+    is nothing to tell by, and all texts with a letter stay.
     """
     model = train(docs)
     names = docs.columns
-    return predict(docs, model, names).where(F.col("lang_pred") != UND).select(*[F.col(f"`{c}`") for c in names])
+    plain = [f"k{i}" for i in range(len(names))]
+    text = plain[names.index("text")]
+    renamed = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, plain)])
+    if model is None:
+        found = renamed.where(F.col(text).rlike(r"\p{L}"))
+    else:
+        doubtful = F.col("ambiguous") & (F.length(text) >= CERTAIN)
+        found = predict(renamed, model, plain, text).where((F.col("lang_pred") != UND) & ~doubtful)
+    return found.select(*[F.col(k).alias(c) for c, k in zip(names, plain)])

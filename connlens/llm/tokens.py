@@ -93,12 +93,20 @@ class Encoder:
                 self.letters[c] = seen[0][0]
             return "".join(map(self.letters.__getitem__, word))
 
+    def _ends_plainly(self, core: bytes) -> bool:
+        """Whether the last character is an ASCII letter, or a letter that the normalizer leaves as it is."""
+        if core[-1] < 128:
+            return core[-1:].isalpha()
+        last = core.decode()[-1]
+        return last.isalpha() and self.tokenizer.normalizer.normalize_str(last) == last
+
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """ids of words that are not in the cache."""
         out, rest = {}, []
         for word in words:
             core, tail = (word[:-1], word[-1:]) if word[-1] in b".," and len(word) > 1 else (word, b"")
-            ids = self.cache.get(core) if tail and self.plain else None
+            # What the normalizer makes of the last letter must be a letter, or the mark would join it.
+            ids = self.cache.get(core) if tail and self.plain and self._ends_plainly(core) else None
             if ids is None and self.plain:
                 if core.isalpha() and core.islower():
                     ids = self._pack(self._model(core.decode()))
@@ -106,8 +114,6 @@ class Encoder:
                     text = core.decode()
                     plain = text.isalpha() and unicodedata.is_normalized("NFC", text) and self._letters(text)
                     ids = self._pack(self._model(plain)) if plain else None
-            elif ids is not None and not core.decode()[-1].isalpha():
-                ids = None
             if ids is None:
                 rest.append(word)
             else:
