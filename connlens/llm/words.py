@@ -7,6 +7,7 @@ slices of about ``SLICE_BYTES``, and a longer text is a slice of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+# Of more bytes than these a word's hash is a cryptographic one: regular long words would collide in the sum.
+LONG_WORD = 64
 
 # The white space of the contracts: blank and 0x09 to 0x0D.
 _BLANK = np.zeros(256, dtype=bool)
@@ -92,6 +95,8 @@ def words_of(data: np.ndarray, bounds: np.ndarray, member: np.ndarray, lower: bo
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     hashed = mix((total[end] - total[start]) * down[start])
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        hashed[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     first = np.searchsorted(start, bounds).astype(np.int64)
     doc = np.repeat(np.arange(texts), np.diff(first))
     return Words(texts, doc, hashed, first)
