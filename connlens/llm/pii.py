@@ -1,16 +1,24 @@
 """Personal data: fixed kinds by pattern, and more identifiers by bootstrapped contexts.
 
-E-mail addresses, IP addresses, card and phone numbers are found by their patterns. They are
-the seeds. What stands around a seed, two words before it, or one on each side, is a lexical pattern.
-Words with a digit, with their patterns, make a graph; it is scored in rounds by Spark
-aggregations: a pattern is worth the mean score of the identifiers it occurs with, and
-an identifier that is no seed what the trusted patterns around it are worth together. A
-pattern is trusted with a mean of ``TRUST`` and ``SUPPORT`` different good identifiers at least. Identifiers
-that reach ``TRUST`` become spans of kind ``context`` wherever they stand by a trusted pattern.
-
-DataFrame operations only. A null text is empty and has no spans. Positions are code
-points, ends exclusive. Extra columns are ignored; repeated rows have equal results. Matching
-takes time in proportion to the text: no pattern is tried again inside a run of its characters.
+E-mail addresses, IP addresses, card and phone numbers are found by their patterns. Every one is
+a seed. What stands around it, the two words before it, or one on each side, is a lexical pattern.
+Patterns and the words they stand by, of whatever characters, make a graph, scored in rounds:
+
+- a pattern that stands by ``SUPPORT`` different known identifiers or more is worth the share of
+  known ones among all the different words and seeds it stands by; it is trusted from ``TRUST`` on;
+- a word beside a trusted pattern is worth the mean, over all its different contexts in the
+  corpus, of the greater worth of their two patterns. So an ordinary word is held down by
+  its other uses. From ``BELIEF`` on it is known.
+
+Rounds go on until none adds an identifier; what is known stays known, so they end. Found words
+become spans of kind ``context`` wherever they stand by a trusted pattern. Edges of the
+graph are gathered only for patterns with support and words beside trusted ones.
+
+DataFrame operations only. A null text is empty and has no spans; an empty table gives no rows. Positions
+are code points, ends exclusive. Extra columns are ignored; repeated rows have equal results. There are
+no ties: all limits are inclusive. Words are lower-cased and without marks at their ends; a fixed span of more than
+``BEYOND`` words has no pattern on both sides. Matching takes time in proportion to the text: no pattern
+is tried again inside a run of its characters. Words are compared with fixed spans ``BLOCK`` at a time.
 """
 
 from __future__ import annotations
@@ -34,17 +42,16 @@ PATTERNS = {
 # What a text must have for a pattern to be tried at all.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
-# A word with a digit.
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9]*+[0-9])[^\x20\x09-\x0D]++"
-LEAST_CHARS = 6  # of an identifier found by context
-AROUND = 80  # characters beside a candidate in which its words are looked for
+WORD = r"[^\x20\x09-\x0D]++"
 TRUST = 0.8
+BELIEF = 0.4  # about half of a word's contexts are trusted ones
 SUPPORT = 5
-ROUNDS = 3
-MANY = 2**31 - 1  # as far as an array goes
-BLOCK = 128  # matches of a text that are added up together
+EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+LEAD = r"^[^\p{L}\p{N}]+"
+BEYOND = 64  # words after a block in which the word after a span is looked for
+BLOCK = 128  # matches of a text that are worked on together
 
-SPANS = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
 def _quoted(pattern: str) -> str:
@@ -52,7 +59,7 @@ def _quoted(pattern: str) -> str:
 
 
 def located(text: str, pattern: str) -> Column:
-    """start, end and value of every match in order, with up to AROUND characters of text on either side.
+    """start, end and value of every match in order.
 
     The matches and the text between them are added up in blocks, then within each block from where
     it begins, so that a text with many matches takes time in proportion to them.
@@ -60,8 +67,8 @@ def located(text: str, pattern: str) -> Column:
     p = _quoted(pattern)
     pieces = f"""filter(zip_with(
         regexp_extract_all({text}, {p}, 0),
-        zip_with(split({text}, {p}, -1), slice(split({text}, {p}, -1), 2, {MANY}), (g, h) -> named_struct('g', g, 'h', h)),
-        (m, x) -> named_struct('m', m, 'g', x.g, 'h', x.h)), x -> x.m IS NOT NULL)"""
+        split({text}, {p}, -1),
+        (m, g) -> named_struct('m', m, 'g', g)), x -> x.m IS NOT NULL)"""
     blocks = f"transform(sequence(0, size(p) div {BLOCK}), k -> slice(p, k * {BLOCK} + 1, {BLOCK}))"
     width = "aggregate(b, 0, (n, x) -> n + length(x.g) + length(x.m))"
     begins = f"""aggregate(bs, named_struct('at', 0, 'out', CAST(array() AS array<int>)),
@@ -69,8 +76,7 @@ def located(text: str, pattern: str) -> Column:
     spans = f"""aggregate(b, named_struct('at', o, 'out', CAST(array() AS {SPANS})),
         (s, x) -> named_struct(
           'at', s.at + length(x.g) + length(x.m),
-          'out', concat(s.out, array(named_struct('start', s.at + length(x.g), 'end', s.at + length(x.g) + length(x.m), 'value', x.m,
-            'before', right(x.g, {AROUND}), 'after', left(x.h, {AROUND}))))),
+          'out', concat(s.out, array(named_struct('start', s.at + length(x.g), 'end', s.at + length(x.g) + length(x.m), 'value', x.m)))),
         s -> s.out)"""
     # transform(array(x), name -> ...)[0] gives a value a name.
     inner = f"transform(array({blocks}), bs -> flatten(zip_with(bs, {begins}, (b, o) -> {spans})))[0]"
@@ -106,7 +112,7 @@ def _checked(kind: str):
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, mark (hash of the text), an array of spans for each kind, and the candidates."""
+    """Per row: doc_id, mark (hash of the text), text and an array of spans for each kind."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("mark"))
     none = F.array().cast(SPANS)
     found = {}
@@ -114,64 +120,86 @@ def scanned(docs: DataFrame) -> DataFrame:
         spans = F.filter(located("text", PATTERNS[kind]), _checked(kind))
         able = F.contains("text", F.lit(NEEDS[kind])) if NEEDS[kind] else F.lit(True)
         found[kind] = F.when(able & F.col("text").rlike(PATTERNS[kind]), spans).otherwise(none)
-    found["words"] = F.when(F.col("text").rlike("[0-9]"), located("text", CANDIDATE)).otherwise(none)
-    return rows.select("doc_id", "mark", *[column.alias(name) for name, column in found.items()])
+    return rows.select("doc_id", "mark", "text", *[column.alias(name) for name, column in found.items()])
 
 
-def _words_beside(side: str, at_end: bool) -> Column:
-    """Lower-cased words of a piece of text, nearest the candidate."""
-    words = F.filter(F.split(F.lower(F.col(side)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2) if at_end else F.slice(words, 1, 1)
+def standing(found: DataFrame) -> DataFrame:
+    """doc_id, mark, start, end, instance, seed, two and sides of every fixed span and every word outside of them.
 
-
-def candidates(found: DataFrame) -> DataFrame:
-    """doc_id, mark, start, end, instance, seed and patterns of every word with a digit that may be an identifier.
-
-    A seed is the word in which a span of a fixed kind begins; other words in a span are none.
+    ``two`` is the pattern of the two words before, ``sides`` that of a word on each side, null where the text ends.
     """
-    spans = F.concat(*KINDS)
-    each = found.where(F.size("words") > 0).select("doc_id", "mark", spans.alias("spans"), F.explode("words").alias("w"))
-    each = each.select("doc_id", "mark", "spans", "w.start", "w.end", "w.value", "w.before", "w.after")
-    over = F.filter("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    begins = F.filter("_over", lambda s: s["start"] >= F.col("start"))
-    lead = F.length("value") - F.length(F.regexp_replace("value", "^[^A-Za-z0-9]+", ""))
-    core = F.regexp_replace("value", "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
-    each = each.withColumn("_over", over).withColumn("_begins", begins).withColumn("_core", core).withColumn("_lead", lead)
-    each = each.where((F.size("_over") == 0) & (F.length("_core") >= LEAST_CHARS) | (F.size("_begins") > 0))
-    left, right = _words_beside("before", True), _words_beside("after", False)
-    both = F.when(F.size(left) == 2, F.concat(F.lit("2 "), F.array_join(left, " ")))
-    sides = F.when((F.size(left) > 0) & (F.size(right) > 0), F.concat(F.lit("1 "), F.element_at(left, -1), F.lit(" _ "), F.element_at(right, 1)))
-    seed = F.size("_begins") > 0
+    rows = found.select("doc_id", "mark", F.array_sort(F.concat(*KINDS)).alias("spans"), located("text", WORD).alias("words"))
+    blocks = f"""transform(sequence(0, (size(words) - 1) div {BLOCK}), k -> named_struct(
+        'skip', if(k = 0, 0, 2), 'near', slice(words, greatest(k * {BLOCK} - 1, 1), {BLOCK + BEYOND} + if(k = 0, 0, 2))))"""
+    rows = rows.where("size(words) > 0").select("doc_id", "mark", "spans", F.explode(F.expr(blocks)).alias("b"))
+    rows = rows.select("doc_id", "mark", "b.near", "b.skip", F.expr(f"slice(b.near, b.skip + 1, {BLOCK})").alias("own"), "spans")
+    rows = rows.withColumn("spans", F.expr("filter(spans, s -> s.start < element_at(own, -1).end AND s.end > own[0].start)"))
+    seeds = """transform(
+        transform(filter(spans, s -> s.start >= own[0].start), s -> named_struct('s', s, 'i', size(filter(near, w -> w.start <= s.start)))),
+        x -> named_struct('start', x.s.start, 'end', x.s.end, 'value', x.s.value, 'seed', true,
+          'b2', get(near, x.i - 3).value, 'b1', get(near, x.i - 2).value, 'a1', get(filter(near, w -> w.start >= x.s.end), 0).value))"""
+    plain = """transform(
+        filter(transform(own, (w, i) -> named_struct('w', w, 'i', i + skip)), x -> NOT exists(spans, s -> s.start < x.w.end AND s.end > x.w.start)),
+        x -> named_struct('start', x.w.start, 'end', x.w.end, 'value', x.w.value, 'seed', false,
+          'b2', get(near, x.i - 2).value, 'b1', get(near, x.i - 1).value, 'a1', get(near, x.i + 1).value))"""
+    each = rows.select("doc_id", "mark", F.expr(f"inline(concat({seeds}, {plain}))"))
+    core = F.when(F.col("seed"), F.col("value")).otherwise(F.regexp_replace("value", EDGES, ""))
+    lead = F.when(F.col("seed"), 0).otherwise(F.length("value") - F.length(F.regexp_replace("value", LEAD, "")))
+    each = each.withColumn("_core", core).where("_core <> ''").withColumn("start", F.col("start") + lead)
+    two = F.when(F.col("b2").isNotNull(), F.concat(F.lit("2 "), F.lower("b2"), F.lit(" "), F.lower("b1")))
+    sides = F.when(F.col("b1").isNotNull() & F.col("a1").isNotNull(), F.concat(F.lit("1 "), F.lower("b1"), F.lit(" _ "), F.lower("a1")))
     return each.select(
-        "doc_id",
-        "mark",
-        (F.col("start") + F.col("_lead")).alias("start"),
-        (F.col("start") + F.col("_lead") + F.length("_core")).alias("end"),
-        F.lower(F.when(seed, F.try_element_at("_begins", F.lit(1))["value"]).otherwise(F.col("_core"))).alias("instance"),
-        seed.alias("seed"),
-        F.array_compact(F.array(both, sides)).alias("patterns"),
-    )
-
-
-def bootstrapped(found: DataFrame) -> DataFrame:
-    """doc_id, mark, start and end of the identifiers that the contexts discover."""
-    words = stored(candidates(found))
-    edges = words.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
-    # A pattern that never stands by a seed, or by a few only, cannot be trusted in the first round.
-    edges = stored(edges)
-    scores = edges.groupBy("instance").agg(F.when(F.max("seed"), 1.0).otherwise(0.0).alias("score"))
-    trusted = None
-    for _ in range(ROUNDS):
-        scored = edges.join(scores, "instance")
-        good = F.when(F.col("score") >= TRUST, 1).otherwise(0)
-        patterns = scored.groupBy("pattern").agg(F.avg("score").alias("worth"), F.sum(good).alias("support"))
-        trusted = stored(patterns.where((F.col("worth") >= TRUST) & (F.col("support") >= SUPPORT)).select("pattern", "worth"))
-        doubt = F.sum(F.log(F.greatest(1 - F.coalesce("worth", F.lit(0.0)), F.lit(1e-6))))
-        reached = edges.join(trusted, "pattern", "left").groupBy("instance").agg(F.max("seed").alias("seed"), (1 - F.exp(doubt)).alias("score"))
-        scores = stored(reached.select("instance", F.when(F.col("seed"), 1.0).otherwise(F.col("score")).alias("score")))
-    good = scores.where(F.col("score") >= TRUST).select("instance")
-    rows = words.where("NOT seed").join(good, "instance").select("doc_id", "mark", "start", "end", F.explode("patterns").alias("pattern"))
-    return rows.join(trusted.select("pattern"), "pattern", "left_semi").select("doc_id", "mark", "start", "end").distinct()
+        "doc_id", "mark", "start", (F.col("start") + F.length("_core")).alias("end"), F.lower("_core").alias("instance"), "seed",
+        two.alias("two"), sides.alias("sides"),
+    )
+
+
+def _edges(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows once for each of their patterns."""
+    each = rows.select(*columns, F.explode(F.array("two", "sides")).alias("pattern"))
+    return each.where(F.col("pattern").isNotNull())
+
+
+def bootstrapped(found: DataFrame) -> DataFrame | None:
+    """doc_id, mark, start and end of the identifiers that the contexts discover; None where nothing can be."""
+    with_spans = found.where(F.size(F.concat(*KINDS)) > 0)
+    beside = stored(_edges(standing(with_spans).where("seed"), "instance").distinct())  # known identifiers and their patterns
+    known = stored(beside.select("instance").distinct())
+    words = standing(found)
+    edges = contexts = new_known = asked = None
+    while True:
+        support = beside.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
+        fresh = stored(support if edges is None else support.join(asked, "pattern", "left_anti"))
+        if not fresh.isEmpty():
+            more = stored(_edges(words, "instance").join(fresh, "pattern", "left_semi").distinct())
+            edges = more if edges is None else edges.unionByName(more)
+            asked = fresh if asked is None else asked.unionByName(fresh)
+        if edges is None:
+            return None
+        share = F.avg(F.when(F.col("known"), 1.0).otherwise(0.0))
+        flagged = edges.join(known.withColumn("known", F.lit(True)), "instance", "left")
+        trusted = stored(flagged.groupBy("pattern").agg(share.alias("worth")).where(F.col("worth") >= TRUST))
+        near = edges.join(trusted, "pattern", "left_semi").select("instance").distinct().join(known, "instance", "left_anti")
+        near = stored(near if contexts is None else near.join(contexts.select("instance").distinct(), "instance", "left_anti"))
+        if not near.isEmpty():
+            more = stored(words.select("instance", "two", "sides").join(near, "instance", "left_semi").distinct())
+            contexts = more if contexts is None else contexts.unionByName(more)
+        if contexts is None:
+            return None
+        worth = lambda side: trusted.select(F.col("pattern").alias(side), F.col("worth").alias(f"_{side}"))  # noqa: B023, E731
+        scored = contexts.join(worth("two"), "two", "left").join(worth("sides"), "sides", "left")
+        best = F.coalesce(F.greatest("_two", "_sides"), F.lit(0.0))
+        scores = scored.groupBy("instance").agg(F.avg(best).alias("score")).where(F.col("score") >= BELIEF).select("instance")
+        found_now = stored(scores.join(known, "instance", "left_anti"))
+        if found_now.isEmpty():
+            break
+        new_known = found_now if new_known is None else new_known.unionByName(found_now)
+        known = known.unionByName(found_now)
+        beside = beside.unionByName(_edges(contexts.join(found_now, "instance", "left_semi"), "instance").select(*beside.columns).distinct())
+    if new_known is None:
+        return None
+    rows = _edges(words.where("NOT seed").join(new_known, "instance", "left_semi"), "doc_id", "mark", "start", "end")
+    return rows.join(trusted, "pattern", "left_semi").select("doc_id", "mark", "start", "end").distinct()
 
 
 def _listed(kind: Column | str, spans: Column) -> Column:
@@ -182,10 +210,15 @@ def _listed(kind: Column | str, spans: Column) -> Column:
 def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, the number of spans of each fixed kind, base_sha256 and all spans of every row."""
     found = stored(scanned(docs))
-    more = bootstrapped(found).groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(
-        F.array_sort(F.collect_set(F.struct("start", "end"))).alias(CONTEXT)
-    )
-    rows = found.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("mark").eqNullSafe(F.col("_mark")), "left")
+    more = bootstrapped(found)
+    rows = found.drop("text")
+    if more is None:
+        rows = rows.withColumn(CONTEXT, F.lit(None).cast("array<struct<start:int,end:int>>"))
+    else:
+        more = more.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(
+            F.array_sort(F.collect_set(F.struct("start", "end"))).alias(CONTEXT)
+        )
+        rows = rows.join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("mark").eqNullSafe(F.col("_mark")), "left")
     base = F.concat(*[_listed(kind, F.col(kind)) for kind in KINDS])
     extra = F.coalesce(_listed(CONTEXT, F.col(CONTEXT)), F.array().cast("array<string>"))
     return rows.select(
