@@ -16,9 +16,10 @@ graph are gathered only for patterns with support and words beside trusted ones.
 
 DataFrame operations only. A null text is empty and has no spans; an empty table gives no rows. Positions
 are code points, ends exclusive. Extra columns are ignored; repeated rows have equal results. There are
-no ties: all limits are inclusive. Words are lower-cased and without marks at their ends; a fixed span of more than
+no ties: all limits are inclusive. Words are lower-cased and without ``MARKS`` at their ends; a fixed span of more than
 ``BEYOND`` words has no pattern on both sides. Matching takes time in proportion to the text: no pattern
-is tried again inside a run of its characters. Words are compared with fixed spans ``BLOCK`` at a time.
+is tried again inside a run of its characters. Only texts with a fixed span have their words placed before something is found;
+the passes over all words explode them and join on patterns or words.
 """
 
 from __future__ import annotations
@@ -46,9 +47,9 @@ WORD = r"[^\x20\x09-\x0D]++"
 TRUST = 0.8
 BELIEF = 0.4  # about half of a word's contexts are trusted ones
 SUPPORT = 5
-EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
-LEAD = r"^[^\p{L}\p{N}]+"
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u201e\u2026"  # around a word
 BEYOND = 64  # words after a block in which the word after a span is looked for
+MANY = 2**31 - 1  # as far as an array goes
 BLOCK = 128  # matches of a text that are worked on together
 
 SPANS = "array<struct<start:int,end:int,value:string>>"
@@ -123,35 +124,55 @@ def scanned(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "mark", "text", *[column.alias(name) for name, column in found.items()])
 
 
-def standing(found: DataFrame) -> DataFrame:
-    """doc_id, mark, start, end, instance, seed, two and sides of every fixed span and every word outside of them.
+def seeded(found: DataFrame) -> DataFrame:
+    """doc_id, mark, text, seeds and covered of every row.
 
-    ``two`` is the pattern of the two words before, ``sides`` that of a word on each side, null where the text ends.
+    ``seeds`` are the fixed spans with the words around them, ``covered`` the places of the words in
+    fixed spans among those of the text.
     """
-    rows = found.select("doc_id", "mark", F.array_sort(F.concat(*KINDS)).alias("spans"), located("text", WORD).alias("words"))
+    rows = found.select("doc_id", "mark", "text", F.array_sort(F.concat(*KINDS)).alias("spans"))
+    words = F.when(F.size("spans") > 0, located("text", WORD)).otherwise(F.array().cast(SPANS))
+    # Blocks of words, with two words before and BEYOND after, and the spans that reach into each.
     blocks = f"""transform(sequence(0, (size(words) - 1) div {BLOCK}), k -> named_struct(
-        'skip', if(k = 0, 0, 2), 'near', slice(words, greatest(k * {BLOCK} - 1, 1), {BLOCK + BEYOND} + if(k = 0, 0, 2))))"""
-    rows = rows.where("size(words) > 0").select("doc_id", "mark", "spans", F.explode(F.expr(blocks)).alias("b"))
-    rows = rows.select("doc_id", "mark", "b.near", "b.skip", F.expr(f"slice(b.near, b.skip + 1, {BLOCK})").alias("own"), "spans")
-    rows = rows.withColumn("spans", F.expr("filter(spans, s -> s.start < element_at(own, -1).end AND s.end > own[0].start)"))
-    seeds = """transform(
-        transform(filter(spans, s -> s.start >= own[0].start), s -> named_struct('s', s, 'i', size(filter(near, w -> w.start <= s.start)))),
-        x -> named_struct('start', x.s.start, 'end', x.s.end, 'value', x.s.value, 'seed', true,
-          'b2', get(near, x.i - 3).value, 'b1', get(near, x.i - 2).value, 'a1', get(filter(near, w -> w.start >= x.s.end), 0).value))"""
-    plain = """transform(
-        filter(transform(own, (w, i) -> named_struct('w', w, 'i', i + skip)), x -> NOT exists(spans, s -> s.start < x.w.end AND s.end > x.w.start)),
-        x -> named_struct('start', x.w.start, 'end', x.w.end, 'value', x.w.value, 'seed', false,
-          'b2', get(near, x.i - 2).value, 'b1', get(near, x.i - 1).value, 'a1', get(near, x.i + 1).value))"""
-    each = rows.select("doc_id", "mark", F.expr(f"inline(concat({seeds}, {plain}))"))
-    core = F.when(F.col("seed"), F.col("value")).otherwise(F.regexp_replace("value", EDGES, ""))
-    lead = F.when(F.col("seed"), 0).otherwise(F.length("value") - F.length(F.regexp_replace("value", LEAD, "")))
-    each = each.withColumn("_core", core).where("_core <> ''").withColumn("start", F.col("start") + lead)
-    two = F.when(F.col("b2").isNotNull(), F.concat(F.lit("2 "), F.lower("b2"), F.lit(" "), F.lower("b1")))
-    sides = F.when(F.col("b1").isNotNull() & F.col("a1").isNotNull(), F.concat(F.lit("1 "), F.lower("b1"), F.lit(" _ "), F.lower("a1")))
-    return each.select(
-        "doc_id", "mark", "start", (F.col("start") + F.length("_core")).alias("end"), F.lower("_core").alias("instance"), "seed",
-        two.alias("two"), sides.alias("sides"),
-    )
+        'from', k * {BLOCK}, 'near', slice(words, greatest(k * {BLOCK} - 1, 1), {BLOCK + BEYOND} + if(k = 0, 0, 2)),
+        'own', slice(words, k * {BLOCK} + 1, {BLOCK})))"""
+    reach = "transform(blocks, b -> named_struct('b', b, 'spans', filter(spans, s -> s.start < element_at(b.own, -1).end AND s.end > b.own[0].start)))"
+    seeds = """flatten(transform(reach, r -> transform(
+        transform(filter(r.spans, s -> s.start >= r.b.own[0].start), s -> named_struct('s', s, 'i', size(filter(r.b.near, w -> w.start <= s.start)))),
+        x -> named_struct('value', x.s.value, 'b2', get(r.b.near, x.i - 3).value, 'b1', get(r.b.near, x.i - 2).value,
+          'a1', get(filter(r.b.near, w -> w.start >= x.s.end), 0).value))))"""
+    covered = """flatten(transform(reach, r -> transform(
+        filter(transform(r.b.own, (w, i) -> named_struct('w', w, 'i', i)), x -> exists(r.spans, s -> s.start < x.w.end AND s.end > x.w.start)),
+        x -> x.i + r.b.from)))"""
+    rows = rows.withColumn("words", words).withColumn("blocks", F.when(F.size("words") > 0, F.expr(blocks)))
+    rows = rows.withColumn("reach", F.expr(reach))
+    return rows.select("doc_id", "mark", "text", F.expr(seeds).alias("seeds"), F.expr(covered).alias("covered"))
+
+
+def _patterns() -> list[Column]:
+    """The pattern of the two words before, and that of a word on each side; null where the text ends."""
+    two = F.when(F.col("b2").isNotNull(), F.concat(F.lit("2 "), "b2", F.lit(" "), "b1"))
+    sides = F.when(F.col("b1").isNotNull() & F.col("a1").isNotNull(), F.concat(F.lit("1 "), "b1", F.lit(" _ "), "a1"))
+    return [two.alias("two"), sides.alias("sides")]
+
+
+def seed_rows(source: DataFrame) -> DataFrame:
+    """instance, two and sides of every fixed span."""
+    each = source.select(F.explode("seeds").alias("s")).select(*[F.lower(f"s.{c}").alias(c) for c in ("value", "b2", "b1", "a1")])
+    return each.select(F.col("value").alias("instance"), *_patterns())
+
+
+def word_rows(source: DataFrame) -> DataFrame:
+    """doc_id, mark, place, instance, two and sides of every word outside of fixed spans."""
+    rows = source.select("doc_id", "mark", "covered", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("w"))
+    none = F.lit(None).cast("string")
+    beside = F.arrays_zip(
+        F.col("w").alias("w"), F.concat(F.array(none), "w").alias("b1"), F.concat(F.array(none, none), "w").alias("b2"), F.slice("w", 2, MANY).alias("a1")
+    )
+    each = rows.select("doc_id", "mark", "covered", F.posexplode(beside).alias("place", "x")).where("x.w IS NOT NULL")
+    each = each.select("doc_id", "mark", "covered", "place", F.btrim("x.w", F.lit(MARKS)).alias("instance"), "x.b2", "x.b1", "x.a1")
+    each = each.where("instance <> '' AND (covered IS NULL OR NOT array_contains(covered, place))")
+    return each.select("doc_id", "mark", "place", "instance", *_patterns())
 
 
 def _edges(rows: DataFrame, *columns: str) -> DataFrame:
@@ -162,16 +183,19 @@ def _edges(rows: DataFrame, *columns: str) -> DataFrame:
 
 def bootstrapped(found: DataFrame) -> DataFrame | None:
     """doc_id, mark, start and end of the identifiers that the contexts discover; None where nothing can be."""
-    with_spans = found.where(F.size(F.concat(*KINDS)) > 0)
-    beside = stored(_edges(standing(with_spans).where("seed"), "instance").distinct())  # known identifiers and their patterns
-    known = stored(beside.select("instance").distinct())
-    words = standing(found)
+    source = stored(seeded(found))
+    beside = stored(_edges(seed_rows(source), "instance").distinct())  # known identifiers and their patterns
+    known = stored(seed_rows(source).select("instance").distinct())
+    words = word_rows(source)
+    seeds = beside
     edges = contexts = new_known = asked = None
     while True:
         support = beside.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
         fresh = stored(support if edges is None else support.join(asked, "pattern", "left_anti"))
         if not fresh.isEmpty():
-            more = stored(_edges(words, "instance").join(fresh, "pattern", "left_semi").distinct())
+            # Joined before the same edges are put together, so that words without such a pattern are not moved.
+            more = _edges(words, "instance").join(fresh, "pattern", "left_semi").unionByName(seeds.join(fresh, "pattern", "left_semi"))
+            more = stored(more.distinct())
             edges = more if edges is None else edges.unionByName(more)
             asked = fresh if asked is None else asked.unionByName(fresh)
         if edges is None:
@@ -198,8 +222,13 @@ def bootstrapped(found: DataFrame) -> DataFrame | None:
         beside = beside.unionByName(_edges(contexts.join(found_now, "instance", "left_semi"), "instance").select(*beside.columns).distinct())
     if new_known is None:
         return None
-    rows = _edges(words.where("NOT seed").join(new_known, "instance", "left_semi"), "doc_id", "mark", "start", "end")
-    return rows.join(trusted, "pattern", "left_semi").select("doc_id", "mark", "start", "end").distinct()
+    rows = _edges(words.join(new_known, "instance", "left_semi"), "doc_id", "mark", "place").join(trusted, "pattern", "left_semi")
+    places = rows.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_set("place").alias("places"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("mark").eqNullSafe(F.col("_mark"))
+    held = source.select("doc_id", "mark", "text").join(places, same).select("doc_id", "mark", "places", located("text", WORD).alias("words"))
+    each = held.select("doc_id", "mark", "words", F.explode("places").alias("place")).select("doc_id", "mark", F.expr("words[place]").alias("w"))
+    start = F.col("w.start") + F.length("w.value") - F.length(F.ltrim("w.value", F.lit(MARKS)))
+    return each.select("doc_id", "mark", start.alias("start"), (start + F.length(F.btrim("w.value", F.lit(MARKS)))).alias("end")).distinct()
 
 
 def _listed(kind: Column | str, spans: Column) -> Column:

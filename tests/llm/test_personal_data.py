@@ -23,7 +23,7 @@ def brute(rows, base):
         for i, (start, end) in enumerate(words):
             if any(s < end and e > start for s, e in base[doc]):
                 continue
-            letters = [k for k in range(start, end) if text[k].isalpha() or text[k].isnumeric()]
+            letters = [k for k in range(start, end) if text[k] not in pii.MARKS]
             if letters:
                 a, b = letters[0], letters[-1] + 1
                 places.append((doc, a, b, text[a:b].lower(), False, name(i - 2), name(i - 1), name(i + 1)))
@@ -112,5 +112,9 @@ def test_no_context_to_trust(spark):
 @pytest.mark.parametrize("n", [127, 128, 129, 256, 257])
 def test_blocks_of_words(spark, n):
     text = " ".join(["w"] * n) + " a@b.cd z"
-    row = pii.standing(pii.scanned(spark.createDataFrame([(1, text)], "doc_id int, text string"))).where("seed").first()
-    assert (row.start, row.two, row.sides) == (2 * n, "2 w w", "1 w _ z")
+    source = pii.seeded(pii.scanned(spark.createDataFrame([(1, text), (2, "no span")], "doc_id int, text string")))
+    assert [tuple(r) for r in pii.seed_rows(source).collect()] == [("a@b.cd", "2 w w", "1 w _ z")]
+    places = [r.place for r in pii.word_rows(source).where("doc_id = 1").orderBy("place").collect()]
+    assert places == [*range(n), n + 1] and pii.word_rows(source).where("doc_id = 2").count() == 2
+    plan = pii.word_rows(source)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
