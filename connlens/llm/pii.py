@@ -5,7 +5,7 @@ a seed. What stands around it, the two words before it, or one on each side, is
 Patterns and the words they stand by, of whatever characters, make a graph, scored in rounds:
 
 - a pattern that stands by ``SUPPORT`` different known identifiers or more is worth the share of
-  known ones among all the different words and seeds it stands by; it is trusted from ``TRUST`` on;
+  known ones (seeds and found words) among all the different words and seeds it stands by; it is trusted from ``TRUST`` on;
 - a word beside a trusted pattern is worth the mean, over all its different contexts in the
   corpus, of the greater worth of their two patterns. So an ordinary word is held down by
   its other uses. From ``BELIEF`` on it is known.
@@ -188,7 +188,7 @@ def bootstrapped(found: DataFrame) -> DataFrame | None:
     known = stored(seed_rows(source).select("instance").distinct())
     words = word_rows(source)
     seeds = beside
-    edges = contexts = new_known = asked = None
+    edges = sizes = contexts = new_known = asked = None
     while True:
         support = beside.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("pattern")
         fresh = stored(support if edges is None else support.join(asked, "pattern", "left_anti"))
@@ -197,12 +197,14 @@ def bootstrapped(found: DataFrame) -> DataFrame | None:
             more = _edges(words, "instance").join(fresh, "pattern", "left_semi").unionByName(seeds.join(fresh, "pattern", "left_semi"))
             more = stored(more.distinct())
             edges = more if edges is None else edges.unionByName(more)
+            counted = stored(more.groupBy("pattern").agg(F.count("*").alias("size")))
+            sizes = counted if sizes is None else sizes.unionByName(counted)
             asked = fresh if asked is None else asked.unionByName(fresh)
         if edges is None:
             return None
-        share = F.avg(F.when(F.col("known"), 1.0).otherwise(0.0))
-        flagged = edges.join(known.withColumn("known", F.lit(True)), "instance", "left")
-        trusted = stored(flagged.groupBy("pattern").agg(share.alias("worth")).where(F.col("worth") >= TRUST))
+        # The known members are counted in beside, so the edges themselves need no join with the known words.
+        judged = beside.groupBy("pattern").agg(F.count("*").alias("n")).join(sizes, "pattern")
+        trusted = stored(judged.select("pattern", (F.col("n") / F.col("size")).alias("worth")).where(F.col("worth") >= TRUST))
         near = edges.join(trusted, "pattern", "left_semi").select("instance").distinct().join(known, "instance", "left_anti")
         near = stored(near if contexts is None else near.join(contexts.select("instance").distinct(), "instance", "left_anti"))
         if not near.isEmpty():

@@ -44,7 +44,7 @@ def brute(rows, base):
         for pattern in own:
             beside[pattern].add(instance)
     while True:
-        worth = {p: len(members[p] & known) / len(members[p]) for p, own in beside.items() if len(own) >= pii.SUPPORT}
+        worth = {p: len(own) / len(members[p]) for p, own in beside.items() if len(own) >= pii.SUPPORT}
         worth = {p: w for p, w in worth.items() if w >= pii.TRUST}
         new = set()
         for instance, own in contexts.items():
