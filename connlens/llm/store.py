@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder path in ``spark.checkpoint.dir``, or beside the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new folder path in ``spark.checkpoint.dir``; a local session may do without, beside its warehouse."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
     return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
 

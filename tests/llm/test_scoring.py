@@ -1,0 +1,116 @@
+"""The vocabulary of document scores against plain counting, and scores against a slow sum over all places."""
+
+import collections
+import math
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from connlens.llm import scoring, words
+
+TEXTS = [
+    (1, "the cat saw the dog, the dog saw the cat"),
+    (2, "The end of a Straße"),
+    (3, None),
+    (4, " ... "),
+    (5, "one"),
+    (5, "rare words and more rare words of the cat"),
+    (None, "the dog and the cat of the end"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(TEXTS, "doc_id bigint, text string").repartition(3)
+
+
+def split(text):
+    lower = "".join(c.lower() if c.isascii() else c for c in text or "")
+    return re.findall(r"[0-9a-z\x80-\U0010ffff]+", lower)
+
+
+def hashed(word):
+    (_, data, bounds), = words.slices(pa.array([word]))
+    return int(words.words_of(data, bounds, words.ALNUM).hash[0])
+
+
+def by_hand(most):
+    """Class and log-share of every word."""
+    count = collections.Counter(w for _, t in TEXTS for w in split(t))
+    # All counts are below 100, so each is a level of its own.
+    level = [n for n in sorted(set(count.values())) if sum(c >= n for c in count.values()) <= most]
+    least = level[0] if level else max(count.values()) + 1
+    head = sorted((w for w in count if count[w] >= least), key=lambda w: (-count[w], hashed(w)))
+    other = [w for w in count if count[w] < least]
+    mass = lambda some: sum(count[w] + 1 for w in some)
+    kinds = min(max(round(scoring.CLASSES * mass(other) / mass(count)), 1), scoring.CLASSES - bool(head))
+    kind, at = {}, 0
+    for c in range(scoring.CLASSES - kinds):
+        goal, taken = mass(head[at:]) / (scoring.CLASSES - kinds - c), 0
+        while at < len(head) and (taken == 0 or taken + count[head[at]] + 1 <= goal + 1e-9):
+            kind[head[at]], taken, at = c, taken + count[head[at]] + 1, at + 1
+    for w in other:
+        kind[w] = scoring.CLASSES - kinds + (hashed(w) >> scoring.CLASS_SHIFT) % kinds
+    total = collections.Counter()
+    for w, c in kind.items():
+        total[c] += count[w] + 1
+    for c in range(scoring.CLASSES - kinds, scoring.CLASSES):
+        total[c] += 1
+    return count, kind, {w: math.log((count[w] + 1) / total[c]) for w, c in kind.items()}
+
+
+def test_vocabulary_is_every_word(docs):
+    count = by_hand(0)[0]
+    got = {r.word: r.n for r in scoring.count_words(docs).collect()}
+    assert got == {(h - (1 << 64) if (h := hashed(w)) >> 63 else h): n for w, n in count.items()}
+
+
+@pytest.mark.parametrize("most", [0, 3, 8, 1000])
+def test_scores_by_hand(docs, most):
+    vocabulary = scoring.count_words(docs)
+    head = scoring.head_of(vocabulary, most)
+    assert len(head.words) <= most
+    parameters = scoring.train(docs, head)
+    net = scoring.Network(parameters)
+    _, kind, share = by_hand(most)
+    want = []
+    for doc_id, text in TEXTS:
+        found, total = split(text), 0.0
+        for i, w in enumerate(found):
+            around = [kind[found[j]] if 0 <= j < len(found) else scoring.PAD for j in (i - 2, i - 1, i + 1, i + 2)]
+            total += float(net.forward(np.array(around)[:, None])[1][0, kind[w]]) + share[w]
+        want.append((doc_id, len(found), total))
+    got = scoring.score(docs, vocabulary, head, parameters).collect()
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    for g, w in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        assert g[:2] == w[:2] and math.isclose(g.log_likelihood, w[2], rel_tol=1e-5, abs_tol=1e-9)
+        assert g.mean_log_likelihood is None if not w[1] else math.isclose(g.mean_log_likelihood, w[2] / w[1], rel_tol=1e-5)
+
+
+def test_words_unknown_to_the_vocabulary_have_a_share(spark, docs):
+    vocabulary = scoring.count_words(docs)
+    head = scoring.head_of(vocabulary, 3)
+    other = spark.createDataFrame([(1, "unheard"), (2, "unheard of")], "doc_id bigint, text string")
+    got = scoring.score(other, vocabulary, head, scoring.Network().all).collect()
+    assert len(got) == 2 and all(math.isfinite(r.log_likelihood) and r.log_likelihood < 0 for r in got)
+
+
+def test_levels_keep_the_order_and_are_few(spark):
+    rows = spark.range(1, 200_000).selectExpr("id AS word", "id * id AS n")
+    levels = rows.select("n", scoring._level(rows.n).alias("l")).orderBy("n").toPandas()["l"].to_numpy()
+    assert (np.diff(levels) >= 0).all() and len(set(levels)) <= 90 * 11 + 9
+    assert rows.where(rows.n >= scoring.least_count(rows, 500)).count() <= 500
+
+
+def test_head_finds_words_by_hash():
+    rng = np.random.default_rng(2)
+    known = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) << np.uint64(1))
+    counts = rng.integers(1, 90, len(known))
+    slot = np.zeros(1 << scoring.SLOT_BITS, dtype=np.int64)
+    rising = np.argsort(counts, kind="stable")
+    slot[known[rising] >> np.uint64(64 - scoring.SLOT_BITS)] = rising
+    head = scoring.Head(known, slot, None, None, 1, 1, np.ones(1))
+    asked = np.concatenate([known, known | np.uint64(1)])
+    assert (head.find(asked) == np.concatenate([np.arange(len(known)), np.full(len(known), -1)])).all()
