@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.enrich import (
     Provider,
@@ -17,6 +18,7 @@ from ..operators.enrich import (
 )
 from ..session import materialize
 from ..sinks import append_ip_info
+from ..sinks.ledger import Reservation, journal_of, journaled, reserve, reserved, settle, unsettled
 
 
 @dataclass(frozen=True)
@@ -29,6 +31,11 @@ class Lookups:
     per_day: the allowance of a day, over all jobs with the same IP_INFO.
     retry_before: addresses without an answer are asked again if that was
         before this time; None asks each address once.
+    tasks: how many tasks ask at the same time.
+    ledger: the folder of a ledger of lookups. With it the allowance holds for jobs that run side by side too, it is counted
+        by reservations alone, and a job that runs again asks nothing twice. Needs a store.
+    job: the job's name in the ledger, one for each job that runs at a time; the time of the run if None.
+    tries, wait, per_second: see :func:`journaled`; every try counts towards the allowance. With a ledger only.
     """
 
     provider: Provider
@@ -36,6 +43,48 @@ class Lookups:
     limit: int = 1000
     per_day: int = 1000
     retry_before: datetime | None = None
+    tasks: int = 8
+    ledger: str | None = None
+    job: str | None = None
+    tries: int = 1
+    wait: float = 1.0
+    per_second: float | None = None
+
+
+# Later than any retry: an address that is reserved needs no lookup.
+_RESERVED_AT = datetime(9999, 1, 1)
+
+
+def _look_up_reserved(
+    hosts: DataFrame, info: DataFrame, field: str, run_ts: datetime, lookups: Lookups
+) -> None:
+    """Ask what the ledger grants, after what an earlier attempt of the job has left open, and store the answers.
+
+    An attempt lost between storing and settling stores its answers twice; readers take one.
+    """
+    ledger, spark, day = lookups.ledger, info.sparkSession, run_ts.date()
+    job = lookups.job or run_ts.isoformat()
+    provider = journaled(
+        lookups.provider, journal_of(ledger, day), lookups.tries, lookups.wait, lookups.per_second
+    )
+
+    def ask(granted: Reservation) -> None:
+        addresses = reserved(spark, [granted])
+        found = materialize(look_up(addresses, "IP", provider, run_ts, lookups.tasks))
+        append_ip_info(found, lookups.store)
+        settle(spark, ledger, day, granted)
+
+    def choose(taken: DataFrame, most: int) -> DataFrame:
+        stored = spark.read.schema(info.schema).parquet(lookups.store)
+        known = ipinfo_union(stored, taken.withColumn("TS_CODE", F.lit(_RESERVED_AT)))
+        wanted = lookup_candidates(known, hosts, field, min(most, lookups.limit), lookups.retry_before)
+        return wanted.select(F.col(field).alias("IP"))
+
+    for left in unsettled(spark, ledger, day, job):
+        ask(left)
+    granted = reserve(spark, ledger, day, job, choose, lookups.per_day, lookups.tries)
+    if granted is not None:
+        ask(granted)
 
 
 def look_up_missing(
@@ -54,6 +103,11 @@ def look_up_missing(
     if lookups is None:
         return info
     store, spark = lookups.store, info.sparkSession
+    if lookups.ledger is not None:
+        if store is None:
+            raise ValueError("a ledger needs the store that answers go to")
+        _look_up_reserved(hosts, info, field, run_ts, lookups)
+        return spark.read.schema(info.schema).parquet(store)
     if store is not None:
         info = spark.read.schema(info.schema).parquet(store)
     today = run_ts.replace(hour=0, minute=0, second=0, microsecond=0)
@@ -62,7 +116,7 @@ def look_up_missing(
     if most <= 0:
         return info
     wanted = lookup_candidates(info, hosts, field, most, lookups.retry_before)
-    found = materialize(look_up(wanted, field, lookups.provider, run_ts))
+    found = materialize(look_up(wanted, field, lookups.provider, run_ts, lookups.tasks))
     if store is None:
         return ipinfo_union(info, found)
     append_ip_info(found, store)

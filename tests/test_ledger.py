@@ -1,0 +1,126 @@
+"""Lookups by a ledger: the allowance of jobs side by side, jobs that run again, failures and rates."""
+
+import os
+import time
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from connlens.plans.enrichment import Lookups, look_up_missing
+from connlens.schemas import IP_INFO_SCHEMA
+from connlens.sinks import ledger
+
+RUN = datetime(2024, 1, 2, 15)
+DAY = RUN.date()
+
+
+def recording(calls, fail=None, die=None):
+    """A provider that notes each call as a file of its own."""
+
+    def ask(ip):
+        import uuid
+
+        with open(f"{calls}/{uuid.uuid4().hex}", "w") as f:
+            f.write(ip)
+        if ip == die and not os.path.exists(f"{calls}/.died"):
+            open(f"{calls}/.died", "w").close()
+            os._exit(1)
+        if ip == fail:
+            raise RuntimeError("busy")
+        return {"hostname": f"h-{ip}", "latitude": 1.5}
+
+    return ask
+
+
+@pytest.fixture
+def place(spark, tmp_path):
+    os.mkdir(tmp_path / "calls")
+    spark.createDataFrame([], IP_INFO_SCHEMA).write.parquet(str(tmp_path / "IP_INFO"))
+    return tmp_path
+
+
+def hosts(spark, n):
+    return spark.range(n).select(F.format_string("10.0.0.%d", "id").alias("IP"), (n - F.col("id")).alias("COUNT"))
+
+
+def calls(place):
+    return sorted((place / "calls" / n).read_text() for n in os.listdir(place / "calls") if n != ".died")
+
+
+def run(spark, place, n, provider, **more):
+    store = str(place / "IP_INFO")
+    lookups = Lookups(provider, store, ledger=str(place / "ledger"), **more)
+    info = spark.read.schema(IP_INFO_SCHEMA).parquet(store)
+    return look_up_missing(hosts(spark, n), info, "IP", RUN, lookups)
+
+
+def test_jobs_side_by_side_keep_to_the_allowance(spark, place):
+    ask = recording(str(place / "calls"))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda j: run(spark, place, 40, ask, job=f"job-{j}", limit=9, per_day=25).count(), range(4)))
+    asked = calls(place)
+    assert len(asked) == len(set(asked)) == 25
+    granted = ledger.reservations(spark, str(place / "ledger"), DAY)
+    assert [r.number for r in granted] == [1, 2, 3] and sorted(r.calls for r in granted) == [7, 9, 9]
+    assert ledger.calls_left(spark, str(place / "ledger"), DAY, 25) == 0
+    stored = spark.read.parquet(str(place / "IP_INFO"))
+    assert stored.where("HOSTNAME = concat('h-', IP)").count() == 25
+    # The busiest ones, and the next day has an allowance of its own.
+    assert set(asked) == {f"10.0.0.{i}" for i in range(25)}
+    assert ledger.calls_left(spark, str(place / "ledger"), datetime(2024, 1, 3).date(), 25) == 25
+
+
+def test_of_two_reservations_of_one_number_one_counts(spark, place):
+    path = str(place / "ledger")
+    taken = []
+
+    def choose(before, most):
+        if not taken:
+            taken.append(ledger.reserve(spark, path, DAY, "other", lambda b, m: hosts(spark, 3).select("IP"), 5))
+        return hosts(spark, 5).select("IP").join(before, "IP", "left_anti").limit(most)
+
+    mine = ledger.reserve(spark, path, DAY, "mine", choose, 5)
+    assert (taken[0].number, mine.number, mine.calls) == (1, 2, 2)
+    both = ledger.reserved(spark, [taken[0], mine])
+    assert both.count() == both.distinct().count() == 5
+    assert ledger.reserve(spark, path, DAY, "late", choose, 5) is None
+    assert not ledger._publish(spark, f"{path}/day=2024-01-02/reservation-000001.json", "{}")
+
+
+def test_a_killed_job_asks_nothing_twice(spark, place):
+    ask = recording(str(place / "calls"), die="10.0.0.11")
+    with pytest.raises(Exception, match="crashed|exited|failure"):
+        run(spark, place, 20, ask, job="nightly", tasks=2)
+    before = calls(place)
+    assert "10.0.0.11" in before and spark.read.schema(IP_INFO_SCHEMA).parquet(str(place / "IP_INFO")).isEmpty()
+    rows = {r["IP"]: r["HOSTNAME"] for r in run(spark, place, 22, ask, job="nightly", tasks=2).collect()}
+    asked = calls(place)
+    assert asked == sorted(f"10.0.0.{i}" for i in range(22))
+    # The one whose answer was lost is stored without; the two new ones come with a second reservation.
+    assert rows == {ip: None if ip == "10.0.0.11" else f"h-{ip}" for ip in asked}
+    assert not ledger.unsettled(spark, str(place / "ledger"), DAY, "nightly")
+    assert run(spark, place, 22, ask, job="nightly").count() == 22 and calls(place) == asked
+
+
+def test_failed_calls_are_repeated_and_counted(spark, place):
+    ask = recording(str(place / "calls"), fail="10.0.0.1")
+    found = run(spark, place, 9, ask, per_day=6, tries=2, wait=0.01)
+    assert calls(place) == ["10.0.0.0", "10.0.0.1", "10.0.0.1", "10.0.0.2"]
+    assert {r["IP"]: r["HOSTNAME"] for r in found.collect()} == {"10.0.0.0": "h-10.0.0.0", "10.0.0.1": None, "10.0.0.2": "h-10.0.0.2"}
+    assert ledger.calls_left(spark, str(place / "ledger"), DAY, 6) == 0
+
+
+def test_rate_cut_files_and_nothing_to_ask(spark, place):
+    ask = ledger.journaled(recording(str(place / "calls")), f"file:{place}/journal", per_second=20)
+    start = time.monotonic()
+    assert [ask(f"a{i}")["hostname"] for i in range(5)] == [f"h-a{i}" for i in range(5)]
+    assert time.monotonic() - start > 0.19
+    for name in os.listdir(place / "journal"):
+        (place / "journal" / name).write_text('{"ip": "a')
+    assert ask("a1") is None and len(calls(place)) == 5
+    assert run(spark, place, 0, ask).count() == 0
+    assert not ledger.reservations(spark, str(place / "ledger"), DAY)
+    with pytest.raises(ValueError):
+        look_up_missing(hosts(spark, 1), spark.createDataFrame([], IP_INFO_SCHEMA), "IP", RUN, Lookups(ask, ledger=str(place / "ledger")))
