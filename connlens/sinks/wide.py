@@ -1,23 +1,33 @@
 """Histories with a column per host, for any number of hosts: files of bounded width, and a reader that puts them together.
 
-The values are dealt into blocks by hash; each block is a pivot of its own, with the rows that have one of its
-values. ``manifest`` tells the block of each value and is written last, so a set without it is not complete. The driver holds the
-values of one block at a time.
+The values are dealt into blocks by hash, and numbered in each. One pivot by these numbers makes the rows of all blocks; a block's
+own rows are then copied to its files under the names of its values. ``manifest`` tells the block of each value and is
+written last, so a set without it is not complete. The driver holds the values of ``AT_ONCE`` blocks at a time. The reader
+is one job over the files of all blocks, so its plan has the same size for any number of them.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Sequence
-from functools import reduce
+from concurrent.futures import ThreadPoolExecutor
+from itertools import batched
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import sum_counts
-from ..session import materialize
+from ..functions import lookup_join, sum_counts
+from ..session import materialize, scratch_folder
 
 WIDTH = 1000
 MANIFEST = "manifest"
+AT_ONCE = 16  # small jobs that copy a block each
+CELLS = 4_000_000  # of a file at most, so that a reading task can hold it
 
 
 def _block_path(path: str, block: int) -> str:
@@ -45,22 +55,41 @@ def write_wide(long: DataFrame, column: str, path: str, width: int = WIDTH) -> i
     """
     if column in ("TS", "COUNT") or width < 1:
         raise ValueError(f"cannot spread {column!r} over files of {width} columns")
-    text = long.select("TS", F.coalesce(F.col(column).cast("string"), F.lit("null")).alias(column), "COUNT")
+    text = materialize(long.select("TS", F.coalesce(F.col(column).cast("string"), F.lit("null")).alias(column), "COUNT"))
     values = materialize(text.select(column).distinct())
     blocks = _dealt(values, column, width)
     manifest = values.withColumn("block", _block_of(column, blocks))
-    rows = materialize(text.withColumn("block", _block_of(column, blocks)), by=["block"])
+    place = F.row_number().over(Window.partitionBy("block").orderBy(column)) - 1
+    placed = lookup_join(text, manifest.withColumn("place", place), [column], "left")
+    most = manifest.groupBy("block").count().agg(F.max("count")).first()[0] or 0
+    cells = placed.groupBy("block", "TS").pivot("place", list(range(most))).agg(sum_counts())
+    rows = scratch_folder(long.sparkSession)
+    cells.repartitionByRange("block", "TS").sortWithinPartitions("block", "TS").write.partitionBy("block").parquet(rows)
     _clear(long.sparkSession, path)
-    for block in range(blocks):
-        own = manifest.where(F.col("block") == block).select(column).orderBy(column).collect()
-        if own:
-            some = rows.where(F.col("block") == block)
-            wide = some.groupBy("TS").pivot(column, [row[0] for row in own]).agg(sum_counts())
-            wide.orderBy("TS").write.parquet(_block_path(path, block))
+    names = manifest.groupBy("block").agg(F.sort_array(F.collect_list(column)).alias("names"))
+    if most:
+        _copy_blocks(names, f"{rows}/block=", T.StructType([f for f in cells.schema if f.name != "block"]), path)
     manifest.write.parquet(f"{path.rstrip('/')}/{MANIFEST}")
     return blocks
 
 
+def _copy_blocks(names: DataFrame, rows: str, schema: T.StructType, path: str) -> None:
+    """Write the rows of every block under the names of its values, some blocks side by side."""
+    spark = names.sparkSession
+
+    def copy(row) -> None:
+        own = spark.read.schema(T.StructType(schema[: len(row["names"]) + 1])).parquet(f"{rows}{row['block']}")
+        wide = own.toDF("TS", *row["names"])
+        # The rows of one file are in order of time already.
+        wide = wide if len(own.inputFiles()) == 1 else wide.orderBy("TS")
+        records = max(1, CELLS // len(row["names"]))
+        wide.write.option("maxRecordsPerFile", records).parquet(_block_path(path, row["block"]))
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for some in batched(names.toLocalIterator(), AT_ONCE):
+            list(pool.map(inheritable_thread_target(spark)(copy), some))
+
+
 def _clear(spark: SparkSession, path: str) -> None:
     """Remove a set, its manifest first."""
     jvm = spark.sparkContext._jvm
@@ -74,17 +103,39 @@ def read_wide(
 ) -> DataFrame:
     """The history in long form (TS, the column, COUNT), of some values or of all.
 
-    Only the blocks that have one of the values are opened, and only their columns read.
+    Only the blocks that have one of the values are opened, and only their columns decoded.
     """
     manifest = spark.read.parquet(f"{path.rstrip('/')}/{MANIFEST}")
     if values is not None:
         manifest = manifest.where(F.col(column).isin(list(values)))
-    parts = []
-    for row in manifest.select("block").distinct().orderBy("block").collect():
-        wide = spark.read.parquet(_block_path(path, row["block"]))
-        names = [n for n in wide.columns if n != "TS" and (values is None or n in values)]
-        cells = [F.col(f"`{n}`") for n in names]
-        parts.append(wide.unpivot("TS", cells, column, "COUNT").where(F.col("COUNT").isNotNull()))
-    if not parts:
+    blocks = [row["block"] for row in manifest.select("block").distinct().orderBy("block").collect()]
+    if not blocks:
         return spark.createDataFrame([], f"TS timestamp, {column} string, COUNT bigint")
-    return reduce(DataFrame.union, parts)
+    wide = spark.read.parquet(_block_path(path, blocks[0])).schema
+    count = next(f for f in wide if f.name != "TS").dataType
+    schema = T.StructType([wide["TS"], T.StructField(column, T.StringType()), T.StructField("COUNT", count)])
+    kinds = to_arrow_schema(schema)
+    wanted = None if values is None else set(values)
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                file = pq.ParquetFile(io.BytesIO(content.as_buffer()), coerce_int96_timestamp_unit="us")
+                names = [n for n in file.schema_arrow.names if n != "TS" and (wanted is None or n in wanted)]
+                for group in range(file.num_row_groups):
+                    part = file.read_row_group(group, columns=["TS", *names])
+                    yield from _long(part, names, kinds)
+
+    files = spark.read.format("binaryFile").load([_block_path(path, b) for b in blocks])
+    return files.select("content").mapInArrow(run, schema)
+
+
+def _long(part: pa.Table, names: list[str], kinds: pa.Schema) -> list[pa.RecordBatch]:
+    """The cells of some columns that hold a count, a row each."""
+    rows = []
+    for name in names:
+        cells = part.column(name)
+        held = cells.is_valid()
+        counts = cells.filter(held)
+        rows.append(pa.table([part.column("TS").filter(held), pa.repeat(name, len(counts)), counts], names=kinds.names))
+    return pa.concat_tables(rows).cast(kinds).combine_chunks().to_batches() if rows else []

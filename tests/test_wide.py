@@ -46,3 +46,16 @@ def test_missing_values_empty_histories_and_replaced_sets(spark, tmp_path):
     assert read_wide(spark, path, "H").count() == 0
     with pytest.raises(ValueError):
         write_wide(history(spark, (5, "b", 9)), "TS", path)
+
+
+def test_jobs_and_plans_do_not_grow_with_all_blocks(spark, tmp_path):
+    path, context = str(tmp_path / "W"), spark.sparkContext
+    rows = history(spark, *[(i % 2, f"h.{i}", i) for i in range(60)])
+    context.setJobGroup("wide", "blocks")
+    blocks = write_wide(rows, "H", path, 2)
+    jobs = len(context.statusTracker().getJobIdsForGroup("wide"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert blocks >= 30 and jobs < 2 * blocks + 30
+    back = read_wide(spark, path, "H")
+    assert "Union" not in back._jdf.queryExecution().optimizedPlan().toString()
+    assert as_set(back, "H", "COUNT") == sorted(((f"h.{i}", i) for i in range(60)), key=str)
