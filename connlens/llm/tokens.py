@@ -22,6 +22,8 @@ empty table gives an empty ``segments``.
 from __future__ import annotations
 
 import hashlib
+import string
+import struct
 import unicodedata
 import zlib
 
@@ -47,6 +49,21 @@ SEGMENT_SCHEMA = (
 )
 
 
+class _Cache(dict):
+    """ids of words, learned when first asked for."""
+
+    def __init__(self, owner: Encoder):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.owner.older.get(word)
+        if ids is None:
+            ids = self.owner._learn(word)
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, each different word once.
 
@@ -60,8 +77,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
         self.model = self.tokenizer.model
-        self.cache: dict[bytes, bytes] = {}
+        self.cache = _Cache(self)
         self.older: dict[bytes, bytes] = {}
         self.letters: dict[str, str] = {}
         self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -74,12 +92,18 @@ class Encoder:
         self.plain = self.lower and all(
             self._model(w) == self.tokenizer.encode(w, add_special_tokens=False).ids for w in ("a", "the", "zebra", "qxz", "thnderly")
         )
+        self.marks = "".join(c for c in string.punctuation if self._apart(c) and self._apart(c + c)).encode()
+
+    def _apart(self, marks: str) -> bool:
+        """Whether marks behind letters have ids of their own."""
+        parts = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in ("ab", marks, f"ab{marks}")]
+        return parts[0] + parts[1] == parts[2]
 
     def _model(self, word: str) -> list[int]:
         return [t.id for t in self.model.tokenize(word)]
 
     def _pack(self, ids) -> bytes:
-        return np.array(ids, dtype=self.type).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _letters(self, word: str) -> str | None:
         """The word as the model sees it, if it is of letters that the normalizer leaves as they are."""
@@ -100,31 +124,29 @@ class Encoder:
         last = core.decode()[-1]
         return last.isalpha() and self.tokenizer.normalizer.normalize_str(last) == last
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """ids of words that are not in the cache."""
-        out, rest = {}, []
-        for word in words:
-            core, tail = (word[:-1], word[-1:]) if word[-1] in b".," and len(word) > 1 else (word, b"")
+    def _learn(self, word: bytes) -> bytes:
+        """ids of a word that is not in the cache."""
+        if self.plain:
+            if word.islower() and word.isalpha():
+                return self._pack([t.id for t in self.model.tokenize(word.decode())])
+            core = word.rstrip(self.marks)
+            tail = word[len(core) :]
+            if tail and (not core or any(mark in word.lower() for mark in self.special)):
+                core, tail = word, b""
             # What the normalizer makes of the last letter must be a letter, or the mark would join it.
-            ids = self.cache.get(core) if tail and self.plain and self._ends_plainly(core) else None
-            if ids is None and self.plain:
+            ids = self.cache.get(core) if tail and self._ends_plainly(core) else None
+            if ids is None:
                 if core.isalpha() and core.islower():
                     ids = self._pack(self._model(core.decode()))
                 elif not core.isascii():
                     text = core.decode()
                     plain = text.isalpha() and unicodedata.is_normalized("NFC", text) and self._letters(text)
                     ids = self._pack(self._model(plain)) if plain else None
-            if ids is None:
-                rest.append(word)
-            else:
-                out[word] = ids + (self._mark(tail) if tail else b"")
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
-        out.update((w, self._pack(e.ids)) for w, e in zip(rest, encoded))
-        return out
+            if ids is not None:
+                return ids + self._mark(tail) if tail else ids
+        return self._pack(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
 
     def _mark(self, tail: bytes) -> bytes:
-        if tail not in self.cache:
-            self.cache[tail] = self._pack(self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids)
         return self.cache[tail]
 
     def _lowered(self, text: bytes) -> bytes:
@@ -142,17 +164,13 @@ class Encoder:
         if not self.by_word:
             found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
             return [self._pack(e.ids) for e in found]
-        split = [self._lowered(t).split() for t in texts]
-        words = set().union(*split)
-        if len(self.cache) + len(words) > CACHED_WORDS:
-            # The words of the last while stay at hand; older ones go.
-            self.older, self.cache = self.cache, {}
-        fresh = words - self.cache.keys()
-        again = fresh & self.older.keys()
-        self.cache.update((w, self.older[w]) for w in again)
-        self.cache.update(self._learn(fresh - again))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        out = []
+        for text in texts:
+            if len(self.cache) > CACHED_WORDS:
+                # The words of the last while stay at hand; older ones go.
+                self.older, self.cache = self.cache, _Cache(self)
+            out.append(b"".join(map(self.cache.__getitem__, self._lowered(text).split())))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -28,6 +28,34 @@ def test_ids_do_not_depend_on_what_was_seen_before():
         assert own.encode([t.encode() for t in texts]) == [packed(t) for t in texts]
 
 
+def test_marks_behind_words_are_encoded_once():
+    from tokenizers import Tokenizer
+
+    class Counted:
+        def __init__(self, plain):
+            self.plain, self.asked = plain, []
+
+        def __getattr__(self, name):
+            return getattr(self.plain, name)
+
+        def encode(self, word, **options):
+            self.asked.append(word)
+            return self.plain.encode(word, **options)
+
+        def encode_batch_fast(self, words, **options):
+            self.asked += words
+            return self.plain.encode_batch_fast(words, **options)
+
+    own = tokens.Encoder(queries.vocabulary())
+    own.tokenizer = counted = Counted(Tokenizer.from_file(queries.vocabulary()))
+    tails = ["$$$", ",%%%", "!!", ".", "'", "\"'", "_", "[/", "@@"]
+    odd = ["<s", "<s>", "</s", "</s>", "a</s>", "[INST]", "x's!!", "x'", "'s!", "12%%%", "1.2.3!", "$$$", "é!!!", "Ée$$", "e\u0301??", "mas\u0338>"]
+    texts = [f"qx{chr(97 + i % 26)}{chr(97 + i // 26)}{tail}" for i in range(300) for tail in tails] + odd
+    found = own.encode([t.encode() for t in texts])
+    assert len(counted.asked) < 100
+    assert found == [own._pack(counted.plain.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 @pytest.mark.parametrize("names", [["score", "_text", "lang_pred", "ambiguous", "_letter", "k0", "doc_id_"]])
 def test_any_column_names(spark, names):
     rows = [(i, f"the text number {i} of this and that", "en", "s") for i in range(30)] + [(99, "12 34", None, None), (98, None, "en", None)]
