@@ -43,6 +43,8 @@ PERCENT = 80  # 100 * intersection >= PERCENT * union
 BLOCK = 4096  # sets of a list that meet as many others in a task
 FOLDED = 1024  # bits of a parity bitmap there
 PAIRS = 1 << 17  # compared at once
+SET_BYTES = 1 << 18  # of text whose words a task holds at once, unless one text has more
+POSTED = 1000  # groups whose prefixes it takes apart at once
 FREQUENT = 64  # a shingle in the prefixes of more documents goes to the end of the order
 
 
@@ -52,7 +54,7 @@ def _prefix_length(n: int) -> int:
 
 def _sets(texts: pa.Array):
     """(index, sorted distinct shingle hashes as uint64) of every text."""
-    for at, data, bounds in slices(texts):
+    for at, data, bounds in slices(texts, SET_BYTES):
         hashes, cuts = shingles(words_of(data, bounds, NOT_BLANK), SIZE)
         for i in range(len(cuts) - 1):
             own = np.sort(hashes[cuts[i] : cuts[i + 1]])
@@ -117,7 +119,7 @@ def _postings(groups: DataFrame) -> DataFrame:
     """token, id of the group, its set size and the token's place in the prefix."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, POSTED) for b in batches for i in range(0, b.num_rows, POSTED)):
             tokens = [np.frombuffer(p, dtype=np.int64) for p in batch.column("prefix").to_pylist()]
             each = np.array([len(t) for t in tokens], dtype=np.int64)
             if not each.sum():

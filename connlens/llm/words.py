@@ -54,7 +54,7 @@ class _Powers:
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, SLICE_BYTES + 1)
+            size = max(n, 2 * len(cls.up))
             for name, base in (("up", _BASE), ("down", _INVERSE)):
                 steps = np.full(size, base, dtype=np.uint64)
                 steps[0] = 1

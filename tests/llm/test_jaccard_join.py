@@ -1,6 +1,7 @@
 """The near-duplicate join where pairs are many: near copies below the threshold, hot lists, and doc_ids with several texts."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from connlens.llm import jaccard
@@ -130,3 +131,17 @@ def test_every_text_has_a_like_one_that_stays(spark):
 def test_one_of_each_of_nothing(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert jaccard.one_of_each(docs).count() == 0
+
+
+def test_words_of_a_large_batch_are_held_in_small_parts(monkeypatch):
+    held, plain = [], jaccard.words_of
+
+    def measured(data, *others):
+        held.append(len(data))
+        return plain(data, *others)
+
+    texts = pa.array([f"{i} " * 200 for i in range(1500)])
+    monkeypatch.setattr(jaccard, "words_of", measured)
+    sets = [own for _, own in jaccard._sets(texts)]
+    assert len(sets) == 1500 and all(len(own) == 1 for own in sets)
+    assert sum(held) == sum(map(len, texts.to_pylist())) and max(held) <= 1 << 18
