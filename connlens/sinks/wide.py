@@ -117,6 +117,7 @@ def read_wide(
     kinds = to_arrow_schema(schema)
     wanted = None if values is None else set(values)
 
+    # All of it in here, so that workers need not have this package.
     def run(batches):
         for batch in batches:
             for content in batch.column("content"):
@@ -124,18 +125,13 @@ def read_wide(
                 names = [n for n in file.schema_arrow.names if n != "TS" and (wanted is None or n in wanted)]
                 for group in range(file.num_row_groups):
                     part = file.read_row_group(group, columns=["TS", *names])
-                    yield from _long(part, names, kinds)
+                    rows = []
+                    for name in names:
+                        held = part.column(name).is_valid()
+                        counts = part.column(name).filter(held)
+                        rows.append(pa.table([part.column("TS").filter(held), pa.repeat(name, len(counts)), counts], names=kinds.names))
+                    if rows:
+                        yield from pa.concat_tables(rows).cast(kinds).combine_chunks().to_batches()
 
     files = spark.read.format("binaryFile").load([_block_path(path, b) for b in blocks])
     return files.select("content").mapInArrow(run, schema)
-
-
-def _long(part: pa.Table, names: list[str], kinds: pa.Schema) -> list[pa.RecordBatch]:
-    """The cells of some columns that hold a count, a row each."""
-    rows = []
-    for name in names:
-        cells = part.column(name)
-        held = cells.is_valid()
-        counts = cells.filter(held)
-        rows.append(pa.table([part.column("TS").filter(held), pa.repeat(name, len(counts)), counts], names=kinds.names))
-    return pa.concat_tables(rows).cast(kinds).combine_chunks().to_batches() if rows else []
