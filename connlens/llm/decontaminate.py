@@ -17,6 +17,8 @@ but not listed. Words and terms are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .store import drop, shared_folder, stored
-from .words import ALNUM, slices, words_of
+from .words import ALNUM, Words, slices, words_of
 
 WINDOW = 10
 SEGMENT_WORDS = 1 << 20
+TEXT_BYTES = 1 << 18  # whose words are hashed at once, unless one text has more
 BLOCK_WORDS = 200_000  # of the benchmark, sent to all tasks at a time
 CANDIDATES = 1 << 20  # intersected at a time
 SLOP = 3
@@ -39,6 +42,12 @@ INDEX_SCHEMA = (
 )
 
 
+def _words(texts: pa.Array) -> Iterator[tuple[int, Words]]:
+    """(index of the first text, words) of a few texts at a time."""
+    for at, data, bounds in slices(texts, TEXT_BYTES):
+        yield at, words_of(data, bounds, ALNUM)
+
+
 def _segment(number: int, ids: list, marks: list, counts: list[np.ndarray], hashes: list[np.ndarray]) -> pa.RecordBatch:
     words = np.concatenate(hashes)
     order = np.argsort(words, kind="stable")
@@ -66,8 +75,7 @@ def build_index(docs: DataFrame, words_each: int = SEGMENT_WORDS) -> DataFrame:
         ids, marks, counts, hashes, held = [], [], [], [], 0
         for batch in batches:
             own, mark = batch.column("doc_id"), batch.column("mark")
-            for at, data, bounds in slices(batch.column("text")):
-                found = words_of(data, bounds, ALNUM)
+            for at, found in _words(batch.column("text")):
                 ids.append(own.slice(at, found.texts).to_pylist())
                 marks.append(mark.slice(at, found.texts).to_pylist())
                 counts.append(found.count())
@@ -135,8 +143,7 @@ def blocks_of(benchmark: DataFrame) -> list[Block]:
 
     def run(batches):
         for batch in batches:
-            for at, data, bounds in slices(batch.column("text")):
-                found = words_of(data, bounds, ALNUM)
+            for at, found in _words(batch.column("text")):
                 own = [found.hash[a:b].tobytes() for a, b in zip(found.first[:-1], found.first[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("item_id").slice(at, len(own)), pa.array(own, pa.binary())], ["item_id", "h"])
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+POWER_STEP = 1 << 16
 # Of more bytes than these a word's hash is a cryptographic one: regular long words would collide in the sum.
 LONG_WORD = 64
 
@@ -46,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the base and of its inverse, as long as any slice needed."""
+    """Powers of the base and of its inverse, as long as any slice needed. They stay in each Python worker."""
 
     up = np.ones(1, dtype=np.uint64)
     down = np.ones(1, dtype=np.uint64)
@@ -54,7 +55,8 @@ class _Powers:
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            size = max(n, 2 * len(cls.up))
+            # Not doubled: slices differ by little, and twice the longest would be held for good.
+            size = -(-n // POWER_STEP) * POWER_STEP
             for name, base in (("up", _BASE), ("down", _INVERSE)):
                 steps = np.full(size, base, dtype=np.uint64)
                 steps[0] = 1
