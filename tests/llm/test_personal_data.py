@@ -103,6 +103,41 @@ def test_contexts_match_plain_rounds(spark):
     assert {"Étoile-mauve", "redfox", "whitecrane", "brownbear", "silverpike"} <= words and "him" not in words
 
 
+def test_parts_change_nothing(spark, monkeypatch):
+    """Patterns that a first part of the rows rules out, and one that is followed again once more words are known."""
+    monkeypatch.setattr(pii, "PART", 3)
+    monkeypatch.setattr(pii, "FOLD", 5)
+    rows = texts() + [f"please write to more{i}@mail.example now and wait" for i in range(90)]
+    names = ["palecrow", "dimwolf", "icelynx", "wetmole", "shymink", "oldcarp", "redtoad", "bigvole"]
+    rows += [f"all of them write to {n} now. see id code {n} here" for n in names]
+    rows += [f"see id code u{i}@mail.example here" for i in range(5)] + ["see id code silvercat here"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    assert len(pii._parts(docs.selectExpr("doc_id", "text", "xxhash64(text) AS mark"))) > 2
+    base, context = found_spans(pii.personal_data(docs))
+    text = {i: t or "" for i, t in enumerate(rows)}
+    assert context == brute(text, base)
+    assert {text[d][a:b] for d, own in context.items() for a, b in own} >= {"redfox", "icelynx", "silverpike", "silvercat"}
+
+
+def test_words_by_an_ordinary_pattern_are_not_all_gathered(spark, monkeypatch):
+    monkeypatch.setattr(pii, "PART", 100, raising=False)
+    rows = [f"it was seen in the w{chr(97 + i % 26)}x{i} place" for i in range(4000)]
+    rows += [f"it was seen in the {chr(97 + i)}@mail.example place" for i in range(6)]
+    kept, stored = [], pii.stored
+
+    def counted(df):
+        out = stored(df)
+        if set(out.columns) == {"pattern", "instance"}:
+            kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(pii, "stored", counted)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    base, context = found_spans(pii.personal_data(docs))
+    assert not context and sum(map(len, base.values())) == 6
+    assert sum(kept) < 2000
+
+
 def test_no_context_to_trust(spark):
     rows = [(1, "one mail to a@b.cd only"), (1, "one mail to a@b.cd only"), (2, None), (None, "c@d.ef")]
     base, context = found_spans(pii.personal_data(spark.createDataFrame(rows, "doc_id int, text string")))
