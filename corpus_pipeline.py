@@ -2,36 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from connlens.llm import decontaminate, jaccard, language, mixing, tokens
 from connlens.llm.queries import vocabulary
-from connlens.llm.store import shared_folder
+from connlens.llm.store import shared_folder, small_batches
 
 # The language classifiers cannot be stated in SQL.
 ORACLE_SQL = None
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _bounded(stage: Stage) -> Stage:
+    """The stage with small batches for Python. The session keeps them, as a stage's result may be computed later."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@_bounded
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null text, or text without any letter."""
     return language.known_only(docs)
 
 
+@_bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: the one of the smallest doc_id."""
     return jaccard.one_of_each(docs)
 
 
+@_bounded
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a window of a benchmark item."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_bounded
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that each source has its share of the words."""
     return mixing.mixed(docs)
 
 
+@_bounded
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files and returns their index: doc_id, start, n_tokens, ids_crc32."""
     path = shared_folder(spark)

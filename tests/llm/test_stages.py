@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from connlens.llm import language, queries, tokens
+import corpus_pipeline
+from connlens.llm import language, queries, store, tokens
 
 
 def test_ids_do_not_depend_on_what_was_seen_before():
@@ -87,3 +88,24 @@ def test_texts_of_two_languages_at_once_go():
 def test_short_texts_take_bounded_room():
     sizes = [len(x) for _, x in language.features(pa.array(["ab"] * 10_000))]
     assert sum(sizes) == 10_000 and max(sizes) <= language.ROWS
+
+
+@pytest.mark.parametrize("own, most", [(None, store.BATCH_BYTES), ("300k", 300 << 10)])
+def test_stages_send_small_batches_to_python(spark, own, most):
+    """Long texts of one partition, by their number all one batch; a bound of the session's own stays."""
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('text ', repeat('and more of it ', 200)) AS text", "'en' AS lang", "'s' AS source").coalesce(1)
+    if own:
+        spark.conf.set(store.BATCH, own)
+    try:
+        for _, stage in corpus_pipeline.STAGES[:2]:
+            stage(spark, docs.where("doc_id < 30"), "")
+        seen = docs.select("doc_id", "text").mapInArrow(size, "n bigint, size bigint").collect()
+    finally:
+        spark.conf.unset(store.BATCH)
+    assert sum(r.n for r in seen) == 2000
+    assert max(r["size"] for r in seen) < 1.2 * most
