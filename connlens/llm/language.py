@@ -187,9 +187,32 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     got = sample.select("lang", "text").mapInArrow(extract, "lang string, x binary").toArrow()
     if not got.num_rows:
         return None
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), dtype=np.float16).reshape(-1, BUCKETS)
-    order = np.lexsort((x[:, :64].astype(np.float32).sum(axis=1), got["lang"].to_pylist()))
-    return fit(x[order].astype(np.float32), [got["lang"][int(i)].as_py() for i in order])
+    parts = got.to_batches()
+    del got
+    return fit(*_in_order(parts))
+
+
+def _in_order(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, list[str]]:
+    """The features and languages of all parts in an order that does not depend on theirs. Empties the list, so rows are not held twice."""
+
+    def rows(part: pa.RecordBatch) -> np.ndarray:
+        x = part.column("x").cast(pa.large_binary())
+        first = np.frombuffer(x.buffers()[1], dtype=np.int64)[x.offset] if len(x) else 0
+        return np.frombuffer(x.buffers()[2] or b"", dtype=np.uint8)[first : first + len(x) * 2 * BUCKETS].view(np.float16).reshape(len(x), BUCKETS)
+
+    languages = [name for part in parts for name in part.column("lang").to_pylist()]
+    order = np.lexsort((np.concatenate([rows(part)[:, :64].astype(np.float32).sum(axis=1) for part in parts]), languages))
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    x, at = np.empty((len(order), BUCKETS), dtype=np.float32), 0
+    parts.reverse()
+    while parts:
+        own = rows(parts.pop())
+        for low in range(0, len(own), ROWS):
+            part = own[low : low + ROWS]
+            x[place[at : at + len(part)]] = part
+            at += len(part)
+    return x, [languages[i] for i in order]
 
 
 SCHEMA = "lang_pred string, score double, ambiguous boolean"

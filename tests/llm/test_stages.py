@@ -1,6 +1,7 @@
 """Faults of single stages: words after others in the cache, odd column names, tables without labels, many short texts."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -109,3 +110,25 @@ def test_stages_send_small_batches_to_python(spark, own, most):
         spark.conf.unset(store.BATCH)
     assert sum(r.n for r in seen) == 2000
     assert max(r["size"] for r in seen) < 1.2 * most
+
+
+def test_sample_is_held_once_on_the_driver(spark):
+    docs = spark.range(1500).selectExpr("id AS doc_id", "concat('some text ', id, repeat(' of words', id % 50)) AS text", "array('en', 'de', 'fr')[id % 3] AS lang")
+    tracemalloc.start()
+    model = language.train(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.languages == ["de", "en", "fr"] and peak < 1.8 * 1500 * language.BUCKETS * 4
+
+
+def test_sample_order_does_not_depend_on_its_parts():
+    rng = np.random.default_rng(2)
+    x = rng.random((700, language.BUCKETS), dtype=np.float32).astype(np.float16)
+    names = [["en", "de"][i] for i in rng.integers(0, 2, 700)]
+    whole = pa.RecordBatch.from_arrays([pa.array(names), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+    shuffled = rng.permutation(700)
+    parts = [whole.take(pa.array(shuffled[:10])).slice(0, 0), whole.take(pa.array(shuffled)).slice(0, 333), whole.take(pa.array(shuffled)).slice(333)]
+    first, second = language._in_order([whole]), language._in_order(parts)
+    assert np.array_equal(first[0], second[0]) and first[1] == second[1] and parts == []
+    order = np.lexsort((x[:, :64].astype(np.float32).sum(axis=1), names))
+    assert np.array_equal(first[0], x[order].astype(np.float32)) and first[1] == [names[i] for i in order]
